@@ -18,44 +18,66 @@ from pairloom.constants import LANG_C, LANG_RUST, NBSP, WHITESPACE
 # Nesting of Rust block comments the pattern covers; see ``deeper_than``.
 RUST_COMMENT_DEPTH = 64
 
-_C_LITERALS = r"""("(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')"""
-_C_COMMENTS = r"//(?:[^\\\n]++|\\(?:\r\n|.)?+)*+|/\*.*?\*/"
-# Value of an object-like or function-like macro up to the end of the line: a `//` in
-# it belongs to the value, a block comment does not.
-_C_MACRO = (
-    r"(?<![^\n])[ \t]*+#[ \t]*+define[ \t]++\w++(?:\([^)\n]*+\))?+[ \t]++(?!/[/*])[^\s]"
-    r"(?:[^/\n\\]++|\\\r?\n|\\|/(?![*]))*+"
-)
-
-_RUST_LITERALS = (
-    r"""((?<![A-Za-z0-9_])[bc]?r(#*+)".*?"\2|"(?:[^"\\]++|\\.)*+\""""
-    r"""|'(?:\\u\{[^}]*+\}|\\x[0-9a-fA-F]{2}|\\.|[^'\\])')"""
-)
-_RUST_LINE = r"//[^\n]*+"
-_RUST_LINE_DOC = r"//(?:/(?!/)|!)[^\n]*+\n?+|//[^\n]*+"
+# Patterns have the form ``(kept)|comment``.  The kept part takes a whole stretch of code
+# and literals at once, so a text has about two matches per comment; a character no
+# alternative matches is stepped over and stays.  Possessive groups keep the matcher from
+# recursing, so the length of a text is not limited by the stack.
+_C_LITERAL = r"""
+    "(?:[^"\\\n]+|\\.)*+"
+  | '(?:[^'\\\n]+|\\.)*+'
+"""
+_C_COMMENT = r"//(?:[^\\\n]+|\\(?:\r\n|.)?+)*+ | /\*.*?\*/"
+# A macro's value up to the end of the line: a `//` in it belongs to the value, a block
+# comment does not.
+_C_MACRO = r"""
+    \#[ \t]*+define[ \t]++\w++(?:\([^)\n]*+\))?+[ \t]++(?!/[/*])[^\s]
+    (?:[^/\n\\]+|\\\r?\n|\\|/(?![*]))*+
+"""
 
-_FENCE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+# Group 2 are the hashes of a raw string.
+_RUST_LITERAL = r"""
+    (?<![A-Za-z0-9_])[bc]?r(\#*+)".*?"\2
+  | "(?:[^"\\]+|\\.)*+"
+  | '(?:\\u\{[^}]*+\}|\\x[0-9a-fA-F]{2}|\\.|[^'\\])'
+"""
+_RUST_LINE = r"//[^\n]*+"
+_RUST_LINE_DOC = r"//(?:/(?!/)|!)[^\n]*+\n?+ | //[^\n]*+"
+# Letters that can start a raw string are taken only where none starts.
+_RUST_PLAIN = r"""[^"'/rbc]+ | [rbc]++(?!["\#])"""
 
 
-def _c_literals(keep_macro_text: bool) -> str:
-    if not keep_macro_text:
-        return _C_LITERALS
-    return f"({_C_MACRO}|{_C_LITERALS[1:]}"
+def _compact(pattern: str) -> str:
+    """Drop the layout: line breaks and blanks between the parts."""
+    lines = [line.strip() for line in pattern.splitlines()]
+    return "".join(lines).replace(" | ", "|").replace("| ", "|")
 
 
 @lru_cache(maxsize=None)
 def _rust_block(depth: int) -> str:
     """Block comment with up to ``depth`` comments nested inside one another."""
-    plain = r"[^*/]++|\*(?!/)|/(?!\*)"
+    plain = r"[^*/]+|\*(?!/)|/(?!\*)"
     pattern = rf"/\*(?:{plain})*+\*/"
     for _ in range(depth):
         pattern = rf"/\*(?:{plain}|{pattern})*+\*/"
     return pattern
 
 
-def _rust_comments(depth: int, doc_newline: bool) -> str:
-    line = _RUST_LINE_DOC if doc_newline else _RUST_LINE
-    return f"{line}|{_rust_block(depth)}"
+def _c_parts(keep_macro_text: bool) -> tuple[str, str]:
+    """(kept, comment) for C."""
+    if keep_macro_text:
+        kept = rf"""[^"'/\#]+|{_C_MACRO}|{_C_LITERAL}"""
+    else:
+        kept = rf"""[^"'/]+|{_C_LITERAL}"""
+    return _compact(kept), _compact(_C_COMMENT)
+
+
+def _rust_parts(depth: int, doc_newline: bool) -> tuple[str, str]:
+    """(kept, comment) for Rust."""
+    line = _compact(_RUST_LINE_DOC if doc_newline else _RUST_LINE)
+    return _compact(f"{_RUST_PLAIN}|{_RUST_LITERAL}"), f"{line}|{_rust_block(depth)}"
+
+
+_FENCE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def remove_nbsp(code: Column) -> Column:
@@ -77,17 +99,17 @@ def normalize_code(code: Column) -> Column:
 
 
 def strip_c_comments(code: Column, keep_macro_text: bool = False) -> Column:
-    """Delete C comments; literals are matched first and put back by ``$1``."""
-    pattern = f"(?s){_c_literals(keep_macro_text)}|{_C_COMMENTS}"
-    return F.regexp_replace(code, pattern, "$1")
+    """Delete C comments."""
+    kept, comment = _c_parts(keep_macro_text)
+    return F.regexp_replace(code, f"(?s)((?:{kept})++)|{comment}", "$1")
 
 
 def strip_rust_comments(
     code: Column, depth: int = RUST_COMMENT_DEPTH, doc_newline: bool = False
 ) -> Column:
     """Delete Rust line, doc and nested block comments."""
-    pattern = f"(?s){_RUST_LITERALS}|{_rust_comments(depth, doc_newline)}"
-    return F.regexp_replace(code, pattern, "$1")
+    kept, comment = _rust_parts(depth, doc_newline)
+    return F.regexp_replace(code, f"(?s)((?:{kept})++)|{comment}", "$1")
 
 
 def deeper_than(code: Column, depth: int = RUST_COMMENT_DEPTH) -> Column:
@@ -128,35 +150,32 @@ def finalize_snippet(
     return F.when(F.length(text) > 0, cleaned)
 
 
-def _with_comment_group(lang: str, grammar_habits: bool) -> tuple[str, str, int]:
-    """(pattern with the comment captured, characters that can start a match, group)."""
+def _captured(lang: str, grammar_habits: bool) -> tuple[str, int]:
+    """Pattern with comments captured as well, and the number of their group."""
     if lang == LANG_C:
-        starts = "\"'/#" if grammar_habits else "\"'/"
-        return f"{_c_literals(grammar_habits)}|({_C_COMMENTS})", starts, 2
+        kept, comment = _c_parts(grammar_habits)
+        return f"(?s)((?:{kept})++)|({comment})", 2
     if lang == LANG_RUST:
-        return (
-            f"{_RUST_LITERALS}|({_rust_comments(RUST_COMMENT_DEPTH, grammar_habits)})",
-            "\"'/rbc",
-            3,
-        )
+        kept, comment = _rust_parts(RUST_COMMENT_DEPTH, grammar_habits)
+        return f"(?s)((?:{kept})++)|({comment})", 3
     raise ValueError(f"unknown language: {lang!r}")
 
 
 def extract_comments(code: Column, lang: str, grammar_habits: bool = False) -> Column:
     """Outermost comments in text order, as ARRAY<STRING>."""
-    pattern, _, group = _with_comment_group(lang, grammar_habits)
-    found = F.regexp_extract_all(code, F.lit(f"(?s){pattern}"), F.lit(group))
+    pattern, group = _captured(lang, grammar_habits)
+    found = F.regexp_extract_all(code, F.lit(pattern), F.lit(group))
     return F.filter(found, lambda x: x != "")
 
 
-def comment_ranges(code: Column, lang: str) -> Column:
+def comment_ranges(code: Column, lang: str, grammar_habits: bool = False) -> Column:
     """UTF-8 byte ranges of the outermost comments, ARRAY<STRUCT<start INT, end INT>>.
 
-    The text is cut into literals, comments and the stretches between them; a running
-    byte offset over the pieces gives each comment its range.
+    The text is cut into kept stretches and comments; a running byte offset over the
+    pieces gives each comment its range.
     """
-    pattern, starts, group = _with_comment_group(lang, False)
-    pieces_re = F.lit(f"(?s){pattern}|[^{starts}]++|.")
+    pattern, group = _captured(lang, grammar_habits)
+    pieces_re = F.lit(f"{pattern}|.")
     pieces = F.regexp_extract_all(code, pieces_re, F.lit(0))
     comments = F.regexp_extract_all(code, pieces_re, F.lit(group))
     steps = F.zip_with(

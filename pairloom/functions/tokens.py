@@ -60,8 +60,10 @@ def completion_labels(
         lambda i: (F.get(ids, i) == F.get(marker, F.lit(0)))
         & (F.slice(ids, i + 1, width) == marker),
     )
-    keep_from = F.coalesce(F.array_max(starts) + width, F.size(ids))
-    return F.transform(ids, lambda x, i: F.when(i < keep_from, mask).otherwise(x))
+    # Built from two stretches: an index test per element would search the marker anew
+    # for every token.
+    cut = F.coalesce(F.array_max(starts) + width, F.size(ids))
+    return F.concat(F.array_repeat(mask, cut), F.slice(ids, cut + 1, F.size(ids)))
 
 
 def slice_completion(output: Column, prompt_length: Column) -> Column:

@@ -18,7 +18,7 @@ from table_queries.chat import (
 )
 from table_queries.dress import SQL_SPACE
 from table_queries.pairs import SQL_PAIRS, conversation_pairs
-from table_queries.registry import query, sql_text, table
+from table_queries.registry import query, spread_table, sql_text, table
 
 _TOKENS = f"regexp_extract_all(text, {sql_text(K.TOKEN_PATTERN)})"
 _CUT = f"list_slice({_TOKENS}, 1, 8192)"
@@ -32,7 +32,7 @@ _CUT = f"list_slice({_TOKENS}, 1, 8192)"
     """
 )
 def encode_truncate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
     encoded = computed_once(docs, {"tokens": K.encode(F.col("text"))})
     ids = K.truncate(F.col("tokens"))
     mask_sum = F.aggregate(K.attention_mask(ids), F.lit(0), lambda a, x: a + x)

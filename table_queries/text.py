@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pairloom.functions import text as T
 from pairloom.operators import filters
 from table_queries import dress
-from table_queries.registry import query, table
+from table_queries.registry import query, spread_table, table
+
+
+def _texts(spark, sf_dir):
+    return spread_table(spark, sf_dir, "documents", ["doc_id", "lang", "n_chars", "text"], "doc_id")
 
 
 @query(
@@ -68,13 +72,13 @@ def normalize_code(spark, sf_dir):
 
 @query(f"SELECT doc_id, {dress.sql_strip_c(dress.AS_C)} AS code FROM documents")
 def strip_c_comments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", T.strip_c_comments(F.expr(dress.AS_C)).alias("code"))
 
 
 @query(f"SELECT doc_id, {dress.sql_strip_rust(dress.AS_RUST)} AS code FROM documents")
 def strip_rust_comments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", T.strip_rust_comments(F.expr(dress.AS_RUST)).alias("code"))
 
 
@@ -105,7 +109,7 @@ _LANGUAGE = "CASE WHEN lang = 'en' THEN 'C' ELSE 'Rust' END"
     """
 )
 def finalize_snippet(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = _texts(spark, sf_dir).select(
         "doc_id", F.expr(_LANGUAGE).alias("language"), F.expr(_SNIPPET).alias("raw")
     )
     return docs.select(
@@ -125,7 +129,7 @@ def finalize_snippet(spark, sf_dir):
     """
 )
 def extract_comments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     found = docs.select(
         "doc_id", F.posexplode(T.extract_comments(F.expr(dress.AS_C), "C")).alias("pos", "comment")
     )
@@ -142,7 +146,7 @@ def extract_comments(spark, sf_dir):
     """
 )
 def delete_ranges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(dress.AS_C).alias("raw"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.expr(dress.AS_C).alias("raw"))
     ranges = docs.select(
         "doc_id", "raw", T.comment_ranges(F.col("raw"), "C").alias("ranges")
     )
