@@ -20,7 +20,8 @@ def parse_record(line: Column) -> Column:
     A key given twice keeps its first place and its last value.
     """
     parsed = F.from_json(line, RECORD_TYPE, {"mode": "FAILFAST"})
-    return _last_value_per_key(parsed)
+    # One-element transform: the parsed record is used several times but made once.
+    return F.get(F.transform(F.array(parsed), _last_value_per_key), F.lit(0))
 
 
 def _last_value_per_key(record: Column) -> Column:

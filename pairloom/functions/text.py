@@ -129,12 +129,13 @@ def strip_comments(code: Column, lang: Column | str, grammar_habits: bool = Fals
         if lang not in forms:
             raise ValueError(f"unknown language: {lang!r}")
         return forms[lang]
+    unknown = F.raise_error(
+        F.concat(F.lit("unknown language: "), F.coalesce(lang, F.lit("null")))
+    )
     return (
         F.when(lang == LANG_C, c_form)
         .when(lang == LANG_RUST, rust_form)
-        .otherwise(
-            F.raise_error(F.concat(F.lit("unknown language: "), F.coalesce(lang, F.lit("null"))))
-        )
+        .otherwise(F.when(code.isNotNull(), unknown))
     )
 
 
@@ -145,9 +146,8 @@ def finalize_snippet(
 
     null or blank -> null; a snippet made of comments only -> ``""``.
     """
-    text = normalize_code(code)
-    cleaned = strip_whitespace(strip_comments(text, lang, grammar_habits))
-    return F.when(F.length(text) > 0, cleaned)
+    text = F.nullif(normalize_code(code), F.lit(""))
+    return strip_whitespace(strip_comments(text, lang, grammar_habits))
 
 
 def _captured(lang: str, grammar_habits: bool) -> tuple[str, int]:
