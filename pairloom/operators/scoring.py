@@ -19,30 +19,38 @@ Scorer = Callable[[list[str]], Sequence[str]]
 Encoder = Callable[[list[str]], Sequence[Sequence[int]]]
 
 
-def _in_batches(
-    series: pd.Series, size: int, call: Callable[[list[str]], Sequence]
-) -> list:
-    out: list = []
-    values = series.tolist()
-    for at in range(0, len(values), size):
-        part = values[at : at + size]
-        answers = list(call(part))
-        if len(answers) != len(part):
-            raise ValueError(f"got {len(answers)} answers for {len(part)} inputs")
-        out.extend(answers)
-    return out
+def _batch_caller(size: int) -> Callable[[pd.Series, Callable], list]:
+    """Call a function on slices of ``size``.
+
+    A local function is shipped to the executors with the plan, so they need not have
+    this package installed.
+    """
+
+    def run(series: pd.Series, call: Callable) -> list:
+        out: list = []
+        values = series.tolist()
+        for at in range(0, len(values), size):
+            part = values[at : at + size]
+            answers = list(call(part))
+            if len(answers) != len(part):
+                raise ValueError(f"got {len(answers)} answers for {len(part)} inputs")
+            out.extend(answers)
+        return out
+
+    return run
 
 
 def score(
     prompt: Column, factory: Callable[[], Scorer], batch_size: int = INFERENCE_BATCH_SIZE
 ) -> Column:
     """Apply a model to a prompt column, ``batch_size`` prompts per call; trimmed."""
+    in_batches = _batch_caller(batch_size)
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for prompts in batches:
-            yield pd.Series(_in_batches(prompts, batch_size, model), dtype="object")
+            yield pd.Series(in_batches(prompts, model), dtype="object")
 
     return strip_whitespace(apply(prompt))
 
@@ -54,12 +62,13 @@ def encode_with(
     batch_size: int = 256,
 ) -> Column:
     """Encode with the caller's tokenizer, truncated; ARRAY<INT>."""
+    in_batches = _batch_caller(batch_size)
 
     @F.pandas_udf("array<int>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = factory()
         for texts in batches:
-            ids = _in_batches(texts, batch_size, encoder)
+            ids = in_batches(texts, encoder)
             yield pd.Series([list(x)[:max_length] for x in ids], dtype="object")
 
     return apply(text)

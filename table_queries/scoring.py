@@ -160,25 +160,6 @@ def decode_tokens(spark, sf_dir):
     return turns.select("conv_id", "turn", decoded.alias("decoded"))
 
 
-def _answering_model():
-    """Stand-in for a model; marks its answers and leaves blanks around them."""
-
-    def answer(prompts: list[str]) -> list[str]:
-        return [f" \n{p}-- done\t" for p in prompts]
-
-    return answer
-
-
-def _fencing_model():
-    """Stand-in for a model that returns the user's snippet in a fenced block."""
-
-    def answer(prompts: list[str]) -> list[str]:
-        snippets = [p.split("<|im_start|>user\n")[1].split("<|im_end|>")[0] for p in prompts]
-        return [f"Sure.\n```rust\n{s}\n```\n" for s in snippets]
-
-    return answer
-
-
 _SQL_ANSWERS = (
     SQL_PAIRS
     + f"""
@@ -194,8 +175,12 @@ _SQL_ANSWERS = (
 
 
 def _answers(spark, sf_dir):
+    def answering_model():
+        """Stand-in for a model; marks its answers and leaves blanks around them."""
+        return lambda prompts: [f" \n{p}-- done\t" for p in prompts]
+
     rows = experiments.prompts(grid.over_models(conversation_pairs(spark, sf_dir)))
-    return rows.withColumn("answer", S.score(F.col("prompt"), _answering_model))
+    return rows.withColumn("answer", S.score(F.col("prompt"), answering_model))
 
 
 @query(_SQL_ANSWERS + "SELECT conv_id, model_type, concat(prompt, '-- done') AS answer FROM prompts")
@@ -233,5 +218,14 @@ def zip_predictions(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, trim(text, {SQL_SPACE}) AS translation FROM conversations")
 def translate_snippets(spark, sf_dir):
+    def fencing_model():
+        """Stand-in for a model that returns the user's snippet in a fenced block."""
+
+        def answer(prompts: list[str]) -> list[str]:
+            snippets = [p.split("<|im_start|>user\n")[1].split("<|im_end|>")[0] for p in prompts]
+            return [f"Sure.\n```rust\n{s}\n```\n" for s in snippets]
+
+        return answer
+
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return experiments.translate(turns, "text", _fencing_model).drop("text")
+    return experiments.translate(turns, "text", fencing_model).drop("text")
