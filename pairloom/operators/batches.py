@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import INFERENCE_BATCH_SIZE
 from pairloom.functions.tokens import left_padded, left_padded_mask
-from pairloom.operators.ranks import ORDINAL_BUCKETS, global_rank, with_ordinal_bucket
+from pairloom.operators.ranks import global_rank, with_ordinal_bucket
 
 
 def batch_ids(
@@ -17,10 +17,10 @@ def batch_ids(
     ordinal: str,
     batch_size: int = INFERENCE_BATCH_SIZE,
     group: Sequence[str] = (),
-    buckets: int = ORDINAL_BUCKETS,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Number consecutive batches in ``ordinal`` order; the last one may be short."""
-    bucketed = with_ordinal_bucket(df, ordinal, "__range", buckets)
+    bucketed = with_ordinal_bucket(df, ordinal, "__range", population=population)
     ranked = global_rank(bucketed, group, [ordinal], "__range", "__rank")
     return ranked.withColumn("batch_id", F.floor(F.col("__rank") / batch_size)).drop(
         "__rank", "__range"

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 # Leading hex digits of a digest used as bucket: 16 ** 3 = 4,096 buckets per group.
 HASH_BUCKET_DIGITS = 3
-ORDINAL_BUCKETS = 1024
+# Ordinal buckets: quantile ranges, each cut evenly into parts.
+ORDINAL_RANGES = 512
+PARTS_PER_RANGE = 64
 
 
 def hash_key(seed: Column, key: Column) -> Column:
@@ -28,20 +30,43 @@ def hash_bucket(digest: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.substring(digest, 1, digits)
 
 
+def _constants(values: list[float]) -> Column:
+    """A constant array in one call; Spark folds it while planning."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def with_ordinal_bucket(
-    df: DataFrame, ordinal: str, out: str, buckets: int = ORDINAL_BUCKETS
+    df: DataFrame,
+    ordinal: str,
+    out: str,
+    ranges: int = ORDINAL_RANGES,
+    parts: int = PARTS_PER_RANGE,
+    population: DataFrame | None = None,
 ) -> DataFrame:
-    """Number the rows' value ranges so that each holds about the same number of rows.
+    """Number the rows' value ranges, in order, so that no bucket holds many rows.
 
-    The bounds are approximate quantiles (at most ``buckets`` numbers reach the driver);
-    bucketing only has to be monotone, so an inexact bound costs balance, not exactness.
+    Range bounds are approximate quantiles of ``population`` (the table itself unless a
+    cheaper one with the same rows is given), so ordinals may be spread unevenly; at most
+    ``ranges`` numbers reach the driver.  Every range is cut into ``parts`` of equal
+    width, which costs nothing and gives a large cluster enough buckets.  Bucketing only
+    has to be monotone: inexact bounds cost balance, not exactness.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(ordinal, shares, 0.25 / buckets)))
-    if not bounds:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=ordinal, outputCol=out).transform(df)
+    shares = [i / ranges for i in range(ranges + 1)]
+    source = df if population is None else population
+    bounds = sorted(set(source.approxQuantile(ordinal, shares, 0.25 / ranges)))
+    if len(bounds) < 2:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    splits = [float("-inf"), *bounds[1:-1], float("inf")]
+    if len(splits) < 3:
+        splits = [float("-inf"), bounds[0], float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol=ordinal, outputCol="__quantile").transform(df)
+    at = F.col("__quantile").cast("int")
+    low = F.get(_constants([bounds[0], *splits[1:-1]]), at)
+    high = F.get(_constants([*splits[1:-1], bounds[-1]]), at)
+    width = F.greatest(high - low, F.lit(1e-9))
+    share = F.floor((F.col(ordinal).cast("double") - low) / width * parts)
+    part = F.least(F.greatest(share, F.lit(0).cast("bigint")), F.lit(parts - 1).cast("bigint"))
+    return ranged.withColumn(out, at * parts + part).drop("__quantile")
 
 
 def _bucket_spans(df: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
@@ -84,7 +109,7 @@ def rank_cuts(
         & (F.col("__rank") < F.col("__start") + F.col("__size"))
     )
     targets = holding.groupBy(*group, bucket).agg(
-        F.first("__start").alias("__start"), F.collect_set("__rank").alias("__ranks")
+        F.min("__start").alias("__start"), F.collect_set("__rank").alias("__ranks")
     )
     # as many rows as there are cuts, so broadcasting it has a fixed bound
     inside = df.select(*group, bucket, *order).join(F.broadcast(targets), [*group, bucket])

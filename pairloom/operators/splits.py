@@ -43,14 +43,23 @@ def _fold_starts(n: Column, k: int) -> Column:
 
 
 def kfold_split(
-    df: DataFrame, key: str, seeds: Sequence[int] = SEEDS, k: int = NUM_FOLDS
+    df: DataFrame,
+    key: str,
+    seeds: Sequence[int] = SEEDS,
+    k: int = NUM_FOLDS,
+    population: DataFrame | None = None,
 ) -> DataFrame:
-    """Every row once per seed, with the ``fold`` in which it is a test row."""
+    """Every row once per seed, with the ``fold`` in which it is a test row.
+
+    The cut points come from ``population``: the same rows with nothing but the key, where
+    ``df`` carries columns that are costly to compute.
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
-    rows = _seeded(df, key, seeds)
-    cuts = rank_cuts(rows, ["seed"], ["__hash", key], "__bucket", lambda n: _fold_starts(n, k))
-    placed = place_by_cuts(rows, cuts, ["seed"], ["__hash", key], "fold")
+    source = _seeded(df if population is None else population, key, seeds)
+    order = ["__hash", key]
+    cuts = rank_cuts(source, ["seed"], order, "__bucket", lambda n: _fold_starts(n, k))
+    placed = place_by_cuts(_seeded(df, key, seeds), cuts, ["seed"], order, "fold")
     return placed.drop("__hash", "__bucket")
 
 
@@ -61,34 +70,37 @@ def kfold_train_val(
     seeds: Sequence[int] = SEEDS,
     k: int = NUM_FOLDS,
     train_share: float = TRAIN_SHARE,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Train / validation / test membership for every (seed, fold).
 
     Validation is the tail of the non-test rows in corpus order (``ordinal``), not a
-    random share of them.
+    random share of them.  ``population``: see ``kfold_split``; it needs both columns.
     """
-    bucketed = with_ordinal_bucket(df, ordinal, "__range")
-    members = kfold_split(bucketed, key, seeds, k).withColumnRenamed("fold", "__test_fold")
-    runs = members.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = df if population is None else population
+    order = [ordinal] if key == ordinal else [ordinal, key]
+    run = ["seed", "fold"]
+
+    def per_run(table: DataFrame) -> DataFrame:
+        members = kfold_split(table, key, seeds, k, population=rows)
+        return members.withColumnRenamed("fold", "__test_fold").withColumn(
+            "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        )
+
     is_test = F.col("__test_fold") == F.col("fold")
+    ranged = with_ordinal_bucket(rows, ordinal, "__range")
     cuts = rank_cuts(
-        runs.where(~is_test),
-        ["seed", "fold"],
-        [ordinal, key] if key != ordinal else [ordinal],
+        per_run(ranged).where(~is_test),
+        run,
+        order,
         "__range",
         lambda n: F.array((n * F.lit(train_share)).cast("bigint")),
     )
-    placed = place_by_cuts(
-        runs,
-        cuts,
-        ["seed", "fold"],
-        [ordinal, key] if key != ordinal else [ordinal],
-        "__passed",
-    )
+    placed = place_by_cuts(per_run(df), cuts, run, order, "__passed")
     split = (
         F.when(is_test, "test").when(F.col("__passed") == 0, "train").otherwise("val")
     )
-    return placed.withColumn("split", split).drop("__passed", "__test_fold", "__range")
+    return placed.withColumn("split", split).drop("__passed", "__test_fold")
 
 
 def split_by_shares(

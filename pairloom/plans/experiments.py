@@ -101,9 +101,16 @@ def cross_validation_training(
     k: int = NUM_FOLDS,
     encoder: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Encoded train and validation rows of every (seed, fold)."""
-    members = kfold_train_val(corpus, key, ordinal, seeds, k).where("split <> 'test'")
-    return training_examples(members, ["seed", "fold", "split"], encoder=encoder)
+    """Encoded train and validation rows of every (seed, fold).
+
+    A row is a training row of several runs: it is encoded once and then repeated.
+    """
+    encoded = training_examples(corpus, list(dict.fromkeys([key, ordinal])), encoder=encoder)
+    bare = corpus.select(*dict.fromkeys([key, ordinal]))
+    members = kfold_train_val(encoded, key, ordinal, seeds, k, population=bare)
+    return members.where("split <> 'test'").select(
+        "seed", "fold", "split", "input_ids", "attention_mask"
+    )
 
 
 def single_run_splits(

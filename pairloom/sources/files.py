@@ -99,7 +99,8 @@ def load_corpus_with_position(
 
     Ids are consecutive along a block, so a record's place is its id less the first id of
     its block plus the size of all blocks before it.  Only one small row per block is
-    aggregated and ordered; no record is shuffled for it.
+    aggregated and ordered; records are not ranked, and they are shuffled only where the
+    table of blocks is too large for Spark to broadcast.
     """
     lines = with_text_order(non_blank(spark.read.text(path), "value"))
     at = ["folder", "file", "block"]

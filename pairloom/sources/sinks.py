@@ -58,12 +58,16 @@ def read_prediction_array(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_SCHEMA).option("multiLine", True).json(path)
 
 
-def finished_runs(
-    spark: SparkSession, path: str, schema: str = RUN_SCHEMA
-) -> DataFrame:
-    """Runs that have output: the partition values present under ``path``."""
-    found = path_or_none(lambda: read_predictions(spark, path, schema))
-    keys = [part.split()[0] for part in schema.split(", ")]
-    if found is None:
+def finished_runs(spark: SparkSession, path: str, schema: str = RUN_SCHEMA) -> DataFrame:
+    """Runs that have output: the partition values present under ``path``.
+
+    Only the file listing is used (``binaryFile`` does not open files whose content is
+    not asked for), so the cost does not grow with the predictions.
+    """
+    keys = [part.split() for part in schema.split(", ")]
+    listing = path_or_none(
+        lambda: spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    )
+    if listing is None or any(name not in listing.columns for name, _ in keys):
         return spark.createDataFrame([], schema)
-    return found.select(*keys).distinct()
+    return listing.select(*[F.col(name).cast(kind) for name, kind in keys]).distinct()

@@ -67,7 +67,7 @@ def test_splits_survive_skewed_ordinals(spark):
         F.col("id").alias("key"),
         F.when(F.col("id") < 990, F.col("id")).otherwise(F.col("id") * 10**12).alias("pos"),
     )
-    bucketed = ranks.with_ordinal_bucket(df, "pos", "b", 50)
+    bucketed = ranks.with_ordinal_bucket(df, "pos", "b", 50, 4)
     assert max(r["count"] for r in bucketed.groupBy("b").count().collect()) < 60
     ranked = ranks.global_rank(bucketed, [], ["pos"], "b", "rank")
     assert all(r["rank"] == r["key"] for r in ranked.collect())
