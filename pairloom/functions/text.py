@@ -91,7 +91,8 @@ def strip_whitespace(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip_whitespace(text) == F.lit("")
+    """Trimming on the left only ends at the first visible character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == F.lit("")
 
 
 def normalize_code(code: Column) -> Column:

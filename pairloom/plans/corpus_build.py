@@ -104,26 +104,27 @@ def cleaned_lines(lines: DataFrame, options: CorpusOptions) -> DataFrame:
     usable = (
         has_keys(record, ["C", "Rust"]) & is_string(record, "C") & is_string(record, "Rust")
     )
-    clean = computed_once(
+    raw = computed_once(
         parsed,
         {
-            "c_code": F.when(
-                usable,
-                finalize_snippet(string_value(record, "C"), LANG_C, options.grammar_habits),
-            ),
-            "safe_rust_code": F.when(
-                usable,
-                finalize_snippet(
-                    string_value(record, "Rust"), LANG_RUST, options.grammar_habits
-                ),
+            "raw_c": F.when(usable, string_value(record, "C")),
+            "raw_rust": F.when(usable, string_value(record, "Rust")),
+            "label": canonical_label(record),
+        },
+    )
+    clean = computed_once(
+        raw,
+        {
+            "c_code": finalize_snippet(F.col("raw_c"), LANG_C, options.grammar_habits),
+            "safe_rust_code": finalize_snippet(
+                F.col("raw_rust"), LANG_RUST, options.grammar_habits
             ),
         },
     )
     complete = (F.length("c_code") > 0) & (F.length("safe_rust_code") > 0)
-    label = canonical_label(record)
-    rest = extras(record, label, ["C", "Rust", *PAIR_COLUMNS])
+    rest = extras(record, F.col("label"), ["C", "Rust", *PAIR_COLUMNS])
     return clean.select(
-        label.alias("label"),
+        "label",
         *PAIR_COLUMNS,
         drop_keys_by_folder(rest, F.col("folder"), options.drop_keys).alias("extras"),
         *ORDER_COLUMNS,
