@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.__main__ import main
 from pairloom.constants import CORPUS_NAME, DROP_KEYS_BY_FOLDER
 from pairloom.plans.corpus_build import (
     CorpusOptions,
@@ -161,6 +162,16 @@ def test_missing_and_empty_roots(spark, tmp_path):
     assert build_corpus(spark, str(tmp_path / "root")) is None
 
 
+def test_command_line(spark, tree, tmp_path, capsys):
+    assert main(["build", str(tree), str(tmp_path / "out"), "--batch-size", "3", "--unordered"]) == 0
+    assert spark.read.text(str(tmp_path / "out" / CORPUS_NAME)).count() == len(EXPECTED)
+    assert "one.parquet" in capsys.readouterr().out
+    assert main(["build", str(tmp_path / "nowhere"), str(tmp_path / "out")]) == 1
+    (tmp_path / "bare").mkdir()
+    assert main(["build", str(tmp_path / "bare"), str(tmp_path / "out2")]) == 0
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+
+
 def test_malformed_line_aborts(spark, tmp_path):
     write_lines(tmp_path / "r" / "d" / "x.jsonl", ['{"C": "a"'])
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
