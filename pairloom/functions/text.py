@@ -22,11 +22,19 @@ RUST_COMMENT_DEPTH = 64
 # and literals at once, so a text has about two matches per comment; a character no
 # alternative matches is stepped over and stays.  Possessive groups keep the matcher from
 # recursing, so the length of a text is not limited by the stack.
+#
+# A quote that is not closed is an ordinary character.  The escaped quotes after it are not
+# closed either, so the open forms, tried last, step over them together; otherwise each
+# would search the rest of the line (C) or of the text (Rust) again.
 _C_LITERAL = r"""
     "(?:[^"\\\n]+|\\.)*+"
   | '(?:[^'\\\n]+|\\.)*+'
 """
-_C_COMMENT = r"//(?:[^\\\n]+|\\(?:\r\n|.)?+)*+ | /\*.*?\*/"
+_C_OPEN = r"""
+    "(?:[^"'/\\\n]+|\\["\\]|\\(?!["\\])|/(?![/*]))*+
+  | '(?:[^"'/\\\n]+|\\['\\]|\\(?!['\\])|/(?![/*]))*+
+"""
+_C_COMMENT = r"//(?:[^\\\n]+|\\(?:\r\n|.)?+)*+ | /\*(?:[^*]+|\*(?!/))*+\*/"
 # A macro's value up to the end of the line: a `//` in it belongs to the value, a block
 # comment does not.
 _C_MACRO = r"""
@@ -38,7 +46,10 @@ _C_MACRO = r"""
 _RUST_LITERAL = r"""
     (?<![A-Za-z0-9_])[bc]?r(\#*+)".*?"\2
   | "(?:[^"\\]+|\\.)*+"
-  | '(?:\\u\{[^}]*+\}|\\x[0-9a-fA-F]{2}|\\.|[^'\\])'
+  | '(?:\\u\{[0-9a-fA-F_]*+\}|\\x[0-9a-fA-F]{2}|\\.|[^'\\])'
+"""
+_RUST_OPEN = r"""
+    "(?:[^"'/\\]+|\\["\\]|\\(?!["\\])|/(?![/*]))*+
 """
 _RUST_LINE = r"//[^\n]*+"
 _RUST_LINE_DOC = r"//(?:/(?!/)|!)[^\n]*+\n?+ | //[^\n]*+"
@@ -65,16 +76,28 @@ def _rust_block(depth: int) -> str:
 def _c_parts(keep_macro_text: bool) -> tuple[str, str]:
     """(kept, comment) for C."""
     if keep_macro_text:
-        kept = rf"""[^"'/\#]+|{_C_MACRO}|{_C_LITERAL}"""
+        kept = rf"""[^"'/\#]+|{_C_MACRO}|{_C_LITERAL}|{_C_OPEN}"""
     else:
-        kept = rf"""[^"'/]+|{_C_LITERAL}"""
+        kept = rf"""[^"'/]+|{_C_LITERAL}|{_C_OPEN}"""
     return _compact(kept), _compact(_C_COMMENT)
 
 
+def _c_pattern(keep_macro_text: bool, capture: bool = False) -> str:
+    """Kept text is in the first and the last group; with ``capture`` group 2 is the comment.
+
+    The last group starts at a block comment that is never closed.  Nothing after it is closed
+    either, so it takes all code up to the next line comment without looking for an end.
+    """
+    kept, comment = _c_parts(keep_macro_text)
+    comment = f"({comment})" if capture else comment
+    return rf"(?s)((?:{kept})++)|{comment}|(/\*(?:{kept}|/(?!/))*+)"
+
+
 def _rust_parts(depth: int, doc_newline: bool) -> tuple[str, str]:
     """(kept, comment) for Rust."""
     line = _compact(_RUST_LINE_DOC if doc_newline else _RUST_LINE)
-    return _compact(f"{_RUST_PLAIN}|{_RUST_LITERAL}"), f"{line}|{_rust_block(depth)}"
+    kept = _compact(f"{_RUST_PLAIN}|{_RUST_LITERAL}|{_RUST_OPEN}")
+    return kept, f"{line}|{_rust_block(depth)}"
 
 
 _FENCE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
@@ -101,8 +124,7 @@ def normalize_code(code: Column) -> Column:
 
 def strip_c_comments(code: Column, keep_macro_text: bool = False) -> Column:
     """Delete C comments."""
-    kept, comment = _c_parts(keep_macro_text)
-    return F.regexp_replace(code, f"(?s)((?:{kept})++)|{comment}", "$1")
+    return F.regexp_replace(code, _c_pattern(keep_macro_text), "$1$2")
 
 
 def strip_rust_comments(
@@ -154,8 +176,7 @@ def finalize_snippet(
 def _captured(lang: str, grammar_habits: bool) -> tuple[str, int]:
     """Pattern with comments captured as well, and the number of their group."""
     if lang == LANG_C:
-        kept, comment = _c_parts(grammar_habits)
-        return f"(?s)((?:{kept})++)|({comment})", 2
+        return _c_pattern(grammar_habits, capture=True), 2
     if lang == LANG_RUST:
         kept, comment = _rust_parts(RUST_COMMENT_DEPTH, grammar_habits)
         return f"(?s)((?:{kept})++)|({comment})", 3
