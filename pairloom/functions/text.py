@@ -220,15 +220,34 @@ def comment_ranges(code: Column, lang: str, grammar_habits: bool = False) -> Col
 
 
 def delete_ranges(text: Column, ranges: Column) -> Column:
-    """Delete byte ranges from the UTF-8 form of ``text``, the last one first."""
-    last_first = F.reverse(F.array_sort(ranges))
-    left = F.aggregate(
-        last_first,
-        F.encode(text, "UTF-8"),
-        lambda b, r: F.overlay(
-            b, F.lit(b""), r["start"] + F.lit(1), r["end"] - r["start"]
+    """Delete byte ranges from the UTF-8 form of ``text``.
+
+    Ranges that do not overlap leave stretches between them, which are put together in
+    one pass.  Overlapping ranges are deleted one after the other, the last one first.
+    """
+    data = F.encode(text, "UTF-8")
+    in_order = F.array_sort(ranges)
+    starts = F.transform(in_order, lambda r: r["start"])
+    ends = F.transform(in_order, lambda r: r["end"])
+    from_ = F.concat(F.array(F.lit(0)), ends)
+    to = F.concat(starts, F.array(F.octet_length(data)))
+    disjoint = F.forall(F.zip_with(from_, to, lambda a, b: a <= b), lambda ok: ok) & F.forall(
+        in_order, lambda r: r["start"] <= r["end"]
+    )
+    # the text is bound once for all stretches by the one-element transform around them
+    stretches = F.get(
+        F.transform(
+            F.array(data),
+            lambda d: F.zip_with(from_, to, lambda a, b: F.hex(F.substr(d, a + 1, b - a))),
         ),
+        F.lit(0),
+    )
+    one_by_one = F.aggregate(
+        F.reverse(in_order),
+        data,
+        lambda b, r: F.overlay(b, F.lit(b""), r["start"] + F.lit(1), r["end"] - r["start"]),
     )
+    left = F.when(disjoint, F.unhex(F.array_join(stretches, ""))).otherwise(one_by_one)
     return F.decode(left, "UTF-8")
 
 
