@@ -124,18 +124,24 @@ def rank_cuts(
 
 
 def place_by_cuts(
-    df: DataFrame, cuts: DataFrame, group: Sequence[str], order: Sequence[str], out: str
+    df: DataFrame,
+    cuts: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    out: str,
+    n_cuts: int = 1,
 ) -> DataFrame:
     """Number of cuts at or before each row (0 = before the first cut).
 
-    ``cuts`` has one small row per group, so it is broadcast.
+    ``cuts`` has one small row per group, so it is broadcast.  The comparisons are written
+    out one by one: as plain expressions they are compiled, a lambda would not be.
     """
     key = F.struct(*order)
     joined = df.join(F.broadcast(cuts), list(group), "left")
-    passed = F.size(F.filter(F.col("cuts"), lambda c: c <= key))
-    return joined.withColumn(
-        out, F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(passed)
-    ).drop("cuts")
+    passed = F.lit(0)
+    for i in range(n_cuts):
+        passed = passed + F.when(F.get(F.col("cuts"), F.lit(i)) <= key, 1).otherwise(0)
+    return joined.withColumn(out, passed).drop("cuts")
 
 
 def global_rank(

@@ -29,8 +29,16 @@ from pairloom.operators.ranks import (
 
 
 def _seeded(df: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
-    per_seed = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    hashed = per_seed.withColumn("__hash", hash_key(F.col("seed"), F.col(key)))
+    """Every row once per seed, with its sort key.
+
+    The digest comes out of the generator, so that filters and joins on its bucket do not
+    compute it again.
+    """
+    per_seed = [
+        F.struct(F.lit(s).alias("seed"), hash_key(F.lit(s), F.col(key)).alias("__hash"))
+        for s in seeds
+    ]
+    hashed = df.select("*", F.inline(F.array(*per_seed)))
     return hashed.withColumn("__bucket", hash_bucket(F.col("__hash")))
 
 
@@ -59,7 +67,7 @@ def kfold_split(
     source = _seeded(df if population is None else population, key, seeds)
     order = ["__hash", key]
     cuts = rank_cuts(source, ["seed"], order, "__bucket", lambda n: _fold_starts(n, k))
-    placed = place_by_cuts(_seeded(df, key, seeds), cuts, ["seed"], order, "fold")
+    placed = place_by_cuts(_seeded(df, key, seeds), cuts, ["seed"], order, "fold", k - 1)
     return placed.drop("__hash", "__bucket")
 
 
