@@ -131,7 +131,7 @@ def dry_run_limit(spark, sf_dir):
 )
 def slice_completion(spark, sf_dir):
     """Prompt and answer tokens in one array, as a model returns them; the prompt is cut."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"], "text")
     prompt = K.encode(
         C.render_chat(C.messages_inference(F.col("text")), add_generation_prompt=True)
     )
