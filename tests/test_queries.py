@@ -10,6 +10,7 @@ import pytest
 from conftest import ROOT, SF
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import TABLES
+from table_queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def by_name(columns, rows):
     return Counter(tuple(r[i] for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, database, name):
     df = queries()[name](spark, SF)
     cursor = database.execute(oracle_sql()[name])
