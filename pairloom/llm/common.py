@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast(T.StringType()), F.lit(""))
+
+
+def kept_in_worker(name: str, make):
+    """What ``make()`` gives, made once per Python process, so that it outlives a task."""
+    kept = sys.modules.setdefault("_pairloom_kept", types.ModuleType("_pairloom_kept"))
+    if name not in vars(kept):
+        vars(kept)[name] = make()
+    return vars(kept)[name]
