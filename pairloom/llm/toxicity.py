@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import pick, staged, text_or_empty
 
 #: Lengths of the character n-grams, border marks included; hash buckets (a power of two).
-SIZES, BUCKETS = (3, 4, 5, 6), 1 << 18
+SIZES, BUCKETS = (3, 4, 5), 1 << 18
 #: Labelled rows of each class that the model is fitted on, at most; chosen by hash.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 #: Neutral words that every average holds besides the text's own, so that one odd n-gram does
 #: not decide a text of a few words.
 NEUTRAL_WORDS = 25
@@ -107,7 +107,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total / (words + NEUTRAL_WORDS) + self.bias, -500, 500))))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, width: int = 8, epochs: int = 12, rate: float = 1.0, shrink: float = 4e-6, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, width: int = 8, epochs: int = 12, rate: float = 1.0, shrink: float = 6e-6, seed: int = 7) -> Model:
     """Train embeddings (bucket x width) and softmax (width x 2) together by Adagrad.
 
     bags: per text the distinct buckets and their shares (with the neutral words' summing to 1). Both classes weigh
@@ -195,9 +195,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **optio
                 }
             )
 
-    rows = texts.mapInPandas(bags, "doc_id long, label int, keys binary, shares binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["keys"]))
-    return fit([(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows], np.array([r["label"] for r in rows]), **options)
+    # the bags come one part at a time, so the driver's JVM never holds them all
+    rows = staged(texts.mapInPandas(bags, "doc_id long, label int, keys binary, shares binary"), "bags").toLocalIterator()
+    found = [(r["doc_id"], bytes(r["keys"]), r["label"], bytes(r["shares"])) for r in rows]
+    found.sort(key=lambda r: r[:3])
+    return fit([(np.frombuffer(k, np.int32), np.frombuffer(s, np.float32)) for _, k, _, s in found], np.array([r[2] for r in found]), **options)
 
 
 def scores(text_column: str, model: Model, spark):
