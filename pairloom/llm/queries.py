@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import embeddings, simhash, token_counts, toxicity
+from pairloom.llm import embeddings, pieces, simhash, token_counts, toxicity
 from pairloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, limit=2048).drop("prefix_tokens")
 
 
+@query
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = pieces.model_path("piece_bpe_32k.model")
+    return pieces.sampled_pieces(table(spark, sf_dir, "documents"), path, dropout=0.1, seed=42)
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, most=4)
