@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,10 @@ SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: The same, with letters and other characters apart. Fits models whose pieces never mix them.
 _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹²³])+)|{SPACE}+|\n")
-#: Chunks remembered by a worker for each variant; beyond that the memory is begun anew.
-REMEMBERED = 250_000
+#: A run of spaces with what follows up to the next space.
+_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words, and chunks of words, remembered by a worker for each variant; beyond that the memory is begun anew.
+REMEMBERED = 450_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -30,10 +34,21 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+_ODD, _PLACE, _LENGTH = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _turn(place: int, size: int) -> int:
+    x = (place * _PLACE + size * _LENGTH) & _MASK
+    return x ^ (x >> 29)
+
+
 def _mixed(base: int, place: int, size: int) -> int:
     """32 bits for a candidate: keyed by ``base`` (seed, variant and chunk), its place and size."""
-    x = (base ^ (place * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) & _MASK
-    return (((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32
+    return ((base ^ _turn(place, size)) * _ODD & _MASK) >> 32
+
+
+#: The same by table, for short chunks.
+_TURNS = [[_turn(place, size) for size in range(SHORT + 1)] for place in range(SHORT)]
 
 
 class Pieces:
@@ -60,7 +75,7 @@ class Pieces:
         self.rank = {p: -round(model.get_score(i)) for p, i in self.ids.items()}
         one = lambda p: _SCRIPTS.fullmatch(p) or len(p) == 1
         self.chunks = (_SCRIPTS if all(map(one, self.ids)) else _WORDS).findall
-        self.known: dict[int, dict[str, list[int]]] = {}
+        self.known: dict[tuple[int, int, int], tuple[dict[str, bytes], dict[str, list[int]]]] = {}
 
     def segment(self, chunk: str, key: int, dropped: int) -> list[int]:
         """Merge the characters of a chunk, best candidate first. A candidate whose turn has
@@ -77,13 +92,13 @@ class Pieces:
         symbols, places, get = list(chunk), list(range(len(chunk))), self.rank.get
         agenda = [get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
         base = xxhash.xxh64_intdigest(chunk.encode(), key) if dropped else 0
-        while agenda:
+        while agenda:  # an exhausted list has no candidate below _NEVER
             best = min(agenda)
             if best == _NEVER:
                 break
             at = agenda.index(best)
             merged = symbols[at] + symbols[at + 1]
-            if dropped and _mixed(base, places[at], len(merged)) < dropped:
+            if dropped and ((base ^ _TURNS[places[at]][len(merged)]) * _ODD & _MASK) >> 32 < dropped:
                 agenda[at] = _NEVER
                 continue
             symbols[at] = merged
@@ -122,42 +137,54 @@ class Pieces:
                 heapq.heappush(agenda, (s, previous, left, size + len(symbols[previous])))
         return [s for s in symbols if s]
 
-    def encode(self, text: str, seed: int, variant: int, dropped: int) -> list[int]:
-        """Ids of a text. A space mark that stands in the text itself goes out as bytes."""
+    def encode(self, text: str, seed: int, variant: int, dropped: int) -> np.ndarray:
+        """Ids of a text (int32). A space mark that stands in the text itself goes out as bytes."""
         if not text:
-            return []
-        memory = self.known.setdefault((seed, variant, dropped), {})
+            return np.empty(0, np.int32)
+        memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
         key = xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed & _MASK) if dropped else 0
         if SPACE in text:
-            mark = [self.byte_ids[b] for b in SPACE.encode()]
-            out: list[int] = []
-            for n, part in enumerate(text.split(SPACE)):
-                out += (mark if n else []) + (self._chunks(SPACE * (not n) + part.replace(" ", SPACE), memory, key, dropped))
-            return out
-        return self._chunks(SPACE + text.replace(" ", SPACE), memory, key, dropped)
-
-    def _chunks(self, escaped: str, memory: dict, key: int, dropped: int) -> list[int]:
-        out: list[int] = []
-        for chunk in self.chunks(escaped):
-            ids = memory.get(chunk)
-            if ids is None:
-                ids = self.segment(chunk, key, dropped)
-                if len(chunk) <= 64:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[chunk] = ids
-            out += ids
-        return out
+            mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+            parts = text.split(SPACE)
+            first = self._ids([SPACE + parts[0].replace(" ", SPACE)], memory, chunks, key, dropped)
+            rest = [mark + self._ids([p.replace(" ", SPACE)], memory, chunks, key, dropped) for p in parts[1:]]
+            return np.frombuffer(first + b"".join(rest), np.int32)
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            words = _UNITS.findall(SPACE + text.replace(" ", SPACE))
+        else:
+            words = [SPACE + w for w in text.split(" ")]
+        return np.frombuffer(self._ids(words, memory, chunks, key, dropped), np.int32)
+
+    def _ids(self, words: list[str], memory: dict, chunks: dict, key: int, dropped: int) -> bytes:
+        """Ids of words, as the bytes of an int32 array: remembered by word, else by chunk."""
+        new = set(words).difference(memory)
+        if new:
+            if len(memory) + len(new) > REMEMBERED:
+                memory.clear()
+                new = set(words)
+            for word in new:
+                out: list[int] = []
+                for chunk in self.chunks(word):
+                    ids = chunks.get(chunk)
+                    if ids is None:
+                        ids = self.segment(chunk, key, dropped)
+                        if len(chunk) <= 64:
+                            if len(chunks) >= REMEMBERED:
+                                chunks.clear()
+                            chunks[chunk] = ids
+                    out += ids
+                memory[word] = array("i", out).tobytes()
+        return b"".join(map(memory.__getitem__, words))
 
     def decode(self, ids) -> str:
-        table = self.bytes
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> Column:
+def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> Column:
     """Column of piece ids. ``key`` (any long) chooses one of ``variants`` keyed hashes, so equal
-    words differ between texts but a segmentation depends on nothing but seed, key and word."""
+    words differ between texts but a segmentation depends on nothing but seed, variant and word.
+    Another seed gives other segmentations, as for each pass of a training over a corpus."""
     dropped = round(dropout * 2**32)
 
     @F.pandas_udf("array<int>")
@@ -179,7 +206,7 @@ def decode(ids: Column, path: str) -> Column:
     return of(ids)
 
 
-def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, ids, n_pieces, n_bytes_decoded, lossless``.
 
     Byte-pair merges of the model run best score first from an agenda; with probability
