@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import pick, staged, text_or_empty
+from pairloom.llm.common import pick, renamed_back, staged, text_or_empty, with_columns_of
 
 #: Lengths of the character n-grams, border marks included; hash buckets (a power of two).
 SIZES, BUCKETS = (3, 4, 5), 1 << 18
@@ -107,11 +107,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total / (words + NEUTRAL_WORDS) + self.bias, -500, 500))))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, width: int = 8, epochs: int = 12, rate: float = 1.0, shrink: float = 6e-6, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS, width: int = 8, steps: int = 1200, rate: float = 1.0, shrink: float = 4e-6, seed: int = 7) -> Model:
     """Train embeddings (bucket x width) and softmax (width x 2) together by Adagrad.
 
     bags: per text the distinct buckets and their shares (with the neutral words' summing to 1). Both classes weigh
-    the same. ``shrink`` pulls each n-gram's embedding towards zero, so those that tell nothing
+    the same, at any number of rows the same number of steps is made. ``shrink`` pulls each n-gram's embedding towards zero, so those that tell nothing
     stay neutral instead of fitting chance. Without a text of either class the score is the share of label 1 (0.0 if none).
     """
     labels = np.asarray(labels, np.int64)
@@ -125,36 +125,37 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets:
     balance = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
     sizes = np.array([len(k) for k, _ in bags])
     batch = 64
-    for epoch in range(epochs):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            keys = np.concatenate([bags[i][0] for i in rows])
-            share_of = np.concatenate([bags[i][1] for i in rows]).astype(np.float32)
-            row = np.repeat(np.arange(len(rows)), sizes[rows])
-            used, place = np.unique(keys, return_inverse=True)
-            matrix = np.zeros((len(rows), len(used)), np.float32)
-            matrix[row, place] = share_of
-            own = embed[used]
-            hidden = matrix @ own
-            logit = hidden @ soft + bias
-            logit -= logit.max(axis=1, keepdims=True)
-            p = np.exp(logit)
-            p /= p.sum(axis=1, keepdims=True)
-            wrong = p
-            wrong[np.arange(len(rows)), labels[rows]] -= 1
-            wrong *= (balance[labels[rows]] / len(rows))[:, None]
-            to_soft, to_bias, to_hidden = hidden.T @ wrong, wrong.sum(axis=0), wrong @ soft.T
-            to_embed = matrix.T @ to_hidden
-            seen_embed[used] += (to_embed * to_embed).mean(axis=1)
-            step = (rate / np.sqrt(seen_embed[used]))[:, None]
-            own = own - step * to_embed
-            length = np.sqrt((own * own).sum(axis=1, keepdims=True))
-            embed[used] = own * np.maximum(0, 1 - step * shrink / np.maximum(length, 1e-12))
-            seen_soft += to_soft * to_soft
-            soft -= rate * 0.2 * to_soft / np.sqrt(seen_soft)
-            seen_bias += to_bias * to_bias
-            bias -= rate * 0.2 * to_bias / np.sqrt(seen_bias)
+    order = np.empty(0, np.int64)
+    for _ in range(steps):
+        if len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(bags))])
+        rows, order = order[:batch], order[batch:]
+        keys = np.concatenate([bags[i][0] for i in rows])
+        share_of = np.concatenate([bags[i][1] for i in rows]).astype(np.float32)
+        row = np.repeat(np.arange(len(rows)), sizes[rows])
+        used, place = np.unique(keys, return_inverse=True)
+        matrix = np.zeros((len(rows), len(used)), np.float32)
+        matrix[row, place] = share_of
+        own = embed[used]
+        hidden = matrix @ own
+        logit = hidden @ soft + bias
+        logit -= logit.max(axis=1, keepdims=True)
+        p = np.exp(logit)
+        p /= p.sum(axis=1, keepdims=True)
+        wrong = p
+        wrong[np.arange(len(rows)), labels[rows]] -= 1
+        wrong *= (balance[labels[rows]] / len(rows))[:, None]
+        to_soft, to_bias, to_hidden = hidden.T @ wrong, wrong.sum(axis=0), wrong @ soft.T
+        to_embed = matrix.T @ to_hidden
+        seen_embed[used] += (to_embed * to_embed).mean(axis=1)
+        step = (rate / np.sqrt(seen_embed[used]))[:, None]
+        own = own - step * to_embed
+        length = np.sqrt((own * own).sum(axis=1, keepdims=True))
+        embed[used] = own * np.maximum(0, 1 - step * shrink / np.maximum(length, 1e-12))
+        seen_soft += to_soft * to_soft
+        soft -= rate * 0.2 * to_soft / np.sqrt(seen_soft)
+        seen_bias += to_bias * to_bias
+        bias -= rate * 0.2 * to_bias / np.sqrt(seen_bias)
     return Model((embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -213,6 +214,10 @@ def scores(text_column: str, model: Model, spark):
     return of(text_or_empty(text_column))
 
 
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fit_rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
@@ -227,7 +232,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     own = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
     marks = pick(labels, doc_id=id_column, label=label_column).withColumn("label", F.col("label").cast("int"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = fit_on(own, marks.where(~held), fit_rows)
-    scored = own.select("doc_id", held.alias("held_out"), scores("text", model, docs.sparkSession).alias("score"))
+    model = fit_on(own, marks.where(~_held_out()), fit_rows)
+    scored = own.select("doc_id", _held_out().alias("held_out"), scores("text", model, docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; columns and their order stay.
+    Fitted as in :func:`toxicity`, on the labelled rows that are not held out."""
+    flat, own = with_columns_of(docs, doc_id=id_column, text=text_column)
+    marks = pick(labels, doc_id=id_column, label=label_column).withColumn("label", F.col("label").cast("int"))
+    known = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
+    model = fit_on(known, marks.where(~_held_out()), fit_rows)
+    return renamed_back(flat.where(scores("text", model, docs.sparkSession) < threshold), own, docs.columns)
