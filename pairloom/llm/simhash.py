@@ -73,6 +73,12 @@ def search_within(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
     return search_between(values, values, most, same=True)
 
 
+def _checked(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs ``(i, j)``, those whose second fingerprints differ in ``most`` bits at most."""
+    near = np.bitwise_count(left[i] ^ right[j]) <= most
+    return i[near], j[near]
+
+
 def search_between(left: np.ndarray, right: np.ndarray, most: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in ``left``, place in ``right``) that differ in ``most`` bits at most.
 
@@ -146,23 +152,23 @@ def _pairs_in_short_runs(fps: np.ndarray, size: np.ndarray, most: int) -> tuple[
     return left, right
 
 
-def _nodes(most: int):
+def _nodes(most: int, most_second: int):
     """Cut Gray-ordered runs of each bucket into nodes and search inside each node."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         number = 0
 
-        def out(kind, choice, bucket, node, a, b):
+        def out(kind, choice, bucket, node, a, b, fp=0, second=0):
             size = len(a)
             full = lambda x, dtype: np.broadcast_to(np.asarray(x, dtype), size)
-            return pd.DataFrame({"kind": full(kind, "int32"), "choice": full(choice, "int32"), "bucket": full(bucket, "int64"), "node": full(node, "int64"), "a": a, "b": b})
+            return pd.DataFrame({"kind": full(kind, "int32"), "choice": full(choice, "int32"), "bucket": full(bucket, "int64"), "node": full(node, "int64"), "a": a, "b": b, "fp": full(fp, "int64"), "second": full(second, "int64")})
 
         def solve(frame: pd.DataFrame, edge: bool) -> Iterator[pd.DataFrame]:
             """edge: the run may go on in a neighbouring part, so its node takes part in phase two."""
             nonlocal number
             choice, bucket = frame["choice"].to_numpy(), frame["bucket"].to_numpy()
-            fps = frame["fp"].to_numpy().view(np.uint64)
+            fps, second, ids = frame["fp"].to_numpy().view(np.uint64), frame["second"].to_numpy().view(np.uint64), frame["id"].to_numpy()
             new = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])])
             stop = np.r_[new[1:], len(frame)]
             last = len(new) - 1
@@ -173,14 +179,13 @@ def _nodes(most: int):
                     x, y = search_within(fps[at : min(at + NODE, stop[i])], most)
                     left.append(x + at)
                     right.append(y + at)
-            if left:
-                a, b = _stars(fps.view(np.int64), np.concatenate(left), np.concatenate(right))
-                yield out(0, 0, 0, 0, a, b)
+            pairs = _checked(second, second, np.concatenate(left), np.concatenate(right), most_second)
+            yield out(0, 0, 0, 0, *_stars(ids, *pairs))
             for i in range(len(new)):
                 if stop[i] - new[i] > NODE or edge and i in (0, last):
                     for at in range(new[i], stop[i], NODE):
-                        own = fps[at : min(at + NODE, stop[i])].view(np.int64)
-                        yield out(1, choice[new[i]], bucket[new[i]], number, own, own)
+                        own = slice(at, min(at + NODE, stop[i]))
+                        yield out(1, choice[new[i]], bucket[new[i]], number, ids[own], ids[own], fps[own].view(np.int64), second[own].view(np.int64))
                         number += 1
 
         # whole buckets are solved together; the last bucket of a batch waits for the next batch
@@ -203,9 +208,10 @@ def _nodes(most: int):
     return cut
 
 
-def fingerprint_components(fps: DataFrame, most: int = 4, blocks: int = 6) -> DataFrame:
-    """Distinct longs ``fp`` to ``(node, root)``: which are linked, over any number of steps, by
-    pairs that differ in ``most`` bits at most. Fingerprints without a link have no row.
+def fingerprint_components(fps: DataFrame, most: int = 4, blocks: int = 6, most_second: int = BITS) -> DataFrame:
+    """``(id, fp, second)`` to ``(node, root)``: which ids are linked, over any number of steps, by
+    pairs whose ``fp`` differ in ``most`` bits and ``second`` in ``most_second`` bits at most.
+    Ids without a link have no row.
 
     Two such fingerprints agree in ``blocks - most`` of the ``blocks`` bit blocks. Each
     fingerprint is listed once for each choice of that many blocks; the list is sorted by
@@ -224,22 +230,22 @@ def fingerprint_components(fps: DataFrame, most: int = 4, blocks: int = 6) -> Da
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
     # an unsigned order is a signed one with the top bit turned
     order = rank.bitwiseXOR(F.lit(-(1 << (BITS - 1)))).alias("gray")
-    listed = fps.select("fp", order).select("fp", "gray", choices).select("c.choice", "c.bucket", "gray", "fp")
+    listed = fps.select("id", "fp", "second", order).select("id", "fp", "second", "gray", choices).select("c.choice", "c.bucket", "gray", "fp", "second", "id")
     parts = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = listed.repartitionByRange(int(parts), "choice", "bucket", "gray").sortWithinPartitions("choice", "bucket", "gray")
     found = staged(
         dealt.drop("gray")
-        .mapInPandas(_nodes(most), "kind int, choice int, bucket long, node long, a long, b long")
+        .mapInPandas(_nodes(most, most_second), "kind int, choice int, bucket long, node long, a long, b long, fp long, second long")
         .withColumn("part", F.spark_partition_id()),
         "nodes",
     )
     links = found.where("kind = 0").select("a", "b")
-    across = found.where("kind = 1").select("choice", "bucket", "part", "node", F.col("a").alias("fp"))
-    return components(links.union(_links_across(across, most)))
+    across = found.where("kind = 1").select("choice", "bucket", "part", "node", F.col("a").alias("of"), "fp", "second")
+    return components(links.union(_links_across(across, most, most_second)))
 
 
-def _links_across(rows: DataFrame, most: int) -> DataFrame:
-    """Links between different nodes of one bucket. rows: choice, bucket, part, node, fp."""
+def _links_across(rows: DataFrame, most: int, most_second: int) -> DataFrame:
+    """Links between different nodes of one bucket. rows: choice, bucket, part, node, of, fp, second."""
     keys = ["choice", "bucket", "part", "node"]
     nodes = rows.groupBy(*keys).agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"))
     nodes = nodes.select("choice", "bucket", F.struct("part", "node").alias("id"), "ones", F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some"))).alias("mask"))
@@ -249,17 +255,20 @@ def _links_across(rows: DataFrame, most: int) -> DataFrame:
     pairs = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (differ <= most))
     pairs = pairs.select(F.col("x.id").alias("left"), F.col("y.id").alias("right"))
     sides = pairs.select(F.posexplode(F.array("left", "right")).alias("side", "id"), "left", "right")
-    opened = sides.join(rows.select(F.struct("part", "node").alias("id"), "fp"), "id").select("left", "right", "side", "fp")
+    opened = sides.join(rows.select(F.struct("part", "node").alias("id"), "of", "fp", "second"), "id").select("left", "right", "side", "of", "fp", "second")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         each = []
         for side in (0, 1):
-            own = frame.loc[frame["side"] == side, "fp"].to_numpy().view(np.uint64)
-            each.append(own[np.argsort(gray_rank(own))])
-        if not len(each[0]) or not len(each[1]):
+            own = frame[frame["side"] == side]
+            fp = own["fp"].to_numpy().view(np.uint64)
+            order = np.argsort(gray_rank(fp))
+            each.append((fp[order], own["second"].to_numpy().view(np.uint64)[order], own["of"].to_numpy()[order]))
+        (x, x_second, x_of), (y, y_second, y_of) = each
+        if not len(x) or not len(y):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        i, j = search_between(*each, most)
-        a, b = _stars(np.concatenate(each).view(np.int64), i, j + len(each[0]))
+        i, j = _checked(x_second, y_second, *search_between(x, y, most), most_second)
+        a, b = _stars(np.concatenate([x_of, y_of]), i, j + len(x))
         return pd.DataFrame({"a": a, "b": b})
 
     return opened.groupBy("left", "right").applyInPandas(compare, "a long, b long")
@@ -278,31 +287,45 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component_id. An empty table gives an empty result. Further columns are ignored.
     """
     own = pick(docs, doc_id=id_column, text=text_column)
-    marked = staged(own.select("doc_id", fingerprints("text", words).alias("fp")), "fingerprints")
+    marked = staged(own.select("doc_id", fingerprints("text", words).alias("fp"), F.lit(0).cast("long").alias("second")), "fingerprints")
     return with_components(marked, most).select("doc_id", F.col("fp").alias("fingerprint_bits"), "component_id")
 
 
-def with_components(marked: DataFrame, most: int) -> DataFrame:
-    """Rows with ``doc_id`` and ``fp``: adds ``root`` (of the component) and ``component_id``."""
-    known = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "known")
-    rooted = components_of(known, most)
+def with_components(marked: DataFrame, most: int, blocks: int = 6, most_second: int = BITS) -> DataFrame:
+    """Rows with ``doc_id``, ``fp`` and ``second``: adds ``root`` (of the component) and ``component_id``."""
+    known = marked.groupBy("fp", "second").agg(F.min("doc_id").alias("low"))
+    known = staged(known.withColumn("id", F.monotonically_increasing_id()), "known")
+    found = fingerprint_components(known, most, blocks, most_second)
+    rooted = known.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = staged(rooted.select("fp", "root").join(lowest, "root"), "named")
-    return marked.join(named, "fp")
-
-
-def components_of(known: DataFrame, most: int) -> DataFrame:
-    found = fingerprint_components(known.select("fp"), most)
-    return known.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, most: int = 4) -> DataFrame:
+    named = staged(rooted.select("fp", "second", "root").join(lowest, "root"), "named")
+    return marked.join(named, ["fp", "second"])
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    words: int = 2,
+    most: int = 8,
+    blocks: int = 10,
+    words_second: int = 5,
+    most_second: int = 13,
+) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (null ids last, and
-    any one of rows that repeat an id). Columns and their order stay."""
+    any one of rows that repeat an id). Columns and their order stay.
+
+    Texts whose ``words_second``-word shingles have a similarity of 0.8 and more have a
+    fingerprint of these at a distance of 10 bits on average, too far for an index; one of
+    ``words``-word shingles is at half of that. So links are searched by the latter within
+    ``most`` bits, and hold where the former differ in ``most_second`` bits at most.
+    Null and empty texts are equal texts, of which one stays. No rows: no rows.
+    """
     all_rows, own = with_columns_of(docs, doc_id=id_column, text=text_column)
-    numbered = all_rows.select(*own, "doc_id", fingerprints("text", words).alias("fp"), F.monotonically_increasing_id().alias("row"))
+    prints = (fingerprints("text", words).alias("fp"), fingerprints("text", words_second).alias("second"))
+    numbered = all_rows.select(*own, "doc_id", *prints, F.monotonically_increasing_id().alias("row"))
     marked = staged(numbered, "marked")
-    rooted = with_components(marked.select("doc_id", "fp", "row"), most)
+    rooted = with_components(marked.select("doc_id", "fp", "second", "row"), most, blocks, most_second)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     kept = rooted.groupBy("root").agg(first).select(F.col("first.row").alias("row"))
     return renamed_back(marked.join(kept, "row", "left_semi"), own, docs.columns)
