@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import kept_in_worker, pick, text_or_empty
+from pairloom.llm.common import kept_in_worker, pick, text_or_empty, with_columns_of
 
 SPACE = "▁"
 #: A run of spaces with the word after it: no piece holds a line feed, or a space after a letter.
@@ -22,7 +22,7 @@ _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹
 #: A run of spaces with what follows up to the next space.
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words, and chunks of words, remembered by a worker for each variant; beyond that the memory is begun anew.
-REMEMBERED = 450_000
+REMEMBERED = 200_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -75,7 +75,7 @@ class Pieces:
         self.rank = {p: -round(model.get_score(i)) for p, i in self.ids.items()}
         one = lambda p: _SCRIPTS.fullmatch(p) or len(p) == 1
         self.chunks = (_SCRIPTS if all(map(one, self.ids)) else _WORDS).findall
-        self.known: dict[tuple[int, int, int], tuple[dict[str, bytes], dict[str, list[int]]]] = {}
+        self.known: dict[tuple[int, int, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
     def segment(self, chunk: str, key: int, dropped: int) -> list[int]:
         """Merge the characters of a chunk, best candidate first. A candidate whose turn has
@@ -146,34 +146,34 @@ class Pieces:
         if SPACE in text:
             mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
             parts = text.split(SPACE)
-            first = self._ids([SPACE + parts[0].replace(" ", SPACE)], memory, chunks, key, dropped)
-            rest = [mark + self._ids([p.replace(" ", SPACE)], memory, chunks, key, dropped) for p in parts[1:]]
+            first = self._ids([SPACE + parts[0].replace(" ", SPACE)], "", {}, chunks, key, dropped)
+            rest = [mark + self._ids([p.replace(" ", SPACE)], "", {}, chunks, key, dropped) for p in parts[1:]]
             return np.frombuffer(first + b"".join(rest), np.int32)
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = _UNITS.findall(SPACE + text.replace(" ", SPACE))
-        else:
-            words = [SPACE + w for w in text.split(" ")]
-        return np.frombuffer(self._ids(words, memory, chunks, key, dropped), np.int32)
+            return np.frombuffer(self._ids(words, "", {}, chunks, key, dropped), np.int32)
+        return np.frombuffer(self._ids(text.split(" "), SPACE, memory, chunks, key, dropped), np.int32)
 
-    def _ids(self, words: list[str], memory: dict, chunks: dict, key: int, dropped: int) -> bytes:
-        """Ids of words, as the bytes of an int32 array: remembered by word, else by chunk."""
+    def _ids(self, words: list[str], before: str, memory: dict, chunks: dict, key: int, dropped: int) -> bytes:
+        """Ids of words, each with ``before`` in front, as the bytes of an int32 array:
+        remembered by word, else by chunk."""
         new = set(words).difference(memory)
         if new:
             if len(memory) + len(new) > REMEMBERED:
                 memory.clear()
                 new = set(words)
             for word in new:
-                out: list[int] = []
-                for chunk in self.chunks(word):
+                out = []
+                for chunk in self.chunks(before + word):
                     ids = chunks.get(chunk)
                     if ids is None:
-                        ids = self.segment(chunk, key, dropped)
+                        ids = array("i", self.segment(chunk, key, dropped)).tobytes()
                         if len(chunk) <= 64:
                             if len(chunks) >= REMEMBERED:
                                 chunks.clear()
                             chunks[chunk] = ids
-                    out += ids
-                memory[word] = array("i", out).tobytes()
+                    out.append(ids)
+                memory[word] = b"".join(out)
         return b"".join(map(memory.__getitem__, words))
 
     def decode(self, ids) -> str:
@@ -222,3 +222,20 @@ def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int =
     coded = own.withColumn("ids", encode(F.col("text"), F.col("doc_id").cast("long"), path, dropout, seed, variants))
     back = coded.withColumn("back", decode(F.col("ids"), path))
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.octet_length("back").cast("long").alias("n_bytes_decoded"), (F.col("back") == F.col("text")).alias("lossless"))
+
+
+def with_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", ids_name: str = "piece_ids") -> DataFrame:
+    """``docs`` with a last column of piece ids (a null text has an empty array). A column that
+    has this name already stays as it is and the new one is numbered.
+
+    Raises, in the job, if an encoding does not decode to its whole text.
+    """
+    flat, own = with_columns_of(docs, doc_id=id_column, text=text_column)
+    plain = flat.withColumn("text", text_or_empty())
+    coded = plain.withColumn("ids", encode(F.col("text"), F.xxhash64("doc_id"), path, dropout, seed))
+    back = decode(F.col("ids"), path)
+    sure = F.when(back == F.col("text"), F.col("ids")).otherwise(F.raise_error(F.lit("pieces do not decode to their text")).cast("array<int>"))
+    name, taken = ids_name, {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_1"
+    return coded.select(*own, sure.alias("ids")).toDF(*docs.columns, name)
