@@ -30,11 +30,22 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
     return {r["w"].encode(): places[i] for i, r in enumerate(top)}
 
 
-def token_ids(text: str, words: dict[bytes, int]) -> np.ndarray:
-    """Ids of the words of a whole text; a word outside the vocabulary has the class of its end."""
+class Ids(dict):
+    """Ids of words; a word outside the vocabulary has the class of its end, remembered once found."""
+
+    REMEMBERED = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        found = 1 + (word[-1] * 31 + word[-2:][0] * 7 + min(len(word), 12)) % SUFFIXES
+        if len(self) < self.REMEMBERED:
+            self[word] = found
+        return found
+
+
+def token_ids(text: str, words: Ids) -> np.ndarray:
+    """Ids of the words of a whole text."""
     parts = text.lower().encode("utf-8", "surrogatepass").split()
-    get = words.get
-    return np.fromiter((get(w) or 1 + (w[-1] * 31 + w[-2:][0] * 7 + min(len(w), 12)) % SUFFIXES for w in parts), np.int32, len(parts))
+    return np.fromiter(map(words.__getitem__, parts), np.int16, len(parts))
 
 
 @dataclass
@@ -110,7 +121,9 @@ class Network:
         _adagrad(self.bias, back.sum(axis=0), seen.bias, rate)
         for j, context in enumerate(around):
             by_word = np.argsort(context, kind="stable")
-            used, starts = np.unique(context[by_word], return_index=True)
+            in_order = context[by_word]
+            starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+            used = in_order[starts]
             slope = np.add.reduceat(back[by_word], starts, axis=0)
             squares = seen.near[j][used] + slope * slope
             seen.near[j][used] = squares
@@ -118,9 +131,10 @@ class Network:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """In place. Scores beyond 60 differ from 60 by less than a float32 tells apart."""
+    np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
     return x
 
 
@@ -131,7 +145,7 @@ def _adagrad(weights: np.ndarray, slope: np.ndarray, seen: np.ndarray, rate: flo
 
 def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other with pads between, and the positions of their words."""
-    gap = np.full(REACH, _PAD, np.int32)
+    gap = np.full(REACH, _PAD, np.int16)
     ids = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = REACH + np.concatenate([[0], np.cumsum(sizes + REACH)[:-1]])
@@ -143,9 +157,9 @@ def _trained(words: dict[bytes, int], start: np.ndarray, rate: float):
     """Train on every word of the documents of a task; its weights go out with their number of words."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen, n = Network.of(start), Network.of(np.full(len(start), 1e-6)), 0
+        known, model, seen, n = Ids(words), Network.of(start), Network.of(np.full(len(start), 1e-6)), 0
         for frame in batches:
-            ids, at = stream([token_ids(t, words) for t in frame["text"]])
+            ids, at = stream([token_ids(t, known) for t in frame["text"]])
             for i in range(0, len(at), POSITIONS_AT_ONCE):
                 model.step(ids, at[i : i + POSITIONS_AT_ONCE], seen, rate)
             n += len(at)
@@ -181,8 +195,7 @@ def scores(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, id_col
 
     @F.pandas_udf("n_tokens long, log_likelihood double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, flat = shared.value
-        model = Network.of(flat)
+        known, model = Ids(shared.value[0]), Network.of(shared.value[1])
         for texts in batches:
             each = [token_ids(t, known) for t in texts]
             sizes = np.array([len(t) for t in each], np.int64)
