@@ -9,9 +9,11 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pairloom.plans.corpus_build import CorpusOptions, run_corpus_build
 from pairloom.session import builder
+from pairloom.sources.files import FILE_COLUMNS
 
 READ_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
 
@@ -25,30 +27,36 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     build.add_argument("--batch-size", type=int, default=8192, help="Parquet rows per batch")
     build.add_argument("--unordered", action="store_true", help="skip the final sort")
     build.add_argument("--grammar-habits", action="store_true", help="see the README")
-    build.add_argument("--report-rows", type=int, default=1000, help="files to print")
+    build.add_argument("--staging", help="shared folder for intermediate tables")
     return parser.parse_args(argv)
 
 
-def _print_report(report: DataFrame | None, order: list[str], rows: int) -> None:
+def _print_totals(kind: str, report: DataFrame | None) -> None:
+    """Sums over all files; the row of each file is in the report table beside the corpus."""
     if report is not None:
-        report.orderBy(*order).show(rows, truncate=False)
+        counters = [c for c in report.columns if c not in FILE_COLUMNS]
+        sums = report.agg(*(F.sum(c).alias(c) for c in counters)).first()
+        print(kind, *(f"{c}={sums[c] or 0}" for c in counters))
 
 
 def main(argv: list[str] | None = None) -> int:
     args = _arguments(argv)
     spark = builder("pairloom").getOrCreate()
     spark.conf.set(READ_BATCH, args.batch_size)
-    options = CorpusOptions(grammar_habits=args.grammar_habits, ordered=not args.unordered)
+    options = CorpusOptions(
+        grammar_habits=args.grammar_habits, ordered=not args.unordered, staging=args.staging
+    )
     try:
         report = run_corpus_build(spark, args.source, args.destination, options)
     except FileNotFoundError as error:
         print(error, file=sys.stderr)
         return 1
     if report.total_files == 0:
-        print("no .parquet or .jsonl files under any dataset folder")
+        print("nothing to read: no dataset folder holds Parquet or JSON lines")
         return 0
-    for table in (report.parquet_files, report.jsonl_files):
-        _print_report(table, ["folder", "file"], args.report_rows)
+    print(f"files={report.total_files} staging={report.staging}")
+    _print_totals("parquet", report.parquet_files)
+    _print_totals("jsonl", report.jsonl_files)
     return 0
 
 

@@ -38,6 +38,28 @@ def left_pad(
     ).withColumn(ids, left_padded(F.col(ids), F.col("__width"), pad)).drop("__width")
 
 
+def padded_batches(
+    df: DataFrame,
+    key: str,
+    ids: Column,
+    pad: Column,
+    batch_size: int = INFERENCE_BATCH_SIZE,
+) -> DataFrame:
+    """Rows in batches by ``key`` (unique), with whole ``input_ids`` padded to the batch's longest.
+
+    Only (key, size) is ranked and gathered by batch; ``df`` meets its batch number and width
+    in one join, and the token arrays are made after it.
+    """
+    slim = batch_ids(df.select(key, F.size(ids).alias("__size")), key, batch_size)
+    widths = slim.groupBy("batch_id").agg(F.max("__size").alias("__width"))
+    placed = slim.join(widths, "batch_id").select(key, "batch_id", "__width")
+    width = F.col("__width")
+    encoded = df.join(placed, key).withColumn("input_ids", ids)
+    return encoded.withColumn("attention_mask", left_padded_mask(F.col("input_ids"), width)).withColumn(
+        "input_ids", left_padded(F.col("input_ids"), width, pad)
+    ).drop("__width")
+
+
 def first_batch(
     df: DataFrame, order: Sequence[str], batch_size: int = INFERENCE_BATCH_SIZE
 ) -> DataFrame:

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.filters import both_present
-
 
 def pair_last_wins(
     df: DataFrame,
@@ -36,25 +34,28 @@ def pair_last_wins(
     return wanted.groupBy(*keys).agg(*picks)
 
 
-def complete_pairs(df: DataFrame, first: str, second: str) -> DataFrame:
-    return both_present(df, first, second)
-
-
 def pair_digest(columns: Sequence[str]) -> Column:
-    """Digest of the dedup key; equal keys have equal digests."""
-    return F.sha2(F.concat_ws("\u0000", *columns), 256)
+    """Digest of the dedup key.  Lengths stand before the values, so no two keys read alike."""
+    parts = [
+        F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-")) for c in columns
+    ]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def dedup_keep_first(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    digest: Column | None = None,
 ) -> DataFrame:
     """Keep the first row, by ``order``, of every distinct key.
 
     The digest leads the sort so that most comparisons end early; the key columns follow
     it because equality is on the text.  The rank filter is pushed below the shuffle
     (one surviving row per key and task), which is also what keeps hot keys small.
+    ``digest``: the keys' :func:`pair_digest` where it is known already.
     """
-    ranked = df.withColumn("__digest", pair_digest(keys)).withColumn(
+    ranked = df.withColumn("__digest", pair_digest(keys) if digest is None else digest).withColumn(
         "__rank",
         F.row_number().over(Window.partitionBy("__digest", *keys).orderBy(*order)),
     )

@@ -95,8 +95,10 @@ def rank_cuts(
     bucket: str,
     ranks: Callable[[Column], Column],
     out: str = "cuts",
+    size: str | None = None,
 ) -> DataFrame:
-    """Sort-key values at chosen ranks: one row per group, ``cuts`` sorted.
+    """Sort-key values at chosen ranks: one row per group, ``cuts`` sorted; equal ranks give
+    one cut.  ``size`` names a column for the number of rows of the group.
 
     ``ranks(n)`` gives the 0-based ranks (an array) for a group of n rows; a rank the group
     does not reach has no cut.  ``place_by_cuts`` then tells for any row how many cuts it
@@ -109,7 +111,9 @@ def rank_cuts(
         & (F.col("__rank") < F.col("__start") + F.col("__size"))
     )
     targets = holding.groupBy(*group, bucket).agg(
-        F.min("__start").alias("__start"), F.collect_set("__rank").alias("__ranks")
+        F.min("__start").alias("__start"),
+        F.collect_set("__rank").alias("__ranks"),
+        F.first("__n").alias("__n"),
     )
     # as many rows as there are cuts, so broadcasting it has a fixed bound
     inside = df.select(*group, bucket, *order).join(F.broadcast(targets), [*group, bucket])
@@ -120,7 +124,8 @@ def rank_cuts(
         - 1,
     )
     cuts = ranked.where(F.array_contains("__ranks", F.col("__at")))
-    return cuts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order))).alias(out))
+    found = [F.sort_array(F.collect_list(F.struct(*order))).alias(out)]
+    return cuts.groupBy(*group).agg(*found, *([F.first("__n").alias(size)] if size else []))
 
 
 def place_by_cuts(
@@ -152,8 +157,9 @@ def global_rank(
     spans = _bucket_spans(df, group, bucket).select(*group, bucket, "__start")
     within = Window.partitionBy(*group, bucket).orderBy(*order)
     ranked = df.withColumn("__place", F.row_number().over(within))
-    # one row per bucket: bounded by the bucket count, not by the table
-    joined = ranked.join(F.broadcast(spans), [*group, bucket])
+    # Without a group there is one row per bucket, a fixed number; how many groups there are
+    # is not known here, so with groups Spark sizes the table itself.
+    joined = ranked.join(spans if group else F.broadcast(spans), [*group, bucket])
     return joined.withColumn(out, F.col("__start") + F.col("__place") - 1).drop(
         "__start", "__place"
     )

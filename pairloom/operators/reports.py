@@ -24,18 +24,20 @@ def clean_report(
         .groupBy(*file, "__digest")
         .agg(F.count("*").alias("__rows"))
     )
-    # Incomplete lines share the null digest: one row per file there, like any other pair.
     place = F.row_number().over(
         Window.partitionBy("__digest").orderBy(*(file_order or file))
     )
-    both = F.col("__digest").isNotNull()
+    # incomplete lines have no digest and stay out of the window: their number is not bounded
+    pairs = per_pair.where(F.col("__digest").isNotNull()).withColumn("__place", place)
+    others = per_pair.where(F.col("__digest").isNull()).withColumn("__place", F.lit(0))
+    both = F.col("__place") > 0
     report = (
-        per_pair.withColumn("__first", both & (place == 1))
+        pairs.unionByName(others)
         .groupBy(*file)
         .agg(
             F.sum("__rows").alias("lines_read"),
             F.sum(F.when(both, F.col("__rows")).otherwise(0)).alias("with_both"),
-            F.count_if("__first").alias("written"),
+            F.count_if(F.col("__place") == 1).alias("written"),
         )
     )
     return report.withColumn("duplicates", F.col("with_both") - F.col("written"))
@@ -47,3 +49,10 @@ def rows_per_file(df: DataFrame, file: Sequence[str]) -> DataFrame:
 
 def files_processed(df: DataFrame, file: Sequence[str]) -> DataFrame:
     return df.select(*file).distinct().agg(F.count("*").alias("total_files"))
+
+
+def with_all_files(report: DataFrame, listing: DataFrame, file: Sequence[str]) -> DataFrame:
+    """The report with a row of zeros for every listed file it lacks."""
+    counters = [c for c in report.columns if c not in file]
+    joined = listing.select(*file).distinct().join(report, list(file), "left")
+    return joined.select(*file, *(F.coalesce(c, F.lit(0)).alias(c) for c in counters))

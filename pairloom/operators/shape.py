@@ -21,14 +21,3 @@ def computed_once(
         made = F.filter(made, lambda it: keep(it))
     return df.select("*", F.inline(made))
 
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give a scan with few partitions enough of them to use all cores.
-
-    A Parquet row group is read by one task, so a small file with one large row group
-    would run costly expressions on one core.  Only for plain scans, where the number of
-    partitions is known from planning; scans with enough partitions are left alone, so
-    large tables are not shuffled.  ``key`` should be close to unique.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

@@ -118,35 +118,27 @@ def split_by_shares(
     holdout_share: float = HOLDOUT_SHARE,
     test_share: float = TEST_SHARE_OF_HOLDOUT,
 ) -> DataFrame:
-    """Two-step split: hold out a share, then halve it into validation and test.
+    """Hold out a share of the rows, and a share of these for the test.
 
-    Held-out and test sizes round up.
+    Held-out and test sizes round up.  One uniform ranking with two cuts: the test rows come
+    first, then validation, then training.
     """
     rows = _seeded(df, key, [seed])
     order = ["__hash", key]
-    held_cut = rank_cuts(
-        rows,
-        ["seed"],
-        order,
-        "__bucket",
-        lambda n: F.array(F.ceil(n * F.lit(holdout_share))),
-    )
-    held = place_by_cuts(rows, held_cut, ["seed"], order, "__train")
-    again = held.withColumn(
-        "__hash", hash_key(F.lit(f"{seed}|holdout"), F.col(key))
-    ).withColumn("__bucket", hash_bucket(F.col("__hash")))
-    test_cut = rank_cuts(
-        again.where("__train = 0"),
-        ["seed"],
-        order,
-        "__bucket",
-        lambda n: F.array(F.ceil(n * F.lit(test_share))),
-    )
-    placed = place_by_cuts(again, test_cut, ["seed"], order, "__val")
-    split = (
-        F.when(F.col("__train") == 1, "train").when(F.col("__val") == 0, "test").otherwise("val")
-    )
-    return placed.withColumn("split", split).drop("__hash", "__bucket", "__train", "__val", "seed")
+
+    def ranks(n: Column) -> Column:
+        held = F.ceil(n * F.lit(holdout_share))
+        return F.array(F.ceil(held * F.lit(test_share)), held)
+
+    cuts = rank_cuts(rows, ["seed"], order, "__bucket", ranks, size="__n")
+    joined = rows.join(F.broadcast(cuts), "seed", "left")
+    here = F.struct(*order)
+    # no cut is reached: all rows are test rows; no row beyond the held-out ones: none trains
+    in_test = F.col("cuts").isNull() | (here < F.get("cuts", F.lit(0)))
+    all_held = F.ceil(F.col("__n") * F.lit(holdout_share)) >= F.col("__n")
+    in_val = all_held | (here < F.element_at("cuts", -1))
+    split = F.when(in_test, "test").when(in_val, "val").otherwise("train")
+    return joined.withColumn("split", split).drop("__hash", "__bucket", "cuts", "__n", "seed")
 
 
 def split_sizes(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:

@@ -39,12 +39,17 @@ from pairloom.operators.pairs import (
     pair_digest,
     pair_last_wins,
 )
-from pairloom.operators.reports import clean_report, files_processed, rows_per_file
+from pairloom.operators.reports import (
+    clean_report,
+    files_processed,
+    rows_per_file,
+    with_all_files,
+)
 from pairloom.operators.shape import computed_once
-from pairloom.session import checkpoint_dir
 from pairloom.sources.files import (
     FILE_COLUMNS,
     ORDER_COLUMNS,
+    listed_files,
     root_exists,
     scan_jsonl,
     scan_parquet,
@@ -62,6 +67,9 @@ class CorpusOptions:
     )
     grammar_habits: bool = False
     ordered: bool = True
+    # folder for intermediate tables, which all executors share; by default one beside the
+    # corpus, hidden to Spark's readers
+    staging: str | None = None
 
 
 def paired_rows(rows: DataFrame, options: CorpusOptions) -> DataFrame:
@@ -99,7 +107,9 @@ def paired_rows(rows: DataFrame, options: CorpusOptions) -> DataFrame:
 
 def cleaned_lines(lines: DataFrame, options: CorpusOptions) -> DataFrame:
     """JSONL branch before dedup: every line, with a pair digest where it is complete."""
-    parsed = computed_once(lines, {"record": parse_record(F.col("value"))}).drop("value")
+    # bytes that are not UTF-8 stop the build
+    valid = F.validate_utf8(F.col("value"))
+    parsed = computed_once(lines, {"record": parse_record(valid)}).drop("value")
     record = F.col("record")
     usable = (
         has_keys(record, ["C", "Rust"]) & is_string(record, "C") & is_string(record, "Rust")
@@ -135,8 +145,8 @@ def cleaned_lines(lines: DataFrame, options: CorpusOptions) -> DataFrame:
 
 def unique_records(cleaned: DataFrame) -> DataFrame:
     """First record of every distinct pair over all JSONL files."""
-    complete = cleaned.where(F.col("digest").isNotNull()).drop("digest")
-    return dedup_keep_first(complete, PAIR_COLUMNS, ORDER_COLUMNS)
+    complete = cleaned.where(F.col("digest").isNotNull())
+    return dedup_keep_first(complete, PAIR_COLUMNS, ORDER_COLUMNS, F.col("digest")).drop("digest")
 
 
 def build_corpus(
@@ -165,6 +175,8 @@ class CorpusReport:
     parquet_files: DataFrame | None
     jsonl_files: DataFrame | None
     total_files: int
+    # the intermediate tables of the run; may be deleted once the report has been read
+    staging: str | None = None
 
 
 def run_corpus_build(
@@ -177,32 +189,41 @@ def run_corpus_build(
     """Build, write and report.
 
     A missing root is an error; a root without usable files writes nothing.  The cleaned
-    lines feed both the corpus and the report, so they are written once to the shared
-    checkpoint folder instead of being cleaned twice.
+    lines feed both the corpus and the report, so they are written once to the staging
+    folder instead of being cleaned twice.  The report has a row for every file found, and
+    is written as tables ``<name>.report/parquet`` and ``/jsonl`` beside the corpus.
     """
     options = options or CorpusOptions()
     if not root_exists(spark, root):
-        raise FileNotFoundError(f"source root not found or not a directory: {root}")
+        raise FileNotFoundError(f"no such folder of datasets: {root}")
     rows, lines = scan_parquet(spark, root), scan_jsonl(spark, root)
-    stage = f"{checkpoint_dir(spark)}/corpus-build-{uuid.uuid4().hex}"
+    target = f"{destination.rstrip('/')}/{name}"
+    stage = f"{options.staging or destination.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     branches: list[DataFrame] = []
-    files: list[DataFrame] = []
+    files: dict[str, DataFrame] = {}
     parquet_report = jsonl_report = None
     if rows is not None:
         paired_rows(rows, options).write.parquet(f"{stage}/pairs")
         pairs = spark.read.parquet(f"{stage}/pairs")
         branches.append(pairs)
         parquet_report = rows_per_file(pairs, FILE_COLUMNS)
-        files.append(rows.select(*FILE_COLUMNS))
+        files["parquet"] = listed_files(spark, root, "parquet")
     if lines is not None:
         cleaned_lines(lines, options).write.parquet(f"{stage}/lines")
         cleaned = spark.read.parquet(f"{stage}/lines")
         branches.append(unique_records(cleaned))
         jsonl_report = clean_report(cleaned, FILE_COLUMNS, F.col("digest"))
-        files.append(lines.select(*FILE_COLUMNS))
+        files["jsonl"] = listed_files(spark, root, "jsonl")
     if not branches:
         return CorpusReport(None, None, 0)
     corpus = merge_sources(branches).select(*CORPUS_COLUMNS)
-    write_corpus(corpus, f"{destination.rstrip('/')}/{name}", options.ordered)
-    total = files_processed(merge_sources(files), FILE_COLUMNS).first()["total_files"]
-    return CorpusReport(parquet_report, jsonl_report, total)
+    write_corpus(corpus, target, options.ordered)
+    reports = {"parquet": parquet_report, "jsonl": jsonl_report}
+    for kind, report in reports.items():
+        if report is not None:
+            path = f"{target}.report/{kind}"
+            with_all_files(report, files[kind], FILE_COLUMNS).write.mode("overwrite").parquet(path)
+            reports[kind] = spark.read.parquet(path)
+    found = merge_sources(list(files.values()))
+    total = files_processed(found, FILE_COLUMNS).first()["total_files"]
+    return CorpusReport(reports["parquet"], reports["jsonl"], total, stage)

@@ -30,6 +30,11 @@ def path_part(index: int) -> Column:
     return F.element_at(F.split(F.url_decode(path), "/"), index)
 
 
+def part_number(file: Column) -> Column:
+    """Number of a part file; names alone sort part-100000 before part-99999."""
+    return F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("bigint")
+
+
 def path_or_none(load) -> DataFrame | None:
     try:
         return load()
@@ -40,8 +45,34 @@ def path_or_none(load) -> DataFrame | None:
 
 
 def root_exists(spark: SparkSession, root: str) -> bool:
-    """``binaryFile`` lists a folder without opening the files in it."""
-    return path_or_none(lambda: spark.read.format("binaryFile").load(root)) is not None
+    """Whether ``root`` is a folder, asked of the file system of its path; nothing is listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(files.exists(path) and files.getFileStatus(path).isDirectory())
+
+
+def listed_files(spark: SparkSession, root: str, suffix: str) -> DataFrame | None:
+    """Folder and file of every file with the suffix, empty ones too, without reading any."""
+    raw = path_or_none(
+        lambda: spark.read.format("binaryFile").load(file_glob(root, suffix)).select("_metadata")
+    )
+    if raw is None:
+        return None
+    return in_dataset_folder(raw, root).select(
+        path_part(-2).alias("folder"), path_part(-1).alias("file")
+    )
+
+
+def in_dataset_folder(scan: DataFrame, root: str) -> DataFrame:
+    """Rows of files that lie directly in a folder of ``root``.
+
+    A folder may carry a data suffix too; the files in it are one level deeper and no data.
+    """
+    depth = len([p for p in root.split("://")[-1].rstrip("/").split("/") if p])
+    parts = F.size(F.filter(F.split(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9+.-]+:/+", "/"), "/"), lambda p: p != ""))
+    if "://" not in root and not root.startswith("/"):
+        return scan  # a relative root: its depth is not known here
+    return scan.where(parts == depth + 2)
 
 
 def scan_parquet(spark: SparkSession, root: str) -> DataFrame | None:
@@ -54,7 +85,7 @@ def scan_parquet(spark: SparkSession, root: str) -> DataFrame | None:
     )
     if raw is None:
         return None
-    return raw.select(
+    return in_dataset_folder(raw, root).select(
         "task_name",
         "language_name",
         "code",
@@ -83,7 +114,9 @@ def with_text_order(lines: DataFrame) -> DataFrame:
 def scan_jsonl(spark: SparkSession, root: str) -> DataFrame | None:
     """Non-blank lines of every JSONL file; None when there is no such file."""
     raw = path_or_none(lambda: spark.read.text(file_glob(root, "jsonl")))
-    return None if raw is None else non_blank(with_text_order(raw), "value")
+    if raw is None:
+        return None
+    return non_blank(with_text_order(in_dataset_folder(raw, root)), "value")
 
 
 def load_corpus(spark: SparkSession, path: str, schema: str | None = CORPUS_SCHEMA) -> DataFrame:
@@ -108,7 +141,9 @@ def load_corpus_with_position(
         F.count("*").alias("__size"), F.min("row").alias("__first")
     )
     before = F.sum("__size").over(
-        Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+        Window.orderBy("folder", part_number(F.col("file")), "file", "block").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
     )
     starts = blocks.select(*at, "__first", F.coalesce(before, F.lit(0)).alias("__start"))
     record = F.from_json("value", schema, {"mode": "FAILFAST"})

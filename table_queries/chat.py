@@ -10,7 +10,7 @@ from pairloom.functions import tokens as K
 from pairloom.operators import grid
 from pairloom.operators.shape import computed_once
 from table_queries.pairs import SQL_PAIRS, conversation_pairs
-from table_queries.registry import query, spread_table, sql_text, table
+from table_queries.registry import query, sql_text, table
 
 _BOTH = "c_code IS NOT NULL AND safe_rust_code IS NOT NULL"
 _SYSTEM = sql_text(SYSTEM_PROMPT)
@@ -155,9 +155,7 @@ _TOKEN_SQL = sql_text(K.TOKEN_PATTERN)
     """
 )
 def completion_mask(spark, sf_dir):
-    turns = spread_table(
-        spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"], "text"
-    ).select("conv_id", "turn", F.expr(_TURN_TEXT).alias("rendered"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").select("conv_id", "turn", F.expr(_TURN_TEXT).alias("rendered"))
     encoded = computed_once(
         turns, {"ids": K.encode(F.col("rendered")), "marker": K.encode(F.lit(RESPONSE_MARKER))}
     )

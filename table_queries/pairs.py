@@ -8,7 +8,7 @@ from pairloom.functions.text import finalize_snippet
 from pairloom.operators import filters, pairs, reports
 from pairloom.operators.shape import computed_once
 from table_queries import dress
-from table_queries.registry import query, spread_table, table
+from table_queries.registry import query, table
 
 # A short turn stands in for a snippet that is not text: it clears the slot.
 _VALUE = "CASE WHEN length(text) >= 60 THEN text END"
@@ -166,9 +166,7 @@ def merge_sources(spark, sf_dir):
 
 def cleaned_documents(spark, sf_dir):
     """Both sides made from a document's text, cleaned; blank and comment-only ones too."""
-    docs = spread_table(
-        spark, sf_dir, "documents", ["doc_id", "source", "n_chars", "text"], "doc_id"
-    ).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text").select(
         "doc_id",
         "source",
         F.expr(dress.AS_C).alias("raw_c"),

@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from pairloom.functions import records as R
 from pairloom.operators import filters
 from pairloom.operators.shape import computed_once
-from table_queries.registry import query, spread_table, table
+from table_queries.registry import query, table
 
 _DROP_RULES = {"src3": ("id",), "src7": ("id", "n")}
 
 
 def _lines(spark, sf_dir):
-    docs = spread_table(
-        spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars", "text"], "doc_id"
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     labels = table(spark, sf_dir, "labels")
     options = {"ignoreNullFields": "false"}
     label = F.col("source").alias("name")

@@ -4,8 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.operators.shape import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -30,13 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(
-    spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str
-) -> DataFrame:
-    """A table for costly per-row work: enough partitions to use all cores."""
-    return spread(table(spark, sf_dir, name).select(*columns), key)
-
-
 def sql_text(value: str) -> str:
     """A SQL string literal (standard quoting, no backslash escapes)."""
     return "'" + value.replace("'", "''") + "'"

@@ -18,7 +18,7 @@ from table_queries.chat import (
 )
 from table_queries.dress import SQL_SPACE
 from table_queries.pairs import SQL_PAIRS, conversation_pairs
-from table_queries.registry import query, spread_table, sql_text, table
+from table_queries.registry import query, sql_text, table
 
 _TOKENS = f"regexp_extract_all(text, {sql_text(K.TOKEN_PATTERN)})"
 _CUT = f"list_slice({_TOKENS}, 1, 8192)"
@@ -32,7 +32,7 @@ _CUT = f"list_slice({_TOKENS}, 1, 8192)"
     """
 )
 def encode_truncate(spark, sf_dir):
-    docs = spread_table(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = computed_once(docs, {"tokens": K.encode(F.col("text"))})
     ids = K.truncate(F.col("tokens"))
     mask_sum = F.aggregate(K.attention_mask(ids), F.lit(0), lambda a, x: a + x)
@@ -92,7 +92,7 @@ def batch_ids(spark, sf_dir):
 @query(
     _SQL_BATCHES
     + f"""
-    , encoded AS (SELECT doc_id, batch_id, {_CUT} AS ids FROM numbered),
+    , encoded AS (SELECT doc_id, batch_id, {_TOKENS} AS ids FROM numbered),
     sized AS (
       SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM encoded
     )
@@ -104,16 +104,12 @@ def batch_ids(spark, sf_dir):
 )
 def left_pad(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    numbered = batches.batch_ids(docs, "doc_id")
-    encoded = numbered.select(
-        "doc_id", "batch_id", K.encode_truncate(F.col("text")).alias("ids")
-    )
-    padded = batches.left_pad(encoded, "ids", F.lit("_"))
+    padded = batches.padded_batches(docs, "doc_id", K.encode(F.col("text")), F.lit("_"))
     return padded.select(
         "doc_id",
         "batch_id",
-        F.size("ids").cast("bigint").alias("width"),
-        F.array_join("ids", "").alias("padded"),
+        F.size("input_ids").cast("bigint").alias("width"),
+        F.array_join("input_ids", "").alias("padded"),
         F.array_join("attention_mask", "").alias("mask"),
     )
 
@@ -131,7 +127,7 @@ def dry_run_limit(spark, sf_dir):
 )
 def slice_completion(spark, sf_dir):
     """Prompt and answer tokens in one array, as a model returns them; the prompt is cut."""
-    turns = spread_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"], "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     prompt = K.encode(
         C.render_chat(C.messages_inference(F.col("text")), add_generation_prompt=True)
     )

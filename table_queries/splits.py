@@ -57,19 +57,14 @@ def kfold_train_val(spark, sf_dir):
 
 
 _SQL_SHARES = """
-    WITH first_rank AS (
+    WITH ranked AS (
       SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42|', doc_id)), doc_id) - 1 AS place,
-             count(*) OVER () AS n
+             ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS held
       FROM documents
-    ), held AS (
-      SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42|holdout|', doc_id)), doc_id) - 1
-               AS place,
-             count(*) OVER () AS n
-      FROM first_rank WHERE place < ceil(n * CAST(0.2 AS DOUBLE))
     ), shares AS (
-      SELECT f.doc_id, CASE WHEN h.doc_id IS NULL THEN 'train'
-             WHEN h.place < ceil(h.n * CAST(0.5 AS DOUBLE)) THEN 'test' ELSE 'val' END AS split
-      FROM first_rank f LEFT JOIN held h ON f.doc_id = h.doc_id
+      SELECT doc_id, CASE WHEN place < ceil(held * CAST(0.5 AS DOUBLE)) THEN 'test'
+             WHEN place < held THEN 'val' ELSE 'train' END AS split
+      FROM ranked
     )
 """
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pairloom.functions import text as T
 from pairloom.operators import filters
 from table_queries import dress
-from table_queries.registry import query, spread_table, table
+from table_queries.registry import query, table
 
 
 def _texts(spark, sf_dir):
-    return spread_table(spark, sf_dir, "documents", ["doc_id", "lang", "n_chars", "text"], "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
 
 
 @query(

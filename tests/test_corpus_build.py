@@ -165,7 +165,10 @@ def test_missing_and_empty_roots(spark, tmp_path):
 def test_command_line(spark, tree, tmp_path, capsys):
     assert main(["build", str(tree), str(tmp_path / "out"), "--batch-size", "3", "--unordered"]) == 0
     assert spark.read.text(str(tmp_path / "out" / CORPUS_NAME)).count() == len(EXPECTED)
-    assert "one.parquet" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "files=4" in out and "lines_read=11" in out
+    report = spark.read.parquet(str(tmp_path / "out" / f"{CORPUS_NAME}.report" / "parquet"))
+    assert "one.parquet" in {r["file"] for r in report.collect()}
     assert main(["build", str(tmp_path / "nowhere"), str(tmp_path / "out")]) == 1
     (tmp_path / "bare").mkdir()
     assert main(["build", str(tmp_path / "bare"), str(tmp_path / "out2")]) == 0
