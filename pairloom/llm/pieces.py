@@ -22,7 +22,7 @@ _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹
 #: A run of spaces with what follows up to the next space.
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words, and chunks of words, remembered by a worker for each variant; beyond that the memory is begun anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -51,6 +51,17 @@ def _mixed(base: int, place: int, size: int) -> int:
 _TURNS = [[_turn(place, size) for size in range(SHORT + 1)] for place in range(SHORT)]
 
 
+_TURN_TABLE = np.array(_TURNS, np.uint64)
+_NO_PAIR = 1 << 40
+#: Texts whose words are learned together, and chunks that are merged together.
+TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 512, 16384
+
+
+def _plain(text: str) -> bool:
+    """Single spaces between words, none at the ends, and no space mark."""
+    return "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
+
+
 class Pieces:
     """The pieces of a BPE model with byte fallback: ids and ranks for merging, bytes for decoding."""
 
@@ -73,10 +84,103 @@ class Pieces:
                 self.bytes.append(piece.replace(SPACE, " ").encode())
         # merges go by score, best first; the score falls with the id
         self.rank = {p: -round(model.get_score(i)) for p, i in self.ids.items()}
+        self._tables()
         one = lambda p: _SCRIPTS.fullmatch(p) or len(p) == 1
         self.chunks = (_SCRIPTS if all(map(one, self.ids)) else _WORDS).findall
         self.known: dict[tuple[int, int, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
+    def _tables(self) -> None:
+        """Arrays for merging many chunks together: symbol of each character, turn of each pair
+        (its place in the order of scores), and the symbol made and its length by turn. Symbols
+        are ids; a character that is no piece has a symbol above all."""
+        count = len(self.bytes)
+        order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (self.rank[p], self.ids[p]))
+        turn_of = {p: i for i, p in enumerate(order)}
+        self.made = np.array([self.ids[p] for p in order], np.int64)
+        self.lengths = np.array([len(p) for p in order], np.int64)
+        self.symbol_of = np.arange(count, count + 0x110000, dtype=np.int64)
+        pairs = []
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs.append((left << 32 | right, turn_of[piece]))
+        pairs.sort()
+        self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
+        self.pair_turn = np.array([i for _, i in pairs] + [_NO_PAIR], np.int64)
+
+    def _turns(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_turn[at], _NO_PAIR)
+
+    def segment_many(self, chunks: list[str], key: int, dropped: int) -> dict[str, bytes]:
+        """What :meth:`segment` gives for each chunk, as int32 bytes; short chunks of one length
+        take their turns together, each with the best candidate of its own agenda."""
+        found: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for chunk in chunks:
+            if 1 < len(chunk) <= SHORT:
+                by_length.setdefault(len(chunk), []).append(chunk)
+            else:
+                found[chunk] = array("i", self.segment(chunk, key, dropped)).tobytes()
+        for length, own in by_length.items():
+            for at in range(0, len(own), CHUNKS_AT_ONCE):
+                self._take_turns(own[at : at + CHUNKS_AT_ONCE], length, key, dropped, found)
+        return found
+
+    def _take_turns(self, chunks: list[str], length: int, key: int, dropped: int, found: dict[str, bytes]) -> None:
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+        base = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in chunks], np.uint64) if dropped else None
+        symbols = self.symbol_of[points]
+        places = np.broadcast_to(np.arange(length), symbols.shape).copy()
+        agenda = np.full(symbols.shape, _NO_PAIR)
+        agenda[:, :-1] = self._turns(symbols[:, :-1], symbols[:, 1:])
+        size = np.full(len(chunks), length)
+        rows = np.arange(len(chunks))
+        column = np.arange(length)
+        while len(rows):
+            at = agenda[rows].argmin(axis=1)
+            best = agenda[rows, at]
+            going = best < _NO_PAIR
+            rows, at, best = rows[going], at[going], best[going]
+            if dropped and len(rows):
+                mixed = (base[rows] ^ _TURN_TABLE[places[rows, at], self.lengths[best]]) * np.uint64(_ODD)
+                skip = (mixed >> np.uint64(32)).astype(np.int64) < dropped
+                agenda[rows[skip], at[skip]] = _NO_PAIR
+                moved, at, best = rows[~skip], at[~skip], best[~skip]
+            else:
+                moved = rows
+            if not len(moved):
+                continue
+            # the right half of each merged pair goes, what follows it moves up by one
+            after = np.minimum(column + (column > at[:, None]), length - 1)
+            own, place = symbols[moved], places[moved]
+            own[np.arange(len(moved)), at] = self.made[best]
+            own, place = np.take_along_axis(own, after, 1), np.take_along_axis(place, after, 1)
+            wish = np.take_along_axis(agenda[moved], np.minimum(column + (column >= at[:, None]), length - 1), 1)
+            wish[:, -1] = _NO_PAIR
+            size[moved] -= 1
+            line = np.arange(len(moved))
+            right = at + 1 < size[moved]
+            wish[line, at] = _NO_PAIR
+            wish[line[right], at[right]] = self._turns(own[line[right], at[right]], own[line[right], at[right] + 1])
+            left = at > 0
+            wish[line[left], at[left] - 1] = self._turns(own[line[left], at[left] - 1], own[line[left], at[left]])
+            symbols[moved], places[moved], agenda[moved] = own, place, wish
+        count = len(self.bytes)
+        for i, chunk in enumerate(chunks):
+            ids = symbols[i, : size[i]]
+            if ids.max() < count:
+                found[chunk] = ids.astype(np.int32).tobytes()
+            else:
+                out: list[int] = []
+                for x in ids.tolist():
+                    out.extend([x] if x < count else [self.byte_ids[b] for b in chr(x - count).encode("utf-8", "surrogatepass")])
+                found[chunk] = array("i", out).tobytes()
+
     def segment(self, chunk: str, key: int, dropped: int) -> list[int]:
         """Merge the characters of a chunk, best candidate first. A candidate whose turn has
         come is skipped for good if its keyed hash is below ``dropped`` (of 2**32)."""
@@ -142,14 +246,14 @@ class Pieces:
         if not text:
             return np.empty(0, np.int32)
         memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
-        key = xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed & _MASK) if dropped else 0
+        key = self._key(seed, variant, dropped)
         if SPACE in text:
             mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
             parts = text.split(SPACE)
             first = self._ids([SPACE + parts[0].replace(" ", SPACE)], "", {}, chunks, key, dropped)
             rest = [mark + self._ids([p.replace(" ", SPACE)], "", {}, chunks, key, dropped) for p in parts[1:]]
             return np.frombuffer(first + b"".join(rest), np.int32)
-        if "  " in text or text[0] == " " or text[-1] == " ":
+        if not _plain(text):
             words = _UNITS.findall(SPACE + text.replace(" ", SPACE))
             return np.frombuffer(self._ids(words, "", {}, chunks, key, dropped), np.int32)
         return np.frombuffer(self._ids(text.split(" "), SPACE, memory, chunks, key, dropped), np.int32)
@@ -162,20 +266,41 @@ class Pieces:
             if len(memory) + len(new) > REMEMBERED:
                 memory.clear()
                 new = set(words)
-            for word in new:
-                out = []
-                for chunk in self.chunks(before + word):
-                    ids = chunks.get(chunk)
-                    if ids is None:
-                        ids = array("i", self.segment(chunk, key, dropped)).tobytes()
-                        if len(chunk) <= 64:
-                            if len(chunks) >= REMEMBERED:
-                                chunks.clear()
-                            chunks[chunk] = ids
-                    out.append(ids)
-                memory[word] = b"".join(out)
+            self._learn(new, before, memory, chunks, key, dropped)
         return b"".join(map(memory.__getitem__, words))
 
+    def _learn(self, new: set[str], before: str, memory: dict, chunks: dict, key: int, dropped: int) -> None:
+        parts = {word: self.chunks(before + word) for word in new}
+        unseen = {c for own in parts.values() for c in own if c not in chunks}
+        if len(chunks) + len(unseen) > REMEMBERED:
+            chunks.clear()
+            unseen = {c for own in parts.values() for c in own}
+        chunks.update(self.segment_many(list(unseen), key, dropped))
+        get = chunks.__getitem__
+        for word, own in parts.items():
+            memory[word] = b"".join(map(get, own))
+
+    def encode_all(self, texts, variants, seed: int, dropped: int):
+        """Ids of many texts, one after the other; the words of ``TEXTS_AT_ONCE`` texts are
+        learned together."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            own, which = texts[at : at + TEXTS_AT_ONCE], variants[at : at + TEXTS_AT_ONCE]
+            for variant in set(which):
+                memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
+                plain = [t for t, v in zip(own, which) if v == variant and t and _plain(t)]
+                new = set().union(*(t.split(" ") for t in plain)).difference(memory)
+                if len(memory) + len(new) > REMEMBERED:
+                    memory.clear()
+                    new = set().union(*(t.split(" ") for t in plain))
+                if new:
+                    self._learn(new, SPACE, memory, chunks, self._key(seed, variant, dropped), dropped)
+            for text, variant in zip(own, which):
+                yield self.encode(text, seed, variant, dropped)
+
+    @staticmethod
+    def _key(seed: int, variant: int, dropped: int) -> int:
+        return xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed & _MASK) if dropped else 0
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
@@ -190,7 +315,28 @@ def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series, variant: pd.Series) -> pd.Series:
         own = kept_in_worker(f"pieces {path}", lambda: Pieces(path))
-        return pd.Series([own.encode(t, seed, v, dropped) for t, v in zip(texts, variant)], dtype=object)
+        return pd.Series(list(own.encode_all(texts.tolist(), variant.tolist(), seed, dropped)), dtype=object)
+
+    return of(text, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
+
+
+def encode_checked(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> Column:
+    """As :func:`encode`, with the proof: ``struct(ids, n_bytes, lossless)``, where n_bytes is the
+    size of the text that the ids decode to. Each text is decoded and compared where it was
+    encoded, so no second copy of the texts of a batch is held or sent."""
+    dropped = round(dropout * 2**32)
+
+    @F.pandas_udf("ids array<int>, n_bytes long, lossless boolean")
+    def of(texts: pd.Series, variant: pd.Series) -> pd.DataFrame:
+        own = kept_in_worker(f"pieces {path}", lambda: Pieces(path))
+        ids, sizes, same = [], [], []
+        whole = texts.tolist()
+        for t, coded in zip(whole, own.encode_all(whole, variant.tolist(), seed, dropped)):
+            ids.append(coded)
+            back = own.decode(coded)
+            sizes.append(len(back.encode("utf-8", "surrogatepass")))
+            same.append(back == t)
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_bytes": np.array(sizes, np.int64), "lossless": np.array(same, bool)})
 
     return of(text, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
 
@@ -219,9 +365,8 @@ def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int =
     as bytes, so they come back as themselves. An empty table gives an empty result.
     """
     own = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
-    coded = own.withColumn("ids", encode(F.col("text"), F.col("doc_id").cast("long"), path, dropout, seed, variants))
-    back = coded.withColumn("back", decode(F.col("ids"), path))
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.octet_length("back").cast("long").alias("n_bytes_decoded"), (F.col("back") == F.col("text")).alias("lossless"))
+    coded = own.select("doc_id", encode_checked(F.col("text"), F.col("doc_id").cast("long"), path, dropout, seed, variants).alias("e"))
+    return coded.select("doc_id", "e.ids", F.size("e.ids").cast("long").alias("n_pieces"), F.col("e.n_bytes").alias("n_bytes_decoded"), "e.lossless")
 
 
 def with_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", ids_name: str = "piece_ids") -> DataFrame:
@@ -232,9 +377,8 @@ def with_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0,
     """
     flat, own = with_columns_of(docs, doc_id=id_column, text=text_column)
     plain = flat.withColumn("text", text_or_empty())
-    coded = plain.withColumn("ids", encode(F.col("text"), F.xxhash64("doc_id"), path, dropout, seed))
-    back = decode(F.col("ids"), path)
-    sure = F.when(back == F.col("text"), F.col("ids")).otherwise(F.raise_error(F.lit("pieces do not decode to their text")).cast("array<int>"))
+    coded = plain.withColumn("e", encode_checked(F.col("text"), F.xxhash64("doc_id"), path, dropout, seed))
+    sure = F.when(F.col("e.lossless"), F.col("e.ids")).otherwise(F.raise_error(F.lit("pieces do not decode to their text")).cast("array<int>"))
     name, taken = ids_name, {c.lower() for c in docs.columns}
     while name.lower() in taken:
         name += "_1"
