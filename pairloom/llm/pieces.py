@@ -5,12 +5,16 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.llm.common import kept_in_worker, pick, text_or_empty, with_columns_of
 
@@ -21,8 +25,9 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹²³])+)|{SPACE}+|\n")
 #: A run of spaces with what follows up to the next space.
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words, and chunks of words, remembered by a worker for each variant; beyond that the memory is begun anew.
-REMEMBERED = 400_000
+#: Words and chunks of words that a worker remembers for each variant: the first it meets, among
+#: which are the frequent ones.
+MOST_WORDS, MOST_CHUNKS = 200_000, 400_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -54,7 +59,7 @@ _TURNS = [[_turn(place, size) for size in range(SHORT + 1)] for place in range(S
 _TURN_TABLE = np.array(_TURNS, np.uint64)
 _NO_PAIR = 1 << 40
 #: Texts whose words are learned together, and chunks that are merged together.
-TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 512, 16384
+TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 16384
 
 
 def _plain(text: str) -> bool:
@@ -96,6 +101,9 @@ class Pieces:
         count = len(self.bytes)
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (self.rank[p], self.ids[p]))
         turn_of = {p: i for i, p in enumerate(order)}
+        # pieces of equal score go by place, which only the one-by-one forms know
+        equal = [p for p, q in zip(order, order[1:] + order[:1]) if self.rank[p] == self.rank[q]]
+        self.tied = re.compile("|".join(map(re.escape, equal))) if equal else None
         self.made = np.array([self.ids[p] for p in order], np.int64)
         self.lengths = np.array([len(p) for p in order], np.int64)
         self.symbol_of = np.arange(count, count + 0x110000, dtype=np.int64)
@@ -122,7 +130,7 @@ class Pieces:
         found: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for chunk in chunks:
-            if 1 < len(chunk) <= SHORT:
+            if 1 < len(chunk) <= SHORT and not (self.tied and self.tied.search(chunk)):
                 by_length.setdefault(len(chunk), []).append(chunk)
             else:
                 found[chunk] = array("i", self.segment(chunk, key, dropped)).tobytes()
@@ -242,60 +250,46 @@ class Pieces:
         return [s for s in symbols if s]
 
     def encode(self, text: str, seed: int, variant: int, dropped: int) -> np.ndarray:
-        """Ids of a text (int32). A space mark that stands in the text itself goes out as bytes."""
-        if not text:
-            return np.empty(0, np.int32)
+        """Ids of a text (int32)."""
+        return next(self.encode_all([text], [variant], seed, dropped))
+
+    def encode_all(self, texts: list[str], variants: list[int], seed: int, dropped: int) -> Iterator[np.ndarray]:
+        """Ids of many texts, one after the other. The distinct words of ``TEXTS_AT_ONCE`` texts
+        are looked up together; only chunks of words are remembered beyond them. A space mark
+        that stands in a text itself goes out as bytes."""
+        mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            group = list(zip(texts[at : at + TEXTS_AT_ONCE], variants[at : at + TEXTS_AT_ONCE]))
+            known: dict[int, dict[str, bytes]] = {}
+            for variant in {v for _, v in group}:
+                words = set().union(*(t.split(" ") for t, v in group if v == variant and t and _plain(t)))
+                known[variant] = self._words(words, SPACE, seed, variant, dropped)
+            for text, variant in group:
+                if not text:
+                    yield np.empty(0, np.int32)
+                elif _plain(text):
+                    yield np.frombuffer(b"".join(map(known[variant].__getitem__, text.split(" "))), np.int32)
+                else:
+                    out = []
+                    for n, part in enumerate(text.split(SPACE)):
+                        units = _UNITS.findall((SPACE if n == 0 else "") + part.replace(" ", SPACE))
+                        own = self._words(set(units), "", seed, variant, dropped)
+                        out += [mark] * (n > 0) + [own[u] for u in units]
+                    yield np.frombuffer(b"".join(out), np.int32)
+
+    def _words(self, words: set[str], before: str, seed: int, variant: int, dropped: int) -> dict[str, bytes]:
+        """Ids of words, each with ``before`` in front, as the bytes of int32 arrays."""
         memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
-        key = self._key(seed, variant, dropped)
-        if SPACE in text:
-            mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
-            parts = text.split(SPACE)
-            first = self._ids([SPACE + parts[0].replace(" ", SPACE)], "", {}, chunks, key, dropped)
-            rest = [mark + self._ids([p.replace(" ", SPACE)], "", {}, chunks, key, dropped) for p in parts[1:]]
-            return np.frombuffer(first + b"".join(rest), np.int32)
-        if not _plain(text):
-            words = _UNITS.findall(SPACE + text.replace(" ", SPACE))
-            return np.frombuffer(self._ids(words, "", {}, chunks, key, dropped), np.int32)
-        return np.frombuffer(self._ids(text.split(" "), SPACE, memory, chunks, key, dropped), np.int32)
-
-    def _ids(self, words: list[str], before: str, memory: dict, chunks: dict, key: int, dropped: int) -> bytes:
-        """Ids of words, each with ``before`` in front, as the bytes of an int32 array:
-        remembered by word, else by chunk."""
-        new = set(words).difference(memory)
-        if new:
-            if len(memory) + len(new) > REMEMBERED:
-                memory.clear()
-                new = set(words)
-            self._learn(new, before, memory, chunks, key, dropped)
-        return b"".join(map(memory.__getitem__, words))
-
-    def _learn(self, new: set[str], before: str, memory: dict, chunks: dict, key: int, dropped: int) -> None:
-        parts = {word: self.chunks(before + word) for word in new}
+        known = {word: memory[word] for word in words if word in memory} if before else {}
+        parts = {word: self.chunks(before + word) for word in words.difference(known)}
         unseen = {c for own in parts.values() for c in own if c not in chunks}
-        if len(chunks) + len(unseen) > REMEMBERED:
-            chunks.clear()
-            unseen = {c for own in parts.values() for c in own}
-        chunks.update(self.segment_many(list(unseen), key, dropped))
-        get = chunks.__getitem__
-        for word, own in parts.items():
-            memory[word] = b"".join(map(get, own))
-
-    def encode_all(self, texts, variants, seed: int, dropped: int):
-        """Ids of many texts, one after the other; the words of ``TEXTS_AT_ONCE`` texts are
-        learned together."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            own, which = texts[at : at + TEXTS_AT_ONCE], variants[at : at + TEXTS_AT_ONCE]
-            for variant in set(which):
-                memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
-                plain = [t for t, v in zip(own, which) if v == variant and t and _plain(t)]
-                new = set().union(*(t.split(" ") for t in plain)).difference(memory)
-                if len(memory) + len(new) > REMEMBERED:
-                    memory.clear()
-                    new = set().union(*(t.split(" ") for t in plain))
-                if new:
-                    self._learn(new, SPACE, memory, chunks, self._key(seed, variant, dropped), dropped)
-            for text, variant in zip(own, which):
-                yield self.encode(text, seed, variant, dropped)
+        fresh = self.segment_many(list(unseen), self._key(seed, variant, dropped), dropped)
+        get = lambda c: chunks[c] if c in chunks else fresh[c]
+        found = {word: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for word, own in parts.items()}
+        chunks.update(islice(fresh.items(), max(0, MOST_CHUNKS - len(chunks))))
+        if before:
+            memory.update(islice(found.items(), max(0, MOST_WORDS - len(memory))))
+        return known | found
 
     @staticmethod
     def _key(seed: int, variant: int, dropped: int) -> int:
@@ -320,25 +314,36 @@ def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int
     return of(text, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
 
 
-def encode_checked(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> Column:
-    """As :func:`encode`, with the proof: ``struct(ids, n_bytes, lossless)``, where n_bytes is the
-    size of the text that the ids decode to. Each text is decoded and compared where it was
-    encoded, so no second copy of the texts of a batch is held or sent."""
+def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> DataFrame:
+    """``rows`` (with a column ``text`` that has no nulls) and the columns ``ids``, ``n_bytes`` (of
+    the text that the ids decode to) and ``lossless``.
+
+    Each text is decoded and compared where it was encoded. Rows go through in slices of
+    ``TEXTS_AT_ONCE``, so a task holds the ids and copies of no more texts than that.
+    """
     dropped = round(dropout * 2**32)
 
-    @F.pandas_udf("ids array<int>, n_bytes long, lossless boolean")
-    def of(texts: pd.Series, variant: pd.Series) -> pd.DataFrame:
+    def code(batches):
         own = kept_in_worker(f"pieces {path}", lambda: Pieces(path))
-        ids, sizes, same = [], [], []
-        whole = texts.tolist()
-        for t, coded in zip(whole, own.encode_all(whole, variant.tolist(), seed, dropped)):
-            ids.append(coded)
-            back = own.decode(coded)
-            sizes.append(len(back.encode("utf-8", "surrogatepass")))
-            same.append(back == t)
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_bytes": np.array(sizes, np.int64), "lossless": np.array(same, bool)})
-
-    return of(text, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                texts = part.column("text").to_pylist()
+                ids, sizes, same = [], [], []
+                for text, coded in zip(texts, own.encode_all(texts, part.column("variant").to_pylist(), seed, dropped)):
+                    back = own.decode(coded)
+                    ids.append(coded)
+                    sizes.append(len(back.encode("utf-8", "surrogatepass")))
+                    same.append(back == text)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                more = [lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
+                kept = [n for n in part.schema.names if n != "variant"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *more], [*kept, "ids", "n_bytes", "lossless"])
+
+    keyed = rows.withColumn("variant", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
+    made = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    return keyed.mapInArrow(code, made)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -365,8 +370,8 @@ def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int =
     as bytes, so they come back as themselves. An empty table gives an empty result.
     """
     own = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
-    coded = own.select("doc_id", encode_checked(F.col("text"), F.col("doc_id").cast("long"), path, dropout, seed, variants).alias("e"))
-    return coded.select("doc_id", "e.ids", F.size("e.ids").cast("long").alias("n_pieces"), F.col("e.n_bytes").alias("n_bytes_decoded"), "e.lossless")
+    coded = encode_checked(own, F.col("doc_id").cast("long"), path, dropout, seed, variants)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("n_bytes").alias("n_bytes_decoded"), "lossless")
 
 
 def with_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", ids_name: str = "piece_ids") -> DataFrame:
@@ -377,8 +382,8 @@ def with_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0,
     """
     flat, own = with_columns_of(docs, doc_id=id_column, text=text_column)
     plain = flat.withColumn("text", text_or_empty())
-    coded = plain.withColumn("e", encode_checked(F.col("text"), F.xxhash64("doc_id"), path, dropout, seed))
-    sure = F.when(F.col("e.lossless"), F.col("e.ids")).otherwise(F.raise_error(F.lit("pieces do not decode to their text")).cast("array<int>"))
+    coded = encode_checked(plain, F.xxhash64("doc_id"), path, dropout, seed)
+    sure = F.when(F.col("lossless"), F.col("ids")).otherwise(F.raise_error(F.lit("pieces do not decode to their text")).cast("array<int>"))
     name, taken = ids_name, {c.lower() for c in docs.columns}
     while name.lower() in taken:
         name += "_1"
