@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE, SHORTEST = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Labelled strings of each class that the models are trained on, at most; chosen by hash.
 FIT_ROWS = 20_000
-#: Mean log-likelihood ratio per character from which a candidate is a secret.
+#: Mean log-likelihood ratio per character from which a candidate is a secret: above zero the
+#: random model fits better; trained on alphabets that differ, ordinary words are far below.
 THRESHOLD = 0.7
 #: First character of the models' alphabet and its size (plus, minus, digits, letters and between).
 _FIRST, _SIZE = 43, 80
@@ -96,7 +97,10 @@ def samples_from(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     random = docs.select(F.explode(marked).alias("value")).distinct().orderBy(F.xxhash64("value")).limit(fit_rows)
     # a random string may be written in either case
     random = random.select(F.explode(F.array(F.col("value"), F.upper("value"), F.lower("value"))).alias("value")).distinct()
-    plain = docs.where(~text.rlike(f"{ACCESS}|{HEX}")).select(text).orderBy(F.xxhash64("text")).limit(fit_rows // 20)
+    # hashes choose the documents, so no task gathers texts of every partition
+    ordinary = docs.where(~text.rlike(f"{ACCESS}|{HEX}")).select(F.xxhash64("text").alias("h"), "text")
+    chosen = staged(ordinary.select("h").distinct().orderBy("h").limit(fit_rows // 20), "chosen")
+    plain = ordinary.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     words = plain.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("value"))
     joined = words.select(F.explode(F.array(F.col("value"), F.lower("value"), F.upper("value"))).alias("value"))
     return random.select("value", F.lit(1).alias("label")).unionByName(joined.select("value", F.lit(0).alias("label")))
