@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import LANG_C, LANG_RUST, NBSP, WHITESPACE
 
-# Nesting of Rust block comments the pattern covers; see ``deeper_than``.
+# Nesting of Rust block comments that the usual pattern covers, and the one for texts with more
+# openings than that.  Nesting beyond the second is an error, never a wrong text.
 RUST_COMMENT_DEPTH = 64
+RUST_COMMENT_DEPTH_MOST = 510
 
 # Patterns have the form ``(kept)|comment``.  The kept part takes a whole stretch of code
 # and literals at once, so a text has about two matches per comment; a character no
@@ -130,7 +132,25 @@ def strip_c_comments(code: Column, keep_macro_text: bool = False) -> Column:
 def strip_rust_comments(
     code: Column, depth: int = RUST_COMMENT_DEPTH, doc_newline: bool = False
 ) -> Column:
-    """Delete Rust line, doc and nested block comments."""
+    """Delete Rust line, doc and nested block comments.
+
+    A text with at most ``depth`` + 1 openings cannot nest deeper than the pattern covers.  One
+    with more goes through the deeper pattern; where even that leaves nesting uncovered, the
+    job stops.
+    """
+    usual = _strip_rust(code, depth, doc_newline)
+    if depth >= RUST_COMMENT_DEPTH_MOST:
+        return usual
+    openings = (F.length(code) - F.length(F.replace(code, F.lit("/*"), F.lit("")))) / 2
+    deep = _strip_rust(code, RUST_COMMENT_DEPTH_MOST, doc_newline)
+    too_deep = (openings > RUST_COMMENT_DEPTH_MOST + 1) & (
+        deep != _strip_rust(code, RUST_COMMENT_DEPTH_MOST + 1, doc_newline)
+    )
+    stop = F.raise_error(F.lit(f"block comments nest deeper than {RUST_COMMENT_DEPTH_MOST + 1}"))
+    return F.when(openings <= depth + 1, usual).when(too_deep, stop).otherwise(deep)
+
+
+def _strip_rust(code: Column, depth: int, doc_newline: bool) -> Column:
     kept, comment = _rust_parts(depth, doc_newline)
     return F.regexp_replace(code, f"(?s)((?:{kept})++)|{comment}", "$1")
 
@@ -140,7 +160,7 @@ def deeper_than(code: Column, depth: int = RUST_COMMENT_DEPTH) -> Column:
 
     One more level changes the result exactly in that case.
     """
-    return strip_rust_comments(code, depth) != strip_rust_comments(code, depth + 1)
+    return _strip_rust(code, depth, False) != _strip_rust(code, depth + 1, False)
 
 
 def strip_comments(code: Column, lang: Column | str, grammar_habits: bool = False) -> Column:
@@ -260,6 +280,3 @@ def extract_fenced_code(text: Column, tag: str = "rust") -> Column:
     body = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
     return strip_whitespace(body.otherwise(text))
 
-
-def prompt_text(prefix: str, snippet: Column) -> Column:
-    return F.concat(F.lit(prefix), snippet)

@@ -213,3 +213,46 @@ def test_plans_prune_push_down_and_limit_groups(spark, tree):
     records = unique_records(cleaned_lines(files.scan_jsonl(spark, str(tree)), options))
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+
+
+def test_report_has_every_file(spark, tmp_path):
+    root = tmp_path / "r"
+    write_lines(root / "d" / "good.jsonl", [line(C="int a;", Rust="fn a() {}")])
+    write_lines(root / "d" / "blank.jsonl", ["", "  "])
+    (root / "d" / "empty.jsonl").write_bytes(b"")
+    write_parquet(root / "d" / "none.parquet", [("t", "C", "int a;")])
+    write_lines(root / "sub.jsonl" / "inner.txt", ["{}"])
+    write_lines(root / "d" / "folder.jsonl" / "inside.jsonl", ["not json"])
+    write_lines(root / "key=1" / "more.jsonl", [line(C="int b;", Rust="fn b() {}")])
+    report = run_corpus_build(spark, str(root), str(tmp_path / "out"))
+    rows = {(r["folder"], r["file"]): r["lines_read"] for r in report.jsonl_files.collect()}
+    assert rows == {("d", "good.jsonl"): 1, ("d", "blank.jsonl"): 0, ("d", "empty.jsonl"): 0, ("key=1", "more.jsonl"): 1}
+    assert [r["written"] for r in report.parquet_files.collect()] == [0]
+    assert report.total_files == 5
+
+
+def test_root_must_be_a_folder(spark, tmp_path):
+    write_lines(tmp_path / "file.jsonl", ["{}"])
+    with pytest.raises(FileNotFoundError):
+        run_corpus_build(spark, str(tmp_path / "file.jsonl"), str(tmp_path / "out"))
+
+
+def test_bytes_that_are_not_utf8_stop_the_build(spark, tmp_path):
+    path = tmp_path / "r" / "d" / "x.jsonl"
+    path.parent.mkdir(parents=True)
+    path.write_bytes(b'{"C": "int a; \xff", "Rust": "fn a() {}"}\n')
+    with pytest.raises(Exception, match="INVALID_UTF8"):
+        run_corpus_build(spark, str(tmp_path / "r"), str(tmp_path / "out"))
+
+
+def test_digest_keeps_different_pairs_apart(spark):
+    from pairloom.operators.pairs import pair_digest
+
+    rows = spark.createDataFrame([("a\0b", "c"), ("a", "b\0c"), ("a", None)], "x STRING, y STRING")
+    assert rows.select(pair_digest(["x", "y"])).distinct().count() == 3
+
+
+def test_part_files_order_by_number(spark):
+    names = spark.createDataFrame([("part-99999-x.txt",), ("part-100000-x.txt",), ("other",)], "f STRING")
+    got = [r[0] for r in names.orderBy(files.part_number(F.col("f")), "f").collect()]
+    assert got == ["other", "part-99999-x.txt", "part-100000-x.txt"]
