@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import kept_in_worker, pick, text_or_empty
 
-#: Words remembered by a worker; beyond that the memory is begun anew.
-REMEMBERED = 400_000
+#: Words remembered by a worker, and texts whose words are looked up together.
+REMEMBERED, TEXTS_AT_ONCE = 600_000, 1024
 #: Words that are new to a worker are handed to the library in parts of this many.
 WORDS_AT_ONCE = 20_000
 
@@ -42,19 +43,25 @@ class Prefixes:
     def _counts(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(words)
+    def of_words(self, words: set[bytes]) -> dict[bytes, int]:
+        """Counts of words. The first ``REMEMBERED`` that are met, among which are the frequent
+        ones, are kept; the others are counted again when they come again."""
+        known = {w: self.words[w] for w in words if w in self.words}
+        new = list(words.difference(known))
+        fresh: dict[bytes, int] = {}
         for at in range(0, len(new), WORDS_AT_ONCE):
             part = new[at : at + WORDS_AT_ONCE]
-            self.words.update(zip(part, self._counts([w.decode("utf-8", "surrogatepass") for w in part])))
-
-    def at_words(self, words: list[bytes]) -> np.ndarray:
-        """For words in order: the exact count of the text up to the end of each."""
-        known = self.words
-        return np.cumsum(np.fromiter((known[w] for w in words), np.int64, len(words)))
+            fresh.update(zip(part, self._counts([w.decode("utf-8", "surrogatepass") for w in part])))
+        self.words.update(islice(fresh.items(), max(0, REMEMBERED - len(self.words))))
+        return known | fresh
+
+    def at_words(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text: the exact count of the text up to the end of word 1, 2, ..."""
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [t.encode("utf-8", "surrogatepass").split() for t in texts[at : at + TEXTS_AT_ONCE]]
+            known = self.of_words(set().union(*split))
+            for words in split:
+                yield np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
 
     def at_characters(self, text: str) -> np.ndarray:
         """For each character: the exact count of the text up to and with it."""
@@ -101,12 +108,7 @@ def prefix_counts(text: Column, path: str, every: str = "word") -> Column:
             if every == "character":
                 yield pd.Series([own.at_characters(t).astype(np.int32) for t in texts], dtype=object)
                 continue
-            out = []
-            for t in texts:
-                words = t.encode("utf-8", "surrogatepass").split()
-                own.learn(set(words))
-                out.append(own.at_words(words).astype(np.int32))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([c.astype(np.int32) for c in own.at_words(texts.tolist())], dtype=object)
 
     return of(text)
 
