@@ -29,6 +29,7 @@ from pairloom.functions.chat import (
 )
 from pairloom.functions.text import extract_fenced_code
 from pairloom.functions.tokens import attention_mask, encode_truncate
+from pairloom.operators.batches import first_batch
 from pairloom.operators.grid import RUN_KEYS, pending_runs, run_grid
 from pairloom.operators.scoring import Scorer, prediction_records, score
 from pairloom.operators.shape import computed_once
@@ -64,14 +65,11 @@ def prompts(members: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame
 
 
 def cross_validation_tests(
-    corpus: DataFrame,
-    runs: DataFrame,
-    key: str,
-    seeds: Sequence[int] = SEEDS,
-    k: int = NUM_FOLDS,
+    corpus: DataFrame, model: str, seed: int, fold: int, key: str, k: int = NUM_FOLDS
 ) -> DataFrame:
-    """Test rows of every run in ``runs`` (a subset of the grid, so small by definition)."""
-    return kfold_split(corpus, key, seeds, k).join(F.broadcast(runs), ["seed", "fold"])
+    """Test rows of one run.  The cut points of its seed come from the key column alone."""
+    members = kfold_split(corpus, key, [seed], k, population=corpus.select(key))
+    return members.where(F.col("fold") == fold).withColumn("model_type", F.lit(model))
 
 
 def run_cross_validation(
@@ -84,13 +82,35 @@ def run_cross_validation(
     seeds: Sequence[int] = SEEDS,
     k: int = NUM_FOLDS,
     batch_size: int = INFERENCE_BATCH_SIZE,
+    dry_run: bool = False,
 ) -> None:
-    """Score the test rows of all runs that have no output yet, in one job."""
-    runs = pending_runs(run_grid(spark, models, seeds, k), finished_runs(spark, output))
-    tests = prompts(cross_validation_tests(corpus, runs, key, seeds, k))
-    scored = tests.withColumn("answer", score(F.col("prompt"), factory, batch_size))
-    records = prediction_records(scored, SOURCE, TARGET, "answer", keep=RUN_KEYS)
-    write_predictions(records, output)
+    """Score the test rows of every run that has no output yet, and save run by run.
+
+    What is saved when a model fails stays, and the next call goes on with the runs that are
+    missing.  Records keep the row's ``key`` as ``position``: sorted by it, the records of two
+    models for one seed and fold stand side by side.  ``dry_run`` scores the first batch only.
+    """
+    grid = run_grid(spark, models, seeds, k)
+    runs = pending_runs(grid, finished_runs(spark, output)).orderBy(*RUN_KEYS)
+    for run in runs.collect():  # as many as models x seeds x folds
+        tests = cross_validation_tests(corpus, run["model_type"], run["seed"], run["fold"], key, k)
+        _score_and_save(tests, key, factory, output, RUN_KEYS, batch_size, dry_run)
+
+
+def _score_and_save(
+    tests: DataFrame,
+    key: str,
+    factory: Callable[[], Scorer],
+    output: str,
+    run_keys: Sequence[str],
+    batch_size: int,
+    dry_run: bool,
+) -> None:
+    rows = prompts(first_batch(tests, [key], batch_size) if dry_run else tests)
+    scored = rows.withColumn("answer", score(F.col("prompt"), factory, batch_size))
+    placed = scored.withColumn("position", F.col(key))
+    records = prediction_records(placed, SOURCE, TARGET, "answer", [*run_keys, "position"])
+    write_predictions(records, output, keys=run_keys)
 
 
 def cross_validation_training(
@@ -127,19 +147,30 @@ def run_single(
     output: str,
     seed: int = SINGLE_RUN_SEED,
     batch_size: int = INFERENCE_BATCH_SIZE,
+    dry_run: bool = False,
 ) -> bool:
-    """Score the test split under ``seed``; False where that was done before."""
+    """Score the test split under ``seed``; False where that was done before.  Records and
+    ``dry_run`` are as in :func:`run_cross_validation`."""
     done = finished_runs(spark, output, "seed INT").where(F.col("seed") == seed)
     if not done.isEmpty():
         return False
     tests = single_run_splits(corpus, key, seed).where("split = 'test'")
-    rows = prompts(tests.withColumn("model_type", F.lit("Proposed")))
-    scored = rows.withColumn("answer", score(F.col("prompt"), factory, batch_size))
-    records = prediction_records(scored.withColumn("seed", F.lit(seed)), SOURCE, TARGET, "answer", ["seed"])
-    write_predictions(records, output, keys=["seed"])
+    tests = tests.withColumn("model_type", F.lit("Proposed")).withColumn("seed", F.lit(seed))
+    _score_and_save(tests, key, factory, output, ["seed"], batch_size, dry_run)
     return True
 
 
+def single_run_training(
+    corpus: DataFrame,
+    key: str,
+    seed: int = SINGLE_RUN_SEED,
+    encoder: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Encoded train and validation rows of the single run."""
+    members = single_run_splits(corpus, key, seed).where("split <> 'test'")
+    return training_examples(members, ["split"], encoder=encoder)
+
+
 def translate(
     df: DataFrame,
     snippet: str,

@@ -48,9 +48,10 @@ def write_predictions(
 
 
 def read_predictions(
-    spark: SparkSession, path: str, keys: str = RUN_SCHEMA
+    spark: SparkSession, path: str, keys: str = RUN_SCHEMA, position: str = "BIGINT"
 ) -> DataFrame:
-    return spark.read.schema(f"{PREDICTION_SCHEMA}, {keys}").json(path)
+    """Predictions of all runs; ``position`` orders those of a run (its type is the key's)."""
+    return spark.read.schema(f"position {position}, {PREDICTION_SCHEMA}, {keys}").json(path)
 
 
 def read_prediction_array(spark: SparkSession, path: str) -> DataFrame:

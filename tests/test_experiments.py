@@ -173,3 +173,33 @@ def test_stream_keeps_pairs_of_earlier_files(spark, tmp_path):
     assert land("1.jsonl", ("int a;", "fn a(){}", "one"), ("// c", "x", "dropped")) == ["one"]
     again = ("int a; // same", "fn a(){}", "two")
     assert land("2.jsonl", again, ("int b;", "fn b(){}", "three")) == ["one", "three"]
+
+
+def test_runs_before_a_failure_stay_and_are_not_repeated(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"int a{i};", f"let a{i};") for i in range(40)], "key INT, c_code STRING, safe_rust_code STRING")
+    out, args = str(tmp_path / "out"), {"models": ["Baseline"], "seeds": [1, 2]}
+
+    def failing():
+        def call(texts):
+            if any("a39;" in t for t in texts):
+                raise ValueError("model failed")
+            return texts
+        return call
+
+    with pytest.raises(Exception, match="model failed"):
+        experiments.run_cross_validation(spark, df, "key", failing, out, **args)
+    experiments.run_cross_validation(spark, df, "key", echo_model, out, **args)
+    saved = sinks.read_predictions(spark, out)
+    assert saved.groupBy("model_type", "seed", "fold").count().count() == 4
+    assert saved.count() == 80 and saved.select("seed", "position").distinct().count() == 80
+    first = saved.where("position = 7").first()
+    assert first["original_c"] == "int a7;"
+
+
+def test_dry_run_and_training_rows_of_the_single_run(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"int a{i};", f"let a{i};") for i in range(60)], "key INT, c_code STRING, safe_rust_code STRING")
+    out = str(tmp_path / "single")
+    assert experiments.run_single(spark, df, "key", echo_model, out, batch_size=2, dry_run=True)
+    assert spark.read.json(out).count() == 2
+    rows = experiments.single_run_training(df, "key")
+    assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 48, "val": 6}
