@@ -140,6 +140,49 @@ def test_one_of_each_catches_light_edits(spark):
     assert 30 <= kept <= 34  # fingerprints estimate: a pair in ten at this similarity is out of reach
 
 
+def plain_shingles(text):
+    parts = text.lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+
+
+def test_one_of_each_equals_brute_force_similarity(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(words[:12])
+    texts = []
+    for d in range(24):
+        text = rng.sample(words, rng.choice((30, 120, 400)))
+        if d % 4 == 0:  # one repeated line takes most of the text
+            text = (line.split() * 40) + text
+        texts.append(" ".join(text))
+        for share in (0.01, 0.02, 0.035, 0.045, 0.06):
+            other = [w if rng.random() > share else "changed" for w in text]
+            texts.append(" ".join(other))
+    texts += ["", " ", "one two", "One two", "one three", None, None]
+    sets = [plain_shingles(t or "") for t in texts]
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(sets[i], sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), DOCS))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_near_copies_stage_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], plain_shingles(r["text"] or "")) for r in docs.collect())
+    low = {i: i for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if j < i and 5 * len(x & y) >= 4 * len(x | y) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = {k: a if v == b else v for k, v in low.items()}
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(low.values()))
+
+
 # --- embeddings
 
 
