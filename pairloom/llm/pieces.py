@@ -23,11 +23,9 @@ SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: The same, with letters and other characters apart. Fits models whose pieces never mix them.
 _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹²³])+)|{SPACE}+|\n")
-#: A run of spaces with what follows up to the next space.
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words and chunks of words that a worker remembers for each variant: the first it meets, among
-#: which are the frequent ones.
-MOST_WORDS, MOST_CHUNKS = 200_000, 400_000
+#: Chunks of words that a worker remembers, cut without dropout: the first it meets, among which
+#: are the frequent ones.
+MOST_CHUNKS = 300_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -48,7 +46,7 @@ def _turn(place: int, size: int) -> int:
 
 
 def _mixed(base: int, place: int, size: int) -> int:
-    """32 bits for a candidate: keyed by ``base`` (seed, variant and chunk), its place and size."""
+    """32 bits for a candidate: keyed by ``base`` (of one chunk), its place and size."""
     return ((base ^ _turn(place, size)) * _ODD & _MASK) >> 32
 
 
@@ -58,13 +56,44 @@ _TURNS = [[_turn(place, size) for size in range(SHORT + 1)] for place in range(S
 
 _TURN_TABLE = np.array(_TURNS, np.uint64)
 _NO_PAIR = 1 << 40
-#: Texts whose words are learned together, and chunks that are merged together.
-TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 16384
-
-
-def _plain(text: str) -> bool:
-    """Single spaces between words, none at the ends, and no space mark."""
-    return "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
+#: Texts, and about how many characters, that are encoded together; chunks that are merged together.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 3_000_000, 16384
+
+
+def _bases(keys: list[int], counts: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash for each chunk of each text: of the seed, the text's key and the place."""
+    own = np.array([xxhash.xxh64_intdigest((k & _MASK).to_bytes(8, "little"), seed & _MASK) for k in keys], np.uint64)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    x = np.repeat(own, counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_PLACE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_ODD)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _any_skipped(base: np.ndarray, of: np.ndarray, turns: list[bytes], dropped: int) -> np.ndarray:
+    """Whether any of the turns of chunk ``of[i]`` is skipped under ``base[i]``."""
+    flat = np.frombuffer(b"".join(turns), np.uint64)
+    size = np.array([len(t) // 8 for t in turns])
+    start = np.cumsum(size) - size
+    skipped = np.zeros(len(of), bool)
+    live = np.arange(len(of))
+    for turn in range(size.max()):
+        live = live[size[of[live]] > turn]
+        mixed = (base[live] ^ flat[start[of[live]] + turn]) * np.uint64(_ODD)
+        skip = (mixed >> np.uint64(32)).astype(np.int64) < dropped
+        skipped[live[skip]] = True
+        live = live[~skip]
+        if not len(live):
+            break
+    return skipped
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key):
+        self[key] = found = len(self)
+        return found
 
 
 class Pieces:
@@ -92,7 +121,7 @@ class Pieces:
         self._tables()
         one = lambda p: _SCRIPTS.fullmatch(p) or len(p) == 1
         self.chunks = (_SCRIPTS if all(map(one, self.ids)) else _WORDS).findall
-        self.known: dict[tuple[int, int, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def _tables(self) -> None:
         """Arrays for merging many chunks together: symbol of each character, turn of each pair
@@ -125,24 +154,34 @@ class Pieces:
         return np.where(self.pair_keys[at] == key, self.pair_turn[at], _NO_PAIR)
 
     def segment_many(self, chunks: list[str], key: int, dropped: int) -> dict[str, bytes]:
-        """What :meth:`segment` gives for each chunk, as int32 bytes; short chunks of one length
-        take their turns together, each with the best candidate of its own agenda."""
-        found: dict[str, bytes] = {}
-        by_length: dict[int, list[str]] = {}
-        for chunk in chunks:
+        """What :meth:`segment` gives for each chunk, as int32 bytes."""
+        base = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in chunks], np.uint64) if dropped else None
+        return {chunk: ids for chunk, (ids, _) in zip(chunks, self._segments(chunks, base, dropped))}
+
+    def _segments(self, chunks: list[str], base: np.ndarray | None, dropped: int) -> list[tuple[bytes, bytes]]:
+        """For each chunk its ids as int32 bytes and, without dropout, the turns it took as uint64
+        bytes. Short chunks of one length take their turns together, each with the best
+        candidate of its own agenda."""
+        found: list = [None] * len(chunks)
+        by_length: dict[int, list[int]] = {}
+        for i, chunk in enumerate(chunks):
             if 1 < len(chunk) <= SHORT and not (self.tied and self.tied.search(chunk)):
-                by_length.setdefault(len(chunk), []).append(chunk)
+                by_length.setdefault(len(chunk), []).append(i)
             else:
-                found[chunk] = array("i", self.segment(chunk, key, dropped)).tobytes()
-        for length, own in by_length.items():
-            for at in range(0, len(own), CHUNKS_AT_ONCE):
-                self._take_turns(own[at : at + CHUNKS_AT_ONCE], length, key, dropped, found)
+                turns: list[int] = []
+                ids = self._ids(self._merged(chunk, int(base[i]) if dropped else 0, dropped, turns))
+                found[i] = array("i", ids).tobytes(), np.array(turns, np.uint64).tobytes()
+        for length, places in by_length.items():
+            for at in range(0, len(places), CHUNKS_AT_ONCE):
+                own = places[at : at + CHUNKS_AT_ONCE]
+                for i, ids in zip(own, self._take_turns([chunks[i] for i in own], length, base[own] if dropped else None, dropped)):
+                    found[i] = ids
         return found
 
-    def _take_turns(self, chunks: list[str], length: int, key: int, dropped: int, found: dict[str, bytes]) -> None:
+    def _take_turns(self, chunks: list[str], length: int, base: np.ndarray | None, dropped: int) -> list[tuple[bytes, bytes]]:
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
-        base = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in chunks], np.uint64) if dropped else None
         symbols = self.symbol_of[points]
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
         places = np.broadcast_to(np.arange(length), symbols.shape).copy()
         agenda = np.full(symbols.shape, _NO_PAIR)
         agenda[:, :-1] = self._turns(symbols[:, :-1], symbols[:, 1:])
@@ -161,6 +200,7 @@ class Pieces:
                 moved, at, best = rows[~skip], at[~skip], best[~skip]
             else:
                 moved = rows
+                taken.append((rows, _TURN_TABLE[places[rows, at], self.lengths[best]]))
             if not len(moved):
                 continue
             # the right half of each merged pair goes, what follows it moves up by one
@@ -178,38 +218,53 @@ class Pieces:
             left = at > 0
             wish[line[left], at[left] - 1] = self._turns(own[line[left], at[left] - 1], own[line[left], at[left]])
             symbols[moved], places[moved], agenda[moved] = own, place, wish
+        if dropped:
+            turns = [b""] * len(chunks)
+        else:
+            of = np.concatenate([r for r, _ in taken])
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=len(chunks)))
+            turns = [t.tobytes() for t in np.split(np.concatenate([t for _, t in taken])[order], ends[:-1])]
         count = len(self.bytes)
-        for i, chunk in enumerate(chunks):
-            ids = symbols[i, : size[i]]
-            if ids.max() < count:
-                found[chunk] = ids.astype(np.int32).tobytes()
-            else:
-                out: list[int] = []
-                for x in ids.tolist():
-                    out.extend([x] if x < count else [self.byte_ids[b] for b in chr(x - count).encode("utf-8", "surrogatepass")])
-                found[chunk] = array("i", out).tobytes()
+        flat = symbols[column < size[:, None]]
+        if flat.max() < count:
+            data, ends = flat.astype(np.int32).tobytes(), (np.cumsum(size) * 4).tolist()
+            return list(zip([data[x:y] for x, y in zip([0, *ends], ends)], turns))
+        made = []
+        for i in range(len(chunks)):
+            out: list[int] = []
+            for x in symbols[i, : size[i]].tolist():
+                out.extend([x] if x < count else [self.byte_ids[b] for b in chr(x - count).encode("utf-8", "surrogatepass")])
+            made.append(array("i", out).tobytes())
+        return list(zip(made, turns))
 
     def segment(self, chunk: str, key: int, dropped: int) -> list[int]:
         """Merge the characters of a chunk, best candidate first. A candidate whose turn has
         come is skipped for good if its keyed hash is below ``dropped`` (of 2**32)."""
-        symbols = self._by_list(chunk, key, dropped) if len(chunk) <= SHORT else self._by_agenda(chunk, key, dropped)
+        return self._ids(self._merged(chunk, xxhash.xxh64_intdigest(chunk.encode(), key) if dropped else 0, dropped, []))
+
+    def _merged(self, chunk: str, base: int, dropped: int, turns: list[int]) -> list[str]:
+        """The symbols of a chunk; adds the turns taken, skipped ones included, to ``turns``."""
+        return (self._by_list if len(chunk) <= SHORT else self._by_agenda)(chunk, base, dropped, turns)
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
             i = self.ids.get(s)
             out.extend([i] if i is not None else [self.byte_ids[b] for b in s.encode()])
         return out
 
-    def _by_list(self, chunk: str, key: int, dropped: int) -> list[str]:
+    def _by_list(self, chunk: str, base: int, dropped: int, turns: list[int]) -> list[str]:
         """For a short chunk the agenda is a list with the rank of each neighbouring pair."""
         symbols, places, get = list(chunk), list(range(len(chunk))), self.rank.get
         agenda = [get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
-        base = xxhash.xxh64_intdigest(chunk.encode(), key) if dropped else 0
         while agenda:  # an exhausted list has no candidate below _NEVER
             best = min(agenda)
             if best == _NEVER:
                 break
             at = agenda.index(best)
             merged = symbols[at] + symbols[at + 1]
+            turns.append(_TURNS[places[at]][len(merged)])
             if dropped and ((base ^ _TURNS[places[at]][len(merged)]) * _ODD & _MASK) >> 32 < dropped:
                 agenda[at] = _NEVER
                 continue
@@ -221,7 +276,7 @@ class Pieces:
                 agenda[at - 1] = get(symbols[at - 1] + merged, _NEVER)
         return symbols
 
-    def _by_agenda(self, chunk: str, key: int, dropped: int) -> list[str]:
+    def _by_agenda(self, chunk: str, base: int, dropped: int, turns: list[int]) -> list[str]:
         """For a long chunk it is a heap; entries whose pair has changed since are passed over."""
         symbols: list[str] = list(chunk)
         last = len(symbols)
@@ -229,12 +284,12 @@ class Pieces:
         rank = self.rank
         agenda = [(r, i, i + 1, 2) for i in range(last - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
-        base = xxhash.xxh64_intdigest(chunk.encode(), key) if dropped else 0
         while agenda:
             r, left, right, size = heapq.heappop(agenda)
             a, b = symbols[left], symbols[right]
             if not a or not b or len(a) + len(b) != size:
                 continue
+            turns.append(_turn(left, size))
             if dropped and _mixed(base, left, size) < dropped:
                 continue
             symbols[left] = a + b
@@ -249,72 +304,81 @@ class Pieces:
                 heapq.heappush(agenda, (s, previous, left, size + len(symbols[previous])))
         return [s for s in symbols if s]
 
-    def encode(self, text: str, seed: int, variant: int, dropped: int) -> np.ndarray:
+    def encode(self, text: str, seed: int, key: int, dropped: int) -> np.ndarray:
         """Ids of a text (int32)."""
-        return next(self.encode_all([text], [variant], seed, dropped))
-
-    def encode_all(self, texts: list[str], variants: list[int], seed: int, dropped: int) -> Iterator[np.ndarray]:
-        """Ids of many texts, one after the other. The distinct words of ``TEXTS_AT_ONCE`` texts
-        are looked up together; only chunks of words are remembered beyond them. A space mark
-        that stands in a text itself goes out as bytes."""
-        mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            group = list(zip(texts[at : at + TEXTS_AT_ONCE], variants[at : at + TEXTS_AT_ONCE]))
-            known: dict[int, dict[str, bytes]] = {}
-            for variant in {v for _, v in group}:
-                words = set().union(*(t.split(" ") for t, v in group if v == variant and t and _plain(t)))
-                known[variant] = self._words(words, SPACE, seed, variant, dropped)
-            for text, variant in group:
-                if not text:
-                    yield np.empty(0, np.int32)
-                elif _plain(text):
-                    yield np.frombuffer(b"".join(map(known[variant].__getitem__, text.split(" "))), np.int32)
-                else:
-                    out = []
-                    for n, part in enumerate(text.split(SPACE)):
-                        units = _UNITS.findall((SPACE if n == 0 else "") + part.replace(" ", SPACE))
-                        own = self._words(set(units), "", seed, variant, dropped)
-                        out += [mark] * (n > 0) + [own[u] for u in units]
-                    yield np.frombuffer(b"".join(out), np.int32)
-
-    def _words(self, words: set[str], before: str, seed: int, variant: int, dropped: int) -> dict[str, bytes]:
-        """Ids of words, each with ``before`` in front, as the bytes of int32 arrays."""
-        memory, chunks = self.known.setdefault((seed, variant, dropped), ({}, {}))
-        known = {word: memory[word] for word in words if word in memory} if before else {}
-        parts = {word: self.chunks(before + word) for word in words.difference(known)}
-        unseen = {c for own in parts.values() for c in own if c not in chunks}
-        fresh = self.segment_many(list(unseen), self._key(seed, variant, dropped), dropped)
-        get = lambda c: chunks[c] if c in chunks else fresh[c]
-        found = {word: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for word, own in parts.items()}
-        chunks.update(islice(fresh.items(), max(0, MOST_CHUNKS - len(chunks))))
-        if before:
-            memory.update(islice(found.items(), max(0, MOST_WORDS - len(memory))))
-        return known | found
-
-    @staticmethod
-    def _key(seed: int, variant: int, dropped: int) -> int:
-        return xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), seed & _MASK) if dropped else 0
+        return next(self.encode_all([text], [key], seed, dropped))
+
+    def encode_all(self, texts: list[str], keys: list[int], seed: int, dropped: int) -> Iterator[np.ndarray]:
+        """Ids of many texts, one after the other. Every chunk of a text has dropout of its own,
+        keyed by the seed, the text's key and the place of the chunk in the text."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and end - at < TEXTS_AT_ONCE and (end == at or size + len(texts[end]) <= CHARACTERS_AT_ONCE):
+                size, end = size + len(texts[end]), end + 1
+            yield from self._encode_together(texts[at:end], keys[at:end], seed, dropped)
+            at = end
+
+    def _encode_together(self, texts: list[str], keys: list[int], seed: int, dropped: int) -> list[np.ndarray]:
+        """A chunk takes the same turns as without dropout until one is skipped. So chunks are cut
+        without dropout once, the skips are drawn for these turns at each place, and only
+        where one is skipped does the chunk take its turns again. A space mark that stands in
+        a text itself (None among the chunks) goes out as bytes."""
+        number = _Numbers({None: 0})
+        rows = []
+        for text in texts:
+            found: list[str | None] = []
+            for n, part in enumerate(text.split(SPACE) if text else ()):
+                found += [None] * (n > 0)
+                found += self.chunks((SPACE if n == 0 else "") + part.replace(" ", SPACE))
+            rows.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        chunks = list(number)
+        of = np.concatenate(rows)
+        counts = np.array([len(r) for r in rows])
+        known = [(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes(), b""), *self._without_dropout(chunks[1:])]
+        pool = [np.frombuffer(b"".join(ids for ids, _ in known), np.int32)]
+        size = np.array([len(ids) // 4 for ids, _ in known])
+        start = (np.cumsum(size) - size)[of]
+        size = size[of]
+        if dropped and len(of):
+            base = _bases(keys, counts, seed)
+            hit = np.flatnonzero(_any_skipped(base, of, [turns for _, turns in known], dropped))
+            again = self._segments([chunks[i] for i in of[hit].tolist()], base[hit], dropped)
+            pool.append(np.frombuffer(b"".join(ids for ids, _ in again), np.int32))
+            size[hit] = [len(ids) // 4 for ids, _ in again]
+            start[hit] = len(pool[0]) + np.cumsum(size[hit]) - size[hit]
+        ends = np.cumsum(size)
+        ids = np.concatenate(pool)[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.r_[0, ends][np.cumsum(counts)[:-1]])
+
+    def _without_dropout(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of chunks cut without dropout and the turns they took, from memory where there."""
+        unseen = [c for c in chunks if c not in self.known]
+        fresh = dict(zip(unseen, self._segments(unseen, None, 0)))
+        found = [self.known[c] if c in self.known else fresh[c] for c in chunks]
+        self.known.update(islice(fresh.items(), max(0, MOST_CHUNKS - len(self.known))))
+        return found
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> Column:
-    """Column of piece ids. ``key`` (any long) chooses one of ``variants`` keyed hashes, so equal
-    words differ between texts but a segmentation depends on nothing but seed, variant and word.
-    Another seed gives other segmentations, as for each pass of a training over a corpus."""
+def encode(text: Column, key: Column, path: str, dropout: float = 0.1, seed: int = 0) -> Column:
+    """Column of piece ids. ``key`` (any long) and the place in the text key the skips, so equal
+    words differ between texts and within one, and a text's ids depend on nothing but seed, key
+    and text. Another seed gives other segmentations, as for each pass of a training over a corpus."""
     dropped = round(dropout * 2**32)
 
     @F.pandas_udf("array<int>")
-    def of(texts: pd.Series, variant: pd.Series) -> pd.Series:
+    def of(texts: pd.Series, keys: pd.Series) -> pd.Series:
         own = kept_in_worker(f"pieces {path}", lambda: Pieces(path))
-        return pd.Series(list(own.encode_all(texts.tolist(), variant.tolist(), seed, dropped)), dtype=object)
+        return pd.Series(list(own.encode_all(texts.tolist(), keys.tolist(), seed, dropped)), dtype=object)
 
-    return of(text, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
+    return of(text, F.xxhash64(key))
 
 
-def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1) -> DataFrame:
+def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """``rows`` (with a column ``text`` that has no nulls) and the columns ``ids``, ``n_bytes`` (of
     the text that the ids decode to) and ``lossless``.
 
@@ -330,7 +394,7 @@ def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column("text").to_pylist()
                 ids, sizes, same = [], [], []
-                for text, coded in zip(texts, own.encode_all(texts, part.column("variant").to_pylist(), seed, dropped)):
+                for text, coded in zip(texts, own.encode_all(texts, part.column("key").to_pylist(), seed, dropped)):
                     back = own.decode(coded)
                     ids.append(coded)
                     sizes.append(len(back.encode("utf-8", "surrogatepass")))
@@ -338,10 +402,10 @@ def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 more = [lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
-                kept = [n for n in part.schema.names if n != "variant"]
+                kept = [n for n in part.schema.names if n != "key"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *more], [*kept, "ids", "n_bytes", "lossless"])
 
-    keyed = rows.withColumn("variant", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(variants)))
+    keyed = rows.withColumn("key", F.xxhash64(key))
     made = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("lossless", T.BooleanType())])
     return keyed.mapInArrow(code, made)
 
@@ -357,20 +421,20 @@ def decode(ids: Column, path: str) -> Column:
     return of(ids)
 
 
-def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sampled_pieces(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, ids, n_pieces, n_bytes_decoded, lossless``.
 
     Byte-pair merges of the model run best score first from an agenda; with probability
     ``dropout`` a candidate is skipped, decided by a hash keyed by seed, the document's
-    variant, the word, the place and the size. dropout=0 gives the library's own pieces.
+    id, the word's place in the text, and the candidate's place and size. dropout=0 gives the library's own pieces.
     lossless tells that decoding the ids gave back the whole text.
 
     Null and empty texts have no ids and decode to an empty text. Repeated rows get equal
-    ids. A null id has a variant of its own. Marks that stand for spaces inside a text go out
+    ids. Null ids share a key. Marks that stand for spaces inside a text go out
     as bytes, so they come back as themselves. An empty table gives an empty result.
     """
     own = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
-    coded = encode_checked(own, F.col("doc_id").cast("long"), path, dropout, seed, variants)
+    coded = encode_checked(own, F.col("doc_id").cast("long"), path, dropout, seed)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("n_bytes").alias("n_bytes_decoded"), "lossless")
 
 

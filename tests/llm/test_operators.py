@@ -457,6 +457,22 @@ def test_dropout_is_seeded_varied_and_lossless():
     assert all(np.frombuffer(many[c], np.int32).tolist() == own.segment(c, 5, 1 << 29) for c in chunks)
 
 
+def test_equal_words_are_cut_anew_at_each_place(spark):
+    path, word = pieces.model_path(), "understandable"
+    docs = spark.createDataFrame([(d, " ".join([word] * 50)) for d in range(20)] + [(3, " ".join([word] * 50))], DOCS)
+    rows = rows_of(pieces.sampled_pieces(docs, path, dropout=0.1, seed=42))
+    assert len({tuple(r["ids"]) for r in rows}) == 20  # documents differ, a repeated row does not
+    own, dropped = pieces.Pieces(path), round(0.1 * 2**32)
+    bases = pieces._bases([7], np.array([4000]), 42)
+    plain = [own._ids(own._merged(pieces.SPACE + word, int(b), dropped, [])) for b in bases]
+    assert own.encode(" ".join([word] * 4000), 42, 7, dropped).tolist() == sum(plain, [])
+    turns: list[int] = []
+    whole = own._ids(own._merged(pieces.SPACE + word, 0, 0, turns))
+    skipped = pieces._any_skipped(bases, np.zeros(len(bases), int), [np.array(turns, np.uint64).tobytes()], dropped)
+    assert abs(skipped.mean() - (1 - 0.9 ** len(turns))) < 0.03
+    assert all(s or ids == whole for s, ids in zip(skipped, plain)) and len(set(map(tuple, plain))) > 10
+
+
 def test_pieces_edge_cases(spark, odd):
     path = pieces.model_path()
     got = rows_of(pieces.sampled_pieces(odd, path))
