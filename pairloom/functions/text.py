@@ -8,17 +8,12 @@ where they differ from that rule.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom.constants import LANG_C, LANG_RUST, NBSP, WHITESPACE
-
-# Nesting of Rust block comments that the usual pattern covers, and the one for texts with more
-# openings than that.  Nesting beyond the second is an error, never a wrong text.
-RUST_COMMENT_DEPTH = 64
-RUST_COMMENT_DEPTH_MOST = 510
+from pairloom.functions.arrays import bound, running_total
+from pairloom.functions.scanner import scanned_pieces
 
 # Patterns have the form ``(kept)|comment``.  The kept part takes a whole stretch of code
 # and literals at once, so a text has about two matches per comment; a character no
@@ -65,14 +60,10 @@ def _compact(pattern: str) -> str:
     return "".join(lines).replace(" | ", "|").replace("| ", "|")
 
 
-@lru_cache(maxsize=None)
-def _rust_block(depth: int) -> str:
-    """Block comment with up to ``depth`` comments nested inside one another."""
-    plain = r"[^*/]+|\*(?!/)|/(?!\*)"
-    pattern = rf"/\*(?:{plain})*+\*/"
-    for _ in range(depth):
-        pattern = rf"/\*(?:{plain}|{pattern})*+\*/"
-    return pattern
+# A block comment with no other one inside, and two openings without a closing between them.
+_RUST_BLOCK = r"/\*(?:[^*/]+|\*(?!/)|/(?!\*))*+\*/"
+_RUST_NESTED = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*"
+_RUST_RAW = r'(?<![A-Za-z0-9_])[bc]?r(#*)"'
 
 
 def _c_parts(keep_macro_text: bool) -> tuple[str, str]:
@@ -95,11 +86,12 @@ def _c_pattern(keep_macro_text: bool, capture: bool = False) -> str:
     return rf"(?s)((?:{kept})++)|{comment}|(/\*(?:{kept}|/(?!/))*+)"
 
 
-def _rust_parts(depth: int, doc_newline: bool) -> tuple[str, str]:
-    """(kept, comment) for Rust."""
+def _rust_pattern(doc_newline: bool, capture: bool = False) -> str:
+    """Kept text is in the first group; with ``capture`` group 3 is the comment."""
     line = _compact(_RUST_LINE_DOC if doc_newline else _RUST_LINE)
     kept = _compact(f"{_RUST_PLAIN}|{_RUST_LITERAL}|{_RUST_OPEN}")
-    return kept, f"{line}|{_rust_block(depth)}"
+    comment = f"{line}|{_RUST_BLOCK}"
+    return f"(?s)((?:{kept})++)|{f'({comment})' if capture else comment}"
 
 
 _FENCE_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
@@ -129,44 +121,47 @@ def strip_c_comments(code: Column, keep_macro_text: bool = False) -> Column:
     return F.regexp_replace(code, _c_pattern(keep_macro_text), "$1$2")
 
 
-def strip_rust_comments(
-    code: Column, depth: int = RUST_COMMENT_DEPTH, doc_newline: bool = False
-) -> Column:
-    """Delete Rust line, doc and nested block comments.
+def _for_scanner(code: Column) -> Column:
+    """Texts the Rust pattern is not made for: block comments that nest, raw strings never closed.
 
-    A text with at most ``depth`` + 1 openings cannot nest deeper than the pattern covers.  One
-    with more goes through the deeper pattern; where even that leaves nesting uncovered, the
-    job stops.
+    Both tests take in a few texts too many (marks inside literals), which the scanner reads
+    just as well.  The last opening with so many hashes is closed if its quote stands before
+    the last quote with as many hashes; seen from the end of the text, behind it.
     """
-    usual = _strip_rust(code, depth, doc_newline)
-    if depth >= RUST_COMMENT_DEPTH_MOST:
-        return usual
-    openings = (F.length(code) - F.length(F.replace(code, F.lit("/*"), F.lit("")))) / 2
-    deep = _strip_rust(code, RUST_COMMENT_DEPTH_MOST, doc_newline)
-    too_deep = (openings > RUST_COMMENT_DEPTH_MOST + 1) & (
-        deep != _strip_rust(code, RUST_COMMENT_DEPTH_MOST + 1, doc_newline)
-    )
-    stop = F.raise_error(F.lit(f"block comments nest deeper than {RUST_COMMENT_DEPTH_MOST + 1}"))
-    return F.when(openings <= depth + 1, usual).when(too_deep, stop).otherwise(deep)
+    hashes = F.array_distinct(F.regexp_extract_all(code, F.lit(_RUST_RAW), F.lit(1)))
+    backwards = F.reverse(code)
 
+    def open_to_the_end(h: Column) -> Column:
+        opening = F.instr(backwards, F.concat(F.lit('"'), h, F.lit("r")))
+        closing = F.instr(backwards, F.concat(h, F.lit('"')))
+        return (closing == 0) | (closing + F.length(h) >= opening)
 
-def _strip_rust(code: Column, depth: int, doc_newline: bool) -> Column:
-    kept, comment = _rust_parts(depth, doc_newline)
-    return F.regexp_replace(code, f"(?s)((?:{kept})++)|{comment}", "$1")
+    raw = F.contains(code, F.lit('r"')) | F.contains(code, F.lit("r#"))
+    return F.rlike(code, F.lit(_RUST_NESTED)) | (raw & F.exists(hashes, open_to_the_end))
 
 
-def deeper_than(code: Column, depth: int = RUST_COMMENT_DEPTH) -> Column:
-    """True where block comments nest deeper than ``depth`` covers.
+def _scanned(code: Column, doc_newline: bool) -> Column:
+    """Pieces of the texts that go to the scanner, null for all others."""
+    return scanned_pieces(F.when(_for_scanner(code), code), doc_newline)
 
-    One more level changes the result exactly in that case.
-    """
-    return _strip_rust(code, depth, False) != _strip_rust(code, depth + 1, False)
+
+def _is_comment(_: Column, place: Column) -> Column:
+    return place % 2 == 1
+
+
+def strip_rust_comments(code: Column, doc_newline: bool = False) -> Column:
+    """Delete Rust line, doc and block comments, nested to any depth."""
+    scanned = _scanned(code, doc_newline)
+    kept = F.array_join(F.filter(scanned, lambda p, i: ~_is_comment(p, i)), "")
+    usual = F.regexp_replace(code, _rust_pattern(doc_newline), "$1")
+    return F.when(scanned.isNotNull(), kept).otherwise(usual)
 
 
 def strip_comments(code: Column, lang: Column | str, grammar_habits: bool = False) -> Column:
     """Comment removal by language; an unknown language is an error."""
     c_form = strip_c_comments(code, keep_macro_text=grammar_habits)
-    rust_form = strip_rust_comments(code, doc_newline=grammar_habits)
+    rust_code = code if isinstance(lang, str) else F.when(lang == LANG_RUST, code)
+    rust_form = strip_rust_comments(rust_code, doc_newline=grammar_habits)
     if isinstance(lang, str):
         forms = {LANG_C: c_form, LANG_RUST: rust_form}
         if lang not in forms:
@@ -198,8 +193,7 @@ def _captured(lang: str, grammar_habits: bool) -> tuple[str, int]:
     if lang == LANG_C:
         return _c_pattern(grammar_habits, capture=True), 2
     if lang == LANG_RUST:
-        kept, comment = _rust_parts(RUST_COMMENT_DEPTH, grammar_habits)
-        return f"(?s)((?:{kept})++)|({comment})", 3
+        return _rust_pattern(grammar_habits, capture=True), 3
     raise ValueError(f"unknown language: {lang!r}")
 
 
@@ -207,36 +201,48 @@ def extract_comments(code: Column, lang: str, grammar_habits: bool = False) -> C
     """Outermost comments in text order, as ARRAY<STRING>."""
     pattern, group = _captured(lang, grammar_habits)
     found = F.regexp_extract_all(code, F.lit(pattern), F.lit(group))
-    return F.filter(found, lambda x: x != "")
+    usual = F.filter(found, lambda x: x != "")
+    if lang != LANG_RUST:
+        return usual
+    scanned = _scanned(code, grammar_habits)
+    return F.when(scanned.isNotNull(), F.filter(scanned, _is_comment)).otherwise(usual)
 
 
 def comment_ranges(code: Column, lang: str, grammar_habits: bool = False) -> Column:
     """UTF-8 byte ranges of the outermost comments, ARRAY<STRUCT<start INT, end INT>>.
 
-    The text is cut into kept stretches and comments; a running byte offset over the
-    pieces gives each comment its range.
+    The text is cut into kept stretches and comments; the running total of their sizes gives
+    each comment its range.
     """
     pattern, group = _captured(lang, grammar_habits)
     pieces_re = F.lit(f"{pattern}|.")
-    pieces = F.regexp_extract_all(code, pieces_re, F.lit(0))
-    comments = F.regexp_extract_all(code, pieces_re, F.lit(group))
-    steps = F.zip_with(
-        pieces,
-        comments,
-        lambda p, c: F.struct(F.octet_length(p).alias("size"), (c != "").alias("hit")),
+
+    def piece(text: Column, hit: Column) -> Column:
+        return F.struct(F.octet_length(text).alias("size"), hit.alias("hit"))
+
+    pieces = F.zip_with(
+        F.regexp_extract_all(code, pieces_re, F.lit(0)),
+        F.regexp_extract_all(code, pieces_re, F.lit(group)),
+        lambda p, c: piece(p, c != ""),
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        after = acc["at"] + x["size"]
-        this = F.array(F.struct(acc["at"].alias("start"), after.alias("end")))
-        return F.struct(
-            after.alias("at"),
-            F.when(x["hit"], F.concat(acc["out"], this)).otherwise(acc["out"]).alias("out"),
+    if lang == LANG_RUST:
+        scanned = _scanned(code, grammar_habits)
+        own = F.transform(scanned, lambda p, i: piece(p, _is_comment(p, i)))
+        pieces = F.when(scanned.isNotNull(), own).otherwise(pieces)
+
+    def ranges(cut: Column) -> Column:
+        ends = running_total(F.transform(cut, lambda p: p["size"]))
+        placed = F.zip_with(
+            cut,
+            ends,
+            lambda p, end: F.struct(
+                (end - p["size"]).alias("start"), end.alias("end"), p["hit"].alias("hit")
+            ),
         )
+        hits = F.filter(placed, lambda p: p["hit"])
+        return F.transform(hits, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return bound(pieces, ranges)
 
 
 def delete_ranges(text: Column, ranges: Column) -> Column:
@@ -245,30 +251,31 @@ def delete_ranges(text: Column, ranges: Column) -> Column:
     Ranges that do not overlap leave stretches between them, which are put together in
     one pass.  Overlapping ranges are deleted one after the other, the last one first.
     """
-    data = F.encode(text, "UTF-8")
-    in_order = F.array_sort(ranges)
-    starts = F.transform(in_order, lambda r: r["start"])
-    ends = F.transform(in_order, lambda r: r["end"])
-    from_ = F.concat(F.array(F.lit(0)), ends)
-    to = F.concat(starts, F.array(F.octet_length(data)))
-    disjoint = F.forall(F.zip_with(from_, to, lambda a, b: a <= b), lambda ok: ok) & F.forall(
-        in_order, lambda r: r["start"] <= r["end"]
-    )
-    # the text is bound once for all stretches by the one-element transform around them
-    stretches = F.get(
-        F.transform(
-            F.array(data),
-            lambda d: F.zip_with(from_, to, lambda a, b: F.hex(F.substr(d, a + 1, b - a))),
-        ),
-        F.lit(0),
-    )
-    one_by_one = F.aggregate(
-        F.reverse(in_order),
-        data,
-        lambda b, r: F.overlay(b, F.lit(b""), r["start"] + F.lit(1), r["end"] - r["start"]),
-    )
-    left = F.when(disjoint, F.unhex(F.array_join(stretches, ""))).otherwise(one_by_one)
-    return F.decode(left, "UTF-8")
+    both = F.struct(F.encode(text, "UTF-8").alias("data"), F.array_sort(ranges).alias("cuts"))
+    return F.decode(bound(both, lambda x: _without(x["data"], x["cuts"])), "UTF-8")
+
+
+def _without(data: Column, cuts: Column) -> Column:
+    """``data`` without the stretches in ``cuts``, which come in order."""
+    from_ = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda r: r["end"]))
+    to = F.concat(F.transform(cuts, lambda r: r["start"]), F.array(F.octet_length(data)))
+
+    def left(kept: Column) -> Column:
+        disjoint = F.forall(kept, lambda k: k["from"] <= k["to"]) & F.forall(
+            cuts, lambda r: r["start"] <= r["end"]
+        )
+        stretches = F.transform(
+            kept, lambda k: F.hex(F.substr(data, k["from"] + 1, k["to"] - k["from"]))
+        )
+        one_by_one = F.aggregate(
+            F.reverse(cuts),
+            data,
+            lambda b, r: F.overlay(b, F.lit(b""), r["start"] + F.lit(1), r["end"] - r["start"]),
+        )
+        return F.when(disjoint, F.unhex(F.array_join(stretches, ""))).otherwise(one_by_one)
+
+    pairs = F.zip_with(from_, to, lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+    return bound(pairs, left)
 
 
 def extract_fenced_code(text: Column, tag: str = "rust") -> Column:

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from itertools import accumulate
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import NBSP, WHITESPACE
 from pairloom.functions import text as T
+from pairloom.functions.arrays import running_total
 
 
 def python_strip_c(code: str) -> str:
@@ -141,13 +144,77 @@ def test_rust_comment_cases(evaluate):
     assert evaluate(list(cases), T.strip_rust_comments) == list(cases.values())
 
 
-def test_rust_nesting_limit_is_detected(evaluate):
-    nested = [("/* " * d) + ("*/ " * d) for d in (1, 8, T.RUST_COMMENT_DEPTH + 1)]
-    assert [s.strip() for s in evaluate(nested, T.strip_rust_comments)] == ["", "", ""]
-    deep = [("/* " * d) + ("*/ " * d) for d in (T.RUST_COMMENT_DEPTH + 2, 200)]
-    assert evaluate(nested + deep, T.deeper_than) == [False] * 3 + [True] * 2
-    more = evaluate(deep, lambda c: T.strip_rust_comments(c, depth=200))
-    assert [s.strip() for s in more] == ["", ""]
+@pytest.mark.parametrize("seed", range(3))
+def test_rust_nested_comments_random(spark, seed):
+    """Mostly marks, so that comments nest, and stay open, at every depth."""
+    parts = ["/*", "*/", "/*", "*/", "*", "/", "//", "\n", '"', "\\", "'", 'r#"', '"#', 'br##"', 'r"', "é"]
+    codes = random_codes(parts, 1500, seed + 50)
+    df = spark.createDataFrame([(c,) for c in codes], "c STRING")
+    code = F.col("c")
+    rows = df.select(
+        "c",
+        T.strip_rust_comments(code).alias("stripped"),
+        T.comment_ranges(code, "Rust").alias("ranges"),
+        T.extract_comments(code, "Rust").alias("comments"),
+    ).collect()
+    for r in rows:
+        raw = r["c"].encode()
+        assert r["stripped"] == python_strip_rust(r["c"])
+        assert [raw[x["start"] : x["end"]].decode() for x in r["ranges"]] == r["comments"]
+        left, at = b"", 0
+        for x in r["ranges"]:
+            left, at = left + raw[at : x["start"]], x["end"]
+        assert (left + raw[at:]).decode() == r["stripped"]
+
+
+@pytest.mark.parametrize("depth", [64, 65, 66, 512, 5000])
+def test_rust_comments_nest_to_any_depth(spark, depth):
+    nested = "/* " * depth + "*/ " * (depth - 1) + "*/"
+    texts = [f"x {nested} y // z", f"x /* {nested} y", f"'\"' {nested[:-2]} \"/*\""]
+    df = spark.createDataFrame([(t,) for t in texts], "c STRING")
+    code = F.col("c")
+    got = df.select(
+        T.strip_rust_comments(code).alias("left"),
+        T.comment_ranges(code, "Rust").alias("ranges"),
+        T.extract_comments(code, "Rust").alias("comments"),
+    ).collect()
+    assert [r["left"] for r in got] == [python_strip_rust(t) for t in texts]
+    assert got[0]["comments"] == [nested, "// z"]
+    assert [tuple(x) for x in got[0]["ranges"]] == [(2, 2 + len(nested)), (len(nested) + 5, len(nested) + 9)]
+
+
+def test_many_comments_and_open_literals_take_time_in_proportion(spark):
+    """Each of these took minutes or more when a text was searched or copied again per mark."""
+    many = "/* é */ x // y\n" * 50_000
+    cases = {
+        many: " x \n" * 50_000,
+        'br#"' * 500_000 + " // z": 'br#"' * 500_000 + " ",
+        'r##"r#"' * 100_000 + "/* a /* b */ */": 'r##"r#"' * 100_000,
+        "/* " * 200_000 + "// z": "/* " * 200_000,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c STRING")
+    code = F.col("c")
+    start = time.monotonic()
+    got = df.select(
+        T.strip_rust_comments(code).alias("left"), F.size(T.comment_ranges(code, "Rust")).alias("n")
+    ).collect()
+    assert [r["left"] for r in got] == list(cases.values())
+    assert [r["n"] for r in got] == [100_000, 1, 1, 1]
+    none = df.limit(1).select(F.lit(None).cast("string").alias("c"))
+    for lang in ("C", "Rust"):
+        ranges = T.comment_ranges(code, lang)
+        made = [ranges, T.extract_comments(code, lang), T.delete_ranges(code, ranges)]
+        assert tuple(none.select(*made).first()) == (None, None, None)
+    c = df.limit(1).select(T.delete_ranges(code, T.comment_ranges(code, "C")).alias("left"))
+    assert c.first()["left"] == " x \n" * 50_000
+    assert time.monotonic() - start < 60
+
+
+def test_running_total(spark):
+    sizes = [(list(range(n)),) for n in (0, 1, 2, 511, 512, 513, 1024, 3000)]
+    df = spark.createDataFrame([*sizes, (None,)], "v ARRAY<INT>")
+    got = [r[0] for r in df.select(running_total(F.col("v"))).collect()]
+    assert got == [list(accumulate(v)) for (v,) in sizes] + [None]
 
 
 def test_long_inputs_do_not_exhaust_the_stack(evaluate):
@@ -241,10 +308,3 @@ def test_fenced_code(evaluate):
     ]
     want = [(m[1] if (m := pattern.search(c)) else c).strip() for c in cases]
     assert evaluate(cases, T.extract_fenced_code) == want
-
-
-def test_rust_nesting_beyond_the_usual_pattern(evaluate):
-    deep = [f"x {'/* ' * d}{'*/ ' * d}y" for d in (64, 65, 66, 80, 500)]
-    assert evaluate(deep, lambda c: T.strip_comments(c, "Rust")) == ["x  y"] * 5
-    with pytest.raises(Exception, match="nest deeper"):
-        evaluate(["/* " * 600 + "*/ " * 600], lambda c: T.strip_comments(c, "Rust"))
