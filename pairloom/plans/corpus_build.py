@@ -45,6 +45,7 @@ from pairloom.operators.reports import (
     rows_per_file,
     with_all_files,
 )
+from pairloom.operators.placing import in_order
 from pairloom.operators.shape import computed_once
 from pairloom.sources.files import (
     FILE_COLUMNS,
@@ -54,7 +55,7 @@ from pairloom.sources.files import (
     scan_jsonl,
     scan_parquet,
 )
-from pairloom.sources.sinks import write_corpus
+from pairloom.sources.sinks import write_corpus, write_corpus_lines
 
 PAIR_COLUMNS = ("c_code", "safe_rust_code")
 CORPUS_COLUMNS = ("label", *PAIR_COLUMNS, "extras", *ORDER_COLUMNS, "task_order")
@@ -149,6 +150,14 @@ def unique_records(cleaned: DataFrame) -> DataFrame:
     return dedup_keep_first(complete, PAIR_COLUMNS, ORDER_COLUMNS, F.col("digest")).drop("digest")
 
 
+def first_keys(cleaned: DataFrame) -> DataFrame:
+    """Where the first record of every distinct pair stands; one digest per pair is compared."""
+    at = [*ORDER_COLUMNS, "task_order"]
+    complete = cleaned.where(F.col("digest").isNotNull())
+    first = complete.groupBy("digest").agg(F.min(F.struct(*at)).alias("at"))
+    return first.select("at.*")
+
+
 def build_corpus(
     spark: SparkSession, root: str, options: CorpusOptions | None = None
 ) -> DataFrame | None:
@@ -190,7 +199,8 @@ def run_corpus_build(
 
     A missing root is an error; a root without usable files writes nothing.  The cleaned
     lines feed both the corpus and the report, so they are written once to the staging
-    folder instead of being cleaned twice.  The report has a row for every file found, and
+    folder instead of being cleaned twice.  With ``options.ordered`` the corpus is in source
+    order and has its table beside it (:func:`pairloom.sources.sinks.write_corpus`).  The report has a row for every file found, and
     is written as tables ``<name>.report/parquet`` and ``/jsonl`` beside the corpus.
     """
     options = options or CorpusOptions()
@@ -200,24 +210,32 @@ def run_corpus_build(
     target = f"{destination.rstrip('/')}/{name}"
     stage = f"{options.staging or destination.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     branches: list[DataFrame] = []
+    keys: list[DataFrame] = []
+    at = [*ORDER_COLUMNS, "task_order"]
     files: dict[str, DataFrame] = {}
     parquet_report = jsonl_report = None
     if rows is not None:
         paired_rows(rows, options).write.parquet(f"{stage}/pairs")
         pairs = spark.read.parquet(f"{stage}/pairs")
         branches.append(pairs)
+        keys.append(pairs.select(*at))
         parquet_report = rows_per_file(pairs, FILE_COLUMNS)
         files["parquet"] = listed_files(spark, root, "parquet")
     if lines is not None:
         cleaned_lines(lines, options).write.parquet(f"{stage}/lines")
         cleaned = spark.read.parquet(f"{stage}/lines")
-        branches.append(unique_records(cleaned))
+        ordered = options.ordered
+        branches.append(cleaned.where("digest IS NOT NULL") if ordered else unique_records(cleaned))
+        keys.append(first_keys(cleaned))
         jsonl_report = clean_report(cleaned, FILE_COLUMNS, F.col("digest"))
         files["jsonl"] = listed_files(spark, root, "jsonl")
     if not branches:
         return CorpusReport(None, None, 0)
     corpus = merge_sources(branches).select(*CORPUS_COLUMNS)
-    write_corpus(corpus, target, options.ordered)
+    if options.ordered:
+        write_corpus(in_order(corpus, merge_sources(keys)), target)
+    else:
+        write_corpus_lines(corpus, target)
     reports = {"parquet": parquet_report, "jsonl": jsonl_report}
     for kind, report in reports.items():
         if report is not None:

@@ -7,10 +7,11 @@ read.  Names starting with ``_`` or ``.`` are hidden files to Spark and are skip
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.filters import non_blank
+from pairloom.operators.placing import first_positions
 
 RAW_PAIR_SCHEMA = "task_name STRING, language_name STRING, code STRING"
 CORPUS_SCHEMA = "task_name STRING, c_code STRING, safe_rust_code STRING"
@@ -121,33 +122,56 @@ def scan_jsonl(spark: SparkSession, root: str) -> DataFrame | None:
     return non_blank(with_text_order(in_dataset_folder(raw, root)), "value")
 
 
+def corpus_table_path(path: str) -> str:
+    """Where the corpus folder at ``path`` has its records as a table."""
+    return f"{path.rstrip('/')}.table"
+
+
 def load_corpus(spark: SparkSession, path: str, schema: str | None = CORPUS_SCHEMA) -> DataFrame:
     """A corpus as one table.  ``schema=None`` infers it, at the price of one more scan."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path)
+    if schema is None:
+        return spark.read.json(path).drop("first")
+    columns = [part.split()[0] for part in schema.split(", ")]
+    return spark.read.schema(schema).json(path).select(*columns)
 
 
 def load_corpus_with_position(
     spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA
 ) -> DataFrame:
-    """A corpus with the 0-based ``position`` of every record in file order.
+    """A corpus with the 0-based ``position`` of every record in source order.
+
+    A corpus that was written in order has a table with positions beside it: one scan, of the
+    columns asked for.  For lines from elsewhere positions are counted, see
+    :func:`count_positions`.
+    """
+    if not root_exists(spark, corpus_table_path(path)):
+        return count_positions(spark, path, schema)
+    table = spark.read.parquet(corpus_table_path(path))
+    label = F.col("label").cast("string").alias("task_name")
+    known = {"task_name": label, "c_code": F.col("c_code"), "safe_rust_code": F.col("safe_rust_code")}
+    wanted = [part.split() for part in schema.split(", ")]
+    more = lambda name, kind: F.variant_get(
+        F.try_element_at("extras", F.lit(name)), "$", kind
+    ).alias(name)
+    return table.select("position", *(known[n] if n in known else more(n, k) for n, k in wanted))
+
+
+def count_positions(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
+    """JSON lines with the 0-based ``position`` of every record in file order.
 
     Ids are consecutive along a block, so a record's place is its id less the first id of
     its block plus the size of all blocks before it.  Only one small row per block is
     aggregated and ordered; records are not ranked, and they are shuffled only where the
     table of blocks is too large for Spark to broadcast.
     """
-    lines = with_text_order(non_blank(spark.read.text(path), "value"))
+    lines = with_text_order(non_blank(spark.read.text(path).select("value", "_metadata"), "value"))
     at = ["folder", "file", "block"]
     blocks = lines.groupBy(*at).agg(
         F.count("*").alias("__size"), F.min("row").alias("__first")
     )
-    before = F.sum("__size").over(
-        Window.orderBy("folder", part_number(F.col("file")), "file", "block").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-    )
-    starts = blocks.select(*at, "__first", F.coalesce(before, F.lit(0)).alias("__start"))
+    starts = first_positions(
+        blocks, "__size", ["block"], [F.col("folder"), part_number(F.col("file"))], "__start"
+    ).drop("__size")
     record = F.from_json("value", schema, {"mode": "FAILFAST"})
     return (
         lines.join(starts, at)

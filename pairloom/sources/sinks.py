@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.records import record_json
 from pairloom.operators.grid import RUN_KEYS
-from pairloom.sources.files import ORDER_COLUMNS, path_or_none
+from pairloom.sources.files import ORDER_COLUMNS, corpus_table_path, path_or_none
 
 PREDICTION_SCHEMA = "original_c STRING, true_rust STRING, predicted_rust STRING"
 RUN_SCHEMA = "model_type STRING, seed INT, fold INT"
+# Digits of a position in a folder name.
+POSITION_DIGITS = 15
 
 
 def record_line(corpus: DataFrame, *keep: str) -> DataFrame:
@@ -22,17 +24,26 @@ def record_line(corpus: DataFrame, *keep: str) -> DataFrame:
     return corpus.select(line.alias("value"), *keep)
 
 
-def write_corpus(corpus: DataFrame, path: str, ordered: bool = True) -> None:
-    """Overwrite the corpus folder at ``path``.
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """Overwrite the corpus folder at ``path`` and the Parquet table ``<path>.table``.
 
-    With ``ordered`` the part files, in name order, hold the records in source order (a
-    range-partitioned sort); without it the sort is saved and the order left open.
+    ``corpus`` comes from :func:`pairloom.operators.placing.in_order`.  Both have one folder per
+    chunk, ``first=<position of its first record>``, padded so that paths in name order hold the
+    records in source order, however many there are.  The table has the same records with
+    their ``position``: it is what later steps read, and may read in part.
     """
-    order = [*ORDER_COLUMNS, "task_order"]
-    lines = record_line(corpus, *order)
-    if ordered:
-        lines = lines.orderBy(*order)
-    lines.select("value").write.mode("overwrite").text(path)
+    padded = F.lpad(F.col("first").cast("string"), POSITION_DIGITS, "0")
+    table = corpus.withColumn("first", padded).drop(*ORDER_COLUMNS, "task_order")
+    in_place = table.sortWithinPartitions("first", "position")
+    in_place.write.mode("overwrite").partitionBy("first").parquet(corpus_table_path(path))
+    written = corpus.sparkSession.read.schema(table.schema).parquet(corpus_table_path(path))
+    lines = record_line(written, "first", "position").sortWithinPartitions("first", "position")
+    lines.drop("position").write.mode("overwrite").partitionBy("first").text(path)
+
+
+def write_corpus_lines(corpus: DataFrame, path: str) -> None:
+    """Overwrite the corpus folder at ``path`` with records in any order."""
+    record_line(corpus).write.mode("overwrite").text(path)
 
 
 def write_predictions(

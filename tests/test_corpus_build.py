@@ -14,11 +14,14 @@ from pairloom.plans.corpus_build import (
     build_corpus,
     cleaned_lines,
     corpus_table,
+    first_keys,
     paired_rows,
     run_corpus_build,
     unique_records,
 )
+from pairloom.operators.placing import in_order
 from pairloom.sources import files
+from pairloom.sources.sinks import write_corpus
 
 (ID_FOLDER,) = DROP_KEYS_BY_FOLDER
 
@@ -125,10 +128,19 @@ EXPECTED = [
 
 def test_build_and_report(spark, tree, tmp_path):
     report = run_corpus_build(spark, str(tree), str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out" / CORPUS_NAME).glob("part-*"))
-    text = "".join(p.read_text(encoding="utf-8") for p in parts)
+    corpus = tmp_path / "out" / CORPUS_NAME
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted(corpus.rglob("part-*")))
     written = [json.loads(x) for x in text.splitlines()]
     assert [list(w.items()) for w in written] == [list(e.items()) for e in EXPECTED]
+    columns = ["task_name", "c_code", "safe_rust_code"]
+    placed = files.load_corpus_with_position(spark, str(corpus)).orderBy("position").collect()
+    assert [r.asDict() for r in placed] == [
+        {"position": i, **{c: e.get(c) for c in columns}} for i, e in enumerate(EXPECTED)
+    ]
+    loaded = files.load_corpus(spark, str(corpus))
+    assert loaded.columns == columns and loaded.count() == len(EXPECTED)
+    more = files.load_corpus_with_position(spark, str(corpus), "c_code STRING, n DOUBLE")
+    assert [r["n"] for r in more.orderBy("position").collect()] == [e.get("n") for e in EXPECTED]
     assert "é" in text
     assert report.total_files == 4
     pairs = {r["file"]: r["written"] for r in report.parquet_files.collect()}
@@ -256,3 +268,56 @@ def test_part_files_order_by_number(spark):
     names = spark.createDataFrame([("part-99999-x.txt",), ("part-100000-x.txt",), ("other",)], "f STRING")
     got = [r[0] for r in names.orderBy(files.part_number(F.col("f")), "f").collect()]
     assert got == ["other", "part-99999-x.txt", "part-100000-x.txt"]
+
+
+def test_order_over_many_chunks(spark, tmp_path):
+    """Files read in many blocks, later copies and named pairs: positions are those of one reader."""
+    root, pad = tmp_path / "r", "x" * 300
+    records = [[line(name=f"{f}-{i}", C=f"int a{i % 700};", Rust=f"fn a{f}() {{}}", pad=pad) for i in range(1000)] for f in range(3)]
+    for f, lines in enumerate(records):
+        write_lines(root / "d" / f"{f}.jsonl", lines)
+    write_parquet(root / "e" / "p.parquet", [(f"t{i:03}", lang, "int a;") for i in range(200) for lang in ("C", "Rust")][::-1])
+    want = [f"{f}-{i}" for f in range(3) for i in range(700)] + [f"t{i:03}" for i in range(200)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        run_corpus_build(spark, str(root), str(tmp_path / "out"))
+        corpus = tmp_path / "out" / CORPUS_NAME
+        table = files.load_corpus_with_position(spark, str(corpus))
+        rows = table.orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["position"], r["task_name"]) for r in rows] == list(enumerate(want))
+    parts = sorted(corpus.rglob("part-*"))
+    names = [json.loads(x)["task_name"] for p in parts for x in p.read_text().splitlines()]
+    assert len(parts) > 40 and names == want
+
+
+def test_plans_move_text_once_and_read_positions_in_one_scan(spark, tree, tmp_path):
+    """No range exchange of text; reading back is a scan of the columns asked for."""
+    run_corpus_build(spark, str(tree), str(tmp_path / "out"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cleaned = cleaned_lines(files.scan_jsonl(spark, str(tree)), CorpusOptions())
+        placed = in_order(cleaned.where("digest IS NOT NULL"), first_keys(cleaned))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        back = files.load_corpus_with_position(spark, str(tmp_path / "out" / CORPUS_NAME))
+        scan = back.select("position")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "rangepartitioning" not in plan
+    moved = [x for x in plan.split("(initial plan)")[-1].splitlines() if "Exchange" in x]
+    assert moved and scan.count("FileScan") == 1
+    assert "Exchange" not in scan and "Window" not in scan and "c_code" not in scan
+
+
+def test_folders_order_past_any_number_of_parts(spark, tmp_path):
+    rows = [(str(f), "", 0, r, "", f * 10**5 + r, f * 10**5) for f in (0, 9, 10, 99_999, 100_000) for r in range(3)]
+    kinds = "folder STRING, file STRING, block BIGINT, row BIGINT, task_order STRING, position BIGINT, first BIGINT"
+    df = spark.createDataFrame(rows, kinds).withColumns(
+        {"label": F.col("position").cast("variant"), "c_code": F.lit("c"), "safe_rust_code": F.lit("r"), "extras": F.from_json(F.lit("{}"), "map<string,variant>")}
+    )
+    write_corpus(df.orderBy(F.desc("position")).coalesce(1), str(tmp_path / "c"))
+    found = [json.loads(x)["task_name"] for p in sorted((tmp_path / "c").rglob("part-*")) for x in p.read_text().splitlines()]
+    assert found == [r[5] for r in rows]
