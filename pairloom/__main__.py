@@ -25,7 +25,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     build.add_argument("source", help="folder of dataset folders")
     build.add_argument("destination", help="folder for the corpus")
     build.add_argument("--batch-size", type=int, default=8192, help="Parquet rows per batch")
-    build.add_argument("--unordered", action="store_true", help="skip the final sort")
+    build.add_argument("--unordered", action="store_true", help="leave the order of records open")
     build.add_argument("--grammar-habits", action="store_true", help="see the README")
     build.add_argument("--staging", help="shared folder for intermediate tables")
     return parser.parse_args(argv)

@@ -60,6 +60,14 @@ def padded_batches(
     ).drop("__width")
 
 
+def first_batches(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], batch_size: int = INFERENCE_BATCH_SIZE
+) -> DataFrame:
+    """Dry run of many runs: the first batch of each (each task keeps that many rows at most)."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("__place", place).where(F.col("__place") <= batch_size).drop("__place")
+
+
 def first_batch(
     df: DataFrame, order: Sequence[str], batch_size: int = INFERENCE_BATCH_SIZE
 ) -> DataFrame:

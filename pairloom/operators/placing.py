@@ -39,7 +39,7 @@ def first_positions(
     chunks = counts.withColumn("__before", F.coalesce(before, F.lit(0)))
     ordered = [c.alias(f"__o{i}") for i, c in enumerate(file_order)]
     files = counts.groupBy(*FILE).agg(F.sum(size).alias("__n"))
-    listed = files.select(F.struct(F.lit(1).alias("__all"), *ordered, *FILE, "__n").alias("f"))
+    listed = files.select(F.struct(*ordered, *FILE, "__n").alias("f"))
     gathered = listed.agg(F.sort_array(F.collect_list("f")).alias("f")).select(
         "f", running_total(F.transform("f", lambda x: x["__n"]), "bigint").alias("ends")
     )

@@ -55,6 +55,48 @@ def score(
     return strip_whitespace(apply(prompt))
 
 
+def score_by_run(
+    prompt: Column,
+    run: Column,
+    factory: Callable[[], Scorer],
+    batch_size: int = INFERENCE_BATCH_SIZE,
+) -> Column:
+    """Apply a model to the prompts of many runs: STRUCT<answer STRING, error STRING>.
+
+    Prompts of one run that follow one another go through together, ``batch_size`` per call.
+    Where a call fails, its rows and the task's further rows of that run have the error instead
+    of an answer; other runs go on.
+    """
+
+    @F.pandas_udf("answer STRING, error STRING")
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        failed: dict[str, str] = {}
+        for prompts, runs in batches:
+            texts, keys = prompts.tolist(), runs.tolist()
+            answers: list[str | None] = []
+            while len(answers) < len(texts):
+                at = len(answers)
+                key, end = keys[at], at + 1
+                while end < len(texts) and end - at < batch_size and keys[end] == key:
+                    end += 1
+                part: list = [None] * (end - at)
+                if key not in failed:
+                    try:
+                        part = list(model(texts[at:end]))
+                        if len(part) != end - at:
+                            raise ValueError(f"got {len(part)} answers for {end - at} inputs")
+                    except Exception as error:  # the run is reported as failed
+                        part = [None] * (end - at)
+                        failed[key] = f"{type(error).__name__}: {error}"
+                answers.extend(part)
+            errors = [failed.get(k) if a is None else None for a, k in zip(answers, keys)]
+            yield pd.DataFrame({"answer": answers, "error": errors}, dtype="object")
+
+    scored = apply(prompt, run)
+    return F.struct(strip_whitespace(scored["answer"]).alias("answer"), scored["error"].alias("error"))
+
+
 def encode_with(
     text: Column,
     factory: Callable[[], Encoder],

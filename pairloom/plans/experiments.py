@@ -7,8 +7,9 @@ place: no text is shuffled between reading the corpus and writing predictions.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.constants import (
@@ -29,12 +30,12 @@ from pairloom.functions.chat import (
 )
 from pairloom.functions.text import extract_fenced_code
 from pairloom.functions.tokens import attention_mask, encode_truncate
-from pairloom.operators.batches import first_batch
+from pairloom.operators.batches import first_batches
 from pairloom.operators.grid import RUN_KEYS, pending_runs, run_grid
-from pairloom.operators.scoring import Scorer, prediction_records, score
+from pairloom.operators.scoring import Scorer, prediction_records, score, score_by_run
 from pairloom.operators.shape import computed_once
 from pairloom.operators.splits import kfold_split, kfold_train_val, split_by_shares
-from pairloom.sources.sinks import finished_runs, write_predictions
+from pairloom.sources.sinks import RUN_SCHEMA, commit_runs, finished_runs, stage_predictions
 
 SOURCE, TARGET = "c_code", "safe_rust_code"
 
@@ -65,11 +66,14 @@ def prompts(members: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame
 
 
 def cross_validation_tests(
-    corpus: DataFrame, model: str, seed: int, fold: int, key: str, k: int = NUM_FOLDS
+    corpus: DataFrame, runs: DataFrame, key: str, seeds: Sequence[int], k: int = NUM_FOLDS
 ) -> DataFrame:
-    """Test rows of one run.  The cut points of its seed come from the key column alone."""
-    members = kfold_split(corpus, key, [seed], k, population=corpus.select(key))
-    return members.where(F.col("fold") == fold).withColumn("model_type", F.lit(model))
+    """Test rows of all the runs: one scan of the corpus, every row once per run that tests it.
+
+    The cut points of the seeds come from the key column alone; ``runs`` is a part of the grid.
+    """
+    members = kfold_split(corpus, key, seeds, k, population=corpus.select(key))
+    return members.join(F.broadcast(runs), ["seed", "fold"])
 
 
 def run_cross_validation(
@@ -84,17 +88,20 @@ def run_cross_validation(
     batch_size: int = INFERENCE_BATCH_SIZE,
     dry_run: bool = False,
 ) -> None:
-    """Score the test rows of every run that has no output yet, and save run by run.
+    """Score the test rows of every run that has no output yet: one job, saved run by run.
 
-    What is saved when a model fails stays, and the next call goes on with the runs that are
-    missing.  Records keep the row's ``key`` as ``position``: sorted by it, the records of two
-    models for one seed and fold stand side by side.  ``dry_run`` scores the first batch only.
+    A run in which the model fails is not saved and is named in the error raised at the end;
+    all others are, and the next call goes on with those that are missing.  Records keep the
+    row's ``key`` as ``position``: sorted by it, the records of two models for one seed and fold
+    stand side by side.  ``dry_run`` scores the first batch of each run only.
     """
     grid = run_grid(spark, models, seeds, k)
-    runs = pending_runs(grid, finished_runs(spark, output)).orderBy(*RUN_KEYS)
-    for run in runs.collect():  # as many as models x seeds x folds
-        tests = cross_validation_tests(corpus, run["model_type"], run["seed"], run["fold"], key, k)
-        _score_and_save(tests, key, factory, output, RUN_KEYS, batch_size, dry_run)
+    runs = pending_runs(grid, finished_runs(spark, output)).orderBy(*RUN_KEYS).collect()
+    if not runs:  # as many as models x seeds x folds
+        return
+    wanted = spark.createDataFrame(runs, RUN_SCHEMA)
+    tests = cross_validation_tests(corpus, wanted, key, sorted({r["seed"] for r in runs}), k)
+    _score_and_save(tests, key, factory, output, RUN_KEYS, runs, batch_size, dry_run)
 
 
 def _score_and_save(
@@ -103,14 +110,34 @@ def _score_and_save(
     factory: Callable[[], Scorer],
     output: str,
     run_keys: Sequence[str],
+    runs: Sequence[Row],
     batch_size: int,
     dry_run: bool,
 ) -> None:
-    rows = prompts(first_batch(tests, [key], batch_size) if dry_run else tests)
-    scored = rows.withColumn("answer", score(F.col("prompt"), factory, batch_size))
-    placed = scored.withColumn("position", F.col(key))
-    records = prediction_records(placed, SOURCE, TARGET, "answer", [*run_keys, "position"])
-    write_predictions(records, output, keys=run_keys)
+    rows = first_batches(tests, run_keys, [key], batch_size) if dry_run else tests
+    # rows of a run follow one another in each task, in the order of the key
+    ready = prompts(rows).sortWithinPartitions(*run_keys, key)
+    run = F.to_json(F.struct(*run_keys))
+    scored = ready.withColumn("__s", score_by_run(F.col("prompt"), run, factory, batch_size))
+    answered = scored.withColumn("answer", F.col("__s.answer")).withColumn("position", F.col(key))
+    failures = {
+        f"run_{i}": F.max(F.when(_is_run(r, run_keys), F.col("__s.error"))) for i, r in enumerate(runs)
+    }
+    seen = Observation()
+    watched = answered.observe(seen, *(c.alias(name) for name, c in failures.items()))
+    good = watched.where(F.col("__s.error").isNull())
+    records = prediction_records(good, SOURCE, TARGET, "answer", [*run_keys, "position"])
+    stage = stage_predictions(records, output, run_keys)
+    found = [seen.get[name] for name in failures]
+    commit_runs(tests.sparkSession, stage, output, [r for r, e in zip(runs, found) if e is None], run_keys)
+    failed = [f"{r.asDict()}: {e}" for r, e in zip(runs, found) if e is not None]
+    if failed:
+        raise RuntimeError("runs that failed and were not saved: " + "; ".join(failed))
+
+
+def _is_run(run: Row, run_keys: Sequence[str]) -> Column:
+    same = [F.col(name) == F.lit(run[name]) for name in run_keys]
+    return reduce(lambda a, b: a & b, same)
 
 
 def cross_validation_training(
@@ -156,7 +183,7 @@ def run_single(
         return False
     tests = single_run_splits(corpus, key, seed).where("split = 'test'")
     tests = tests.withColumn("model_type", F.lit("Proposed")).withColumn("seed", F.lit(seed))
-    _score_and_save(tests, key, factory, output, ["seed"], batch_size, dry_run)
+    _score_and_save(tests, key, factory, output, ["seed"], [Row(seed=seed)], batch_size, dry_run)
     return True
 
 

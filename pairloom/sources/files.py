@@ -45,21 +45,21 @@ def path_or_none(load) -> DataFrame | None:
         return None
 
 
-def _file_system(spark: SparkSession, name: str):
+def file_system(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def root_exists(spark: SparkSession, root: str) -> bool:
     """Whether ``root`` is a folder, asked of the file system of its path; nothing is listed."""
-    path, files = _file_system(spark, root)
+    path, files = file_system(spark, root)
     return bool(files.exists(path) and files.getFileStatus(path).isDirectory())
 
 
 def listed_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Folder and file of every file with the suffix, empty ones too, from the file system's
     listing; a scan would leave out files of no bytes.  Folders and hidden files are no data."""
-    path, files = _file_system(spark, file_glob(root, suffix))
+    path, files = file_system(spark, file_glob(root, suffix))
     found = [x.getPath() for x in files.globStatus(path) or () if x.isFile()]
     names = [(x.getParent().getName(), x.getName()) for x in found]
     names = [n for n in names if not any(part.startswith(("_", ".")) for part in n)]

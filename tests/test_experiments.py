@@ -203,3 +203,63 @@ def test_dry_run_and_training_rows_of_the_single_run(spark, tmp_path):
     assert spark.read.json(out).count() == 2
     rows = experiments.single_run_training(df, "key")
     assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 48, "val": 6}
+
+
+def test_all_runs_share_one_scan_of_the_corpus(spark, corpus, tmp_path):
+    corpus.write.parquet(str(tmp_path / "c"))
+    rows = spark.read.parquet(str(tmp_path / "c"))
+    runs = grid.run_grid(spark)
+    tests = experiments.cross_validation_tests(rows, runs, "key", [42, 1337, 2024, 777, 999])
+    assert runs.count() == 20 and tests.count() == 10 * rows.count()
+    plan = tests._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    # all others read the key alone, for the cut points
+    assert len([x for x in scans if "c_code" in x]) == 1
+
+
+def test_only_failed_runs_are_left_out(spark, corpus, tmp_path):
+    out, args = str(tmp_path / "out"), {"seeds": [5, 6, 7]}
+    failing = local(lambda ps: [p[len("x") - 1 :] if "int a3;" not in p else p + 1 for p in ps])
+    with pytest.raises(RuntimeError, match="can only concatenate str") as error:
+        experiments.run_cross_validation(spark, corpus, "key", failing, out, **args)
+    # row 3 is a test row once per model and seed
+    assert str(error.value).count("TypeError") == 6
+    assert sinks.finished_runs(spark, out).count() == 6
+    experiments.run_cross_validation(spark, corpus, "key", echo_model, out, **args)
+    saved = sinks.read_predictions(spark, out)
+    assert sinks.finished_runs(spark, out).count() == 12 and saved.count() == 66
+    assert not list((tmp_path / "out").glob("_staging*"))
+
+
+def test_batches_hold_rows_of_one_run_in_order(spark, corpus, tmp_path):
+    out = str(tmp_path / "out")
+    whole = corpus.coalesce(1)
+    experiments.run_cross_validation(spark, whole, "key", echo_model, out, models=["Baseline"], seeds=[42])
+    rows = sinks.read_predictions(spark, out).orderBy("fold", "position").collect()
+    sizes = {f: [r["predicted_rust"][1] for r in rows if r["fold"] == f] for f in (0, 1)}
+    assert sizes == {0: list("444422"), 1: list("44441")}
+
+
+def test_prediction_arrays(spark, tmp_path):
+    texts = ["plain", 'q"\\/\n\t\x01', "é😀\u2028", "", None, "  }\n"]
+    rows = [("M", 1, f, 10 * i, t, texts[i - 1], f"{f}{t}") for f in (0, 1) for i, t in enumerate(texts)]
+    kinds = "model_type STRING, seed INT, fold INT, position INT, original_c STRING, true_rust STRING, predicted_rust STRING"
+    sinks.write_prediction_arrays(spark.createDataFrame(rows[::-1], kinds).repartition(3), str(tmp_path / "a"))
+    names = ["original_c", "true_rust", "predicted_rust"]
+    for f in (0, 1):
+        folder = tmp_path / "a" / "model_type=M" / "seed=1" / f"fold={f}"
+        text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+        want = [dict(zip(names, r[4:])) for r in rows if r[2] == f]
+        assert text == json.dumps(want, indent=2) + "\n"
+        (tmp_path / "one" / "model_type=M" / "seed=1" / f"fold={f}").mkdir(parents=True)
+        (tmp_path / "one" / "model_type=M" / "seed=1" / f"fold={f}" / "predictions.json").write_text(text.strip())
+    for path in ("a", "one"):
+        back = sinks.read_prediction_arrays(spark, str(tmp_path / path)).collect()
+        assert sorted(map(str, back)) == sorted(str(r) for r in spark.createDataFrame([(*r[4:], *r[:3]) for r in rows], "original_c STRING, true_rust STRING, predicted_rust STRING, model_type STRING, seed INT, fold INT").collect())
+
+
+def test_dry_run_scores_the_first_batch_of_each_run(spark, corpus, tmp_path):
+    out = str(tmp_path / "out")
+    experiments.run_cross_validation(spark, corpus, "key", echo_model, out, seeds=[42], batch_size=2, dry_run=True)
+    rows = sinks.read_predictions(spark, out).collect()
+    assert len(rows) == 8 and len({(r["fold"], r["position"]) for r in rows}) == 4
