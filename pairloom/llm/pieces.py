@@ -25,7 +25,7 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _SCRIPTS = re.compile(f"{SPACE}*(?:[^\\W\\d_¹²³]+|(?:[^{SPACE}\n\\w]|[\\d_¹²³])+)|{SPACE}+|\n")
 #: Chunks of words that a worker remembers, cut without dropout: the first it meets, among which
 #: are the frequent ones.
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 200_000
 _MASK = (1 << 64) - 1
 #: Characters of a chunk whose agenda is a plain list; the rank of a pair that is no piece.
 SHORT, _NEVER = 24, 1 << 62
@@ -55,7 +55,9 @@ _TURNS = [[_turn(place, size) for size in range(SHORT + 1)] for place in range(S
 
 
 _TURN_TABLE = np.array(_TURNS, np.uint64)
-_NO_PAIR = 1 << 40
+_NO_PAIR = (1 << 31) - 1
+#: Bits of a slot in the table of pairs.
+SLOT_BITS = 19
 #: Texts, and about how many characters, that are encoded together; chunks that are merged together.
 TEXTS_AT_ONCE, CHARACTERS_AT_ONCE, CHUNKS_AT_ONCE = 1024, 3_000_000, 16384
 
@@ -88,6 +90,10 @@ def _any_skipped(base: np.ndarray, of: np.ndarray, turns: list[bytes], dropped:
     return skipped
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(_PLACE)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class _Numbers(dict):
     """Numbers keys in the order in which they are first looked up."""
 
@@ -121,7 +127,7 @@ class Pieces:
         self._tables()
         one = lambda p: _SCRIPTS.fullmatch(p) or len(p) == 1
         self.chunks = (_SCRIPTS if all(map(one, self.ids)) else _WORDS).findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
 
     def _tables(self) -> None:
         """Arrays for merging many chunks together: symbol of each character, turn of each pair
@@ -133,9 +139,9 @@ class Pieces:
         # pieces of equal score go by place, which only the one-by-one forms know
         equal = [p for p, q in zip(order, order[1:] + order[:1]) if self.rank[p] == self.rank[q]]
         self.tied = re.compile("|".join(map(re.escape, equal))) if equal else None
-        self.made = np.array([self.ids[p] for p in order], np.int64)
+        self.made = np.array([self.ids[p] for p in order], np.int32)
         self.lengths = np.array([len(p) for p in order], np.int64)
-        self.symbol_of = np.arange(count, count + 0x110000, dtype=np.int64)
+        self.symbol_of = np.arange(count, count + 0x110000, dtype=np.int32)
         pairs = []
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -145,49 +151,101 @@ class Pieces:
                 if left is not None and right is not None:
                     pairs.append((left << 32 | right, turn_of[piece]))
         pairs.sort()
+        # pairs by hashed slot; those that share a slot are looked up among the sorted keys
         self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
-        self.pair_turn = np.array([i for _, i in pairs] + [_NO_PAIR], np.int64)
+        self.pair_turn = np.array([i for _, i in pairs] + [_NO_PAIR], np.int32)
+        slots = _slots(self.pair_keys[:-1])
+        self.slot_key, self.slot_turn = np.full(1 << SLOT_BITS, -1), np.full(1 << SLOT_BITS, _NO_PAIR, np.int32)
+        self.slot_key[slots], self.slot_turn[slots] = self.pair_keys[:-1], self.pair_turn[:-1]
+        self.slot_key[np.flatnonzero(np.bincount(slots, minlength=1) > 1)] = -2
+        sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.byte_size, self.byte_start = sizes, np.cumsum(sizes) - sizes
+        self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def _turns(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_turn[at], _NO_PAIR)
-
-    def segment_many(self, chunks: list[str], key: int, dropped: int) -> dict[str, bytes]:
-        """What :meth:`segment` gives for each chunk, as int32 bytes."""
-        base = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in chunks], np.uint64) if dropped else None
-        return {chunk: ids for chunk, (ids, _) in zip(chunks, self._segments(chunks, base, dropped))}
-
-    def _segments(self, chunks: list[str], base: np.ndarray | None, dropped: int) -> list[tuple[bytes, bytes]]:
-        """For each chunk its ids as int32 bytes and, without dropout, the turns it took as uint64
-        bytes. Short chunks of one length take their turns together, each with the best
-        candidate of its own agenda."""
+        key = left.astype(np.int64) << 32 | right
+        slot = _slots(key)
+        held = self.slot_key[slot]
+        turns = np.where(held == key, self.slot_turn[slot], np.int32(_NO_PAIR))
+        shared = held == -2
+        if shared.any():
+            at = np.searchsorted(self.pair_keys, key[shared])
+            turns[shared] = np.where(self.pair_keys[at] == key[shared], self.pair_turn[at], np.int32(_NO_PAIR))
+        return turns
+
+    def _alone(self, chunk: str) -> bool:
+        """Whether a chunk takes its turns by itself: long ones, and those that hold pieces of
+        equal score."""
+        return not 1 < len(chunk) <= SHORT or bool(self.tied and self.tied.search(chunk))
+
+    def _segments(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """For each chunk, without dropout, its ids as int32 bytes, the turns it took as uint64
+        bytes, and its length. Short chunks of one length take their turns together, each with the best
+        candidate of its own agenda; for one that goes by itself the length is given as 0."""
         found: list = [None] * len(chunks)
         by_length: dict[int, list[int]] = {}
         for i, chunk in enumerate(chunks):
-            if 1 < len(chunk) <= SHORT and not (self.tied and self.tied.search(chunk)):
-                by_length.setdefault(len(chunk), []).append(i)
-            else:
+            if self._alone(chunk):
                 turns: list[int] = []
-                ids = self._ids(self._merged(chunk, int(base[i]) if dropped else 0, dropped, turns))
-                found[i] = array("i", ids).tobytes(), np.array(turns, np.uint64).tobytes()
+                ids = self._ids(self._merged(chunk, 0, 0, turns))
+                found[i] = array("i", ids).tobytes(), np.array(turns, np.uint64).tobytes(), 0
+            else:
+                by_length.setdefault(len(chunk), []).append(i)
         for length, places in by_length.items():
             for at in range(0, len(places), CHUNKS_AT_ONCE):
                 own = places[at : at + CHUNKS_AT_ONCE]
-                for i, ids in zip(own, self._take_turns([chunks[i] for i in own], length, base[own] if dropped else None, dropped)):
-                    found[i] = ids
+                symbols, size, taken = self._take_turns(self._symbols([chunks[i] for i in own], length), None, 0)
+                of = np.concatenate([r for r, _ in taken])
+                order = np.argsort(of, kind="stable")
+                steps = np.cumsum(np.bincount(of, minlength=len(own))) * 8
+                turns_of = np.concatenate([t for _, t in taken])[order].tobytes()
+                ids, sizes = self._ids_of(symbols, size)
+                data, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
+                steps = steps.tolist()
+                for i, x, y, u, v in zip(own, [0, *ends], ends, [0, *steps], steps):
+                    found[i] = data[x:y], turns_of[u:v], length
         return found
 
-    def _take_turns(self, chunks: list[str], length: int, base: np.ndarray | None, dropped: int) -> list[tuple[bytes, bytes]]:
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
-        symbols = self.symbol_of[points]
+    def _drawn(self, chunks: list[str], lengths: np.ndarray, of: np.ndarray, base: np.ndarray, dropped: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Chunk ``of[i]`` cut with dropout under ``base[i]``: arrays of ids, which count as one
+        array, and where in it each one starts and how many ids it has. ``lengths`` of the
+        chunks are those that :meth:`_segments` gives."""
+        start, many = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        out: list[np.ndarray] = []
+        total = 0
+        for length in np.unique(lengths[of]).tolist():
+            places = np.flatnonzero(lengths[of] == length)
+            if length:
+                numbers, row = np.unique(of[places], return_inverse=True)
+                symbols = self._symbols([chunks[i] for i in numbers.tolist()], length)
+            for at in range(0, len(places), CHUNKS_AT_ONCE):
+                own = places[at : at + CHUNKS_AT_ONCE]
+                if length:
+                    ids, sizes = self._ids_of(*self._take_turns(symbols[row[at : at + CHUNKS_AT_ONCE]], base[own], dropped)[:2])
+                else:
+                    each = [self._ids(self._merged(chunks[c], b, dropped, [])) for c, b in zip(of[own].tolist(), base[own].tolist())]
+                    ids, sizes = np.array([x for own_ids in each for x in own_ids], np.int32), np.array([len(x) for x in each], np.int64)
+                start[own], many[own] = total + np.cumsum(sizes) - sizes, sizes
+                out.append(ids)
+                total += len(ids)
+        return out, start, many
+
+    def _symbols(self, chunks: list[str], length: int) -> np.ndarray:
+        """One row of symbols for each of the chunks, which all have this length."""
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.symbol_of[points.reshape(-1, length)]
+
+    def _take_turns(self, symbols: np.ndarray, base: np.ndarray | None, dropped: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """Merges every row of ``symbols`` in place; how many symbols are left of each row, and
+        without dropout the turns taken, as (rows, turns) step by step."""
+        many, length = symbols.shape
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        places = np.broadcast_to(np.arange(length), symbols.shape).copy()
-        agenda = np.full(symbols.shape, _NO_PAIR)
-        agenda[:, :-1] = self._turns(symbols[:, :-1], symbols[:, 1:])
-        size = np.full(len(chunks), length)
-        rows = np.arange(len(chunks))
         column = np.arange(length)
+        places = np.tile(column.astype(np.int8), (many, 1))
+        agenda = np.full(symbols.shape, _NO_PAIR, np.int32)
+        agenda[:, :-1] = self._turns(symbols[:, :-1], symbols[:, 1:])
+        size = np.full(many, length)
+        rows = np.arange(many)
         while len(rows):
             at = agenda[rows].argmin(axis=1)
             best = agenda[rows, at]
@@ -204,11 +262,11 @@ class Pieces:
             if not len(moved):
                 continue
             # the right half of each merged pair goes, what follows it moves up by one
-            after = np.minimum(column + (column > at[:, None]), length - 1)
-            own, place = symbols[moved], places[moved]
-            own[np.arange(len(moved)), at] = self.made[best]
-            own, place = np.take_along_axis(own, after, 1), np.take_along_axis(place, after, 1)
-            wish = np.take_along_axis(agenda[moved], np.minimum(column + (column >= at[:, None]), length - 1), 1)
+            symbols[moved, at] = self.made[best]
+            row, beyond = (moved * length)[:, None], at[:, None]
+            after = row + np.minimum(column + (column > beyond), length - 1)
+            own, place = symbols.ravel().take(after), places.ravel().take(after)
+            wish = agenda.ravel().take(row + np.minimum(column + (column >= beyond), length - 1))
             wish[:, -1] = _NO_PAIR
             size[moved] -= 1
             line = np.arange(len(moved))
@@ -218,25 +276,24 @@ class Pieces:
             left = at > 0
             wish[line[left], at[left] - 1] = self._turns(own[line[left], at[left] - 1], own[line[left], at[left]])
             symbols[moved], places[moved], agenda[moved] = own, place, wish
-        if dropped:
-            turns = [b""] * len(chunks)
-        else:
-            of = np.concatenate([r for r, _ in taken])
-            order = np.argsort(of, kind="stable")
-            ends = np.cumsum(np.bincount(of, minlength=len(chunks)))
-            turns = [t.tobytes() for t in np.split(np.concatenate([t for _, t in taken])[order], ends[:-1])]
+        return symbols, size, taken
+
+    def _ids_of(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of merged rows, one row after the other, and how many each row has. Symbols that
+        are no piece become the ids of their bytes."""
         count = len(self.bytes)
-        flat = symbols[column < size[:, None]]
-        if flat.max() < count:
-            data, ends = flat.astype(np.int32).tobytes(), (np.cumsum(size) * 4).tolist()
-            return list(zip([data[x:y] for x, y in zip([0, *ends], ends)], turns))
-        made = []
-        for i in range(len(chunks)):
-            out: list[int] = []
-            for x in symbols[i, : size[i]].tolist():
-                out.extend([x] if x < count else [self.byte_ids[b] for b in chr(x - count).encode("utf-8", "surrogatepass")])
-            made.append(array("i", out).tobytes())
-        return list(zip(made, turns))
+        flat = symbols[np.arange(symbols.shape[1]) < size[:, None]]
+        odd = np.flatnonzero(flat >= count)
+        if not len(odd):
+            return flat, size
+        out, made, done = [], size.copy(), 0
+        row = np.repeat(np.arange(len(size)), size)
+        for i in odd.tolist():
+            own = [self.byte_ids[b] for b in chr(int(flat[i]) - count).encode("utf-8", "surrogatepass")]
+            out += [flat[done:i], np.array(own, np.int32)]
+            made[row[i]] += len(own) - 1
+            done = i + 1
+        return np.concatenate([*out, flat[done:]]), made
 
     def segment(self, chunk: str, key: int, dropped: int) -> list[int]:
         """Merge the characters of a chunk, best candidate first. A candidate whose turn has
@@ -335,32 +392,35 @@ class Pieces:
         chunks = list(number)
         of = np.concatenate(rows)
         counts = np.array([len(r) for r in rows])
-        known = [(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes(), b""), *self._without_dropout(chunks[1:])]
-        pool = [np.frombuffer(b"".join(ids for ids, _ in known), np.int32)]
-        size = np.array([len(ids) // 4 for ids, _ in known])
+        known = [(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes(), b"", 0), *self._without_dropout(chunks[1:])]
+        pool = [np.frombuffer(b"".join([k[0] for k in known]), np.int32)]
+        size = np.array([len(k[0]) // 4 for k in known])
         start = (np.cumsum(size) - size)[of]
         size = size[of]
         if dropped and len(of):
             base = _bases(keys, counts, seed)
-            hit = np.flatnonzero(_any_skipped(base, of, [turns for _, turns in known], dropped))
-            again = self._segments([chunks[i] for i in of[hit].tolist()], base[hit], dropped)
-            pool.append(np.frombuffer(b"".join(ids for ids, _ in again), np.int32))
-            size[hit] = [len(ids) // 4 for ids, _ in again]
-            start[hit] = len(pool[0]) + np.cumsum(size[hit]) - size[hit]
+            hit = np.flatnonzero(_any_skipped(base, of, [k[1] for k in known], dropped))
+            again, begin, size[hit] = self._drawn(chunks, np.array([k[2] for k in known]), of[hit], base[hit], dropped)
+            start[hit] = len(pool[0]) + begin
+            pool += again
         ends = np.cumsum(size)
         ids = np.concatenate(pool)[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         return np.split(ids, np.r_[0, ends][np.cumsum(counts)[:-1]])
 
-    def _without_dropout(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of chunks cut without dropout and the turns they took, from memory where there."""
+    def _without_dropout(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """What :meth:`_segments` gives, from memory where there."""
         unseen = [c for c in chunks if c not in self.known]
-        fresh = dict(zip(unseen, self._segments(unseen, None, 0)))
+        fresh = dict(zip(unseen, self._segments(unseen)))
         found = [self.known[c] if c in self.known else fresh[c] for c in chunks]
         self.known.update(islice(fresh.items(), max(0, MOST_CHUNKS - len(self.known))))
         return found
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.bytes.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        size = self.byte_size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.byte_start[ids] - ends + size, size) + np.arange(ends[-1] if len(ids) else 0)
+        text = self.byte_pool[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
