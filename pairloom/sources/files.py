@@ -6,9 +6,15 @@ read.  Names starting with ``_`` or ``.`` are hidden files to Spark and are skip
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+from collections.abc import Sequence
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from pairloom.operators.filters import non_blank
 from pairloom.operators.placing import first_positions
@@ -56,39 +62,110 @@ def root_exists(spark: SparkSession, root: str) -> bool:
     return bool(files.exists(path) and files.getFileStatus(path).isDirectory())
 
 
-def listed_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """Folder and file of every file with the suffix, empty ones too, from the file system's
-    listing; a scan would leave out files of no bytes.  Folders and hidden files are no data."""
-    path, files = file_system(spark, file_glob(root, suffix))
-    found = [x.getPath() for x in files.globStatus(path) or () if x.isFile()]
-    names = [(x.getParent().getName(), x.getName()) for x in found]
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with scheme and all parts, so that the depth of a path below it can be told."""
+    path, files = file_system(spark, root)
+    return files.makeQualified(path).toString()
+
+
+def listed_files(spark: SparkSession, root: str, suffix: str) -> DataFrame | None:
+    """Folder and file of every file with the suffix, empty ones too; None when there is none.
+
+    The listing is a table of Spark's own: ``binaryFile`` opens no file whose content is not
+    asked for.  It leaves out files of no bytes, which are added from the file system's listing.
+    """
+    listing = path_or_none(
+        lambda: spark.read.format("binaryFile").load(file_glob(root, suffix)).select("path", "_metadata")
+    )
+    if listing is None:
+        return None
+    found = in_dataset_folder(listing, qualified(spark, root)).select(
+        path_part(-2).alias("folder"), path_part(-1).alias("file")
+    )
+    path, system = file_system(spark, file_glob(root, suffix))
+    empty = [x.getPath() for x in system.globStatus(path) or () if x.isFile() and x.getLen() == 0]
+    names = [(x.getParent().getName(), x.getName()) for x in empty]
     names = [n for n in names if not any(part.startswith(("_", ".")) for part in n)]
-    return spark.createDataFrame(names, "folder STRING, file STRING")
+    return found.union(spark.createDataFrame(names, "folder STRING, file STRING"))
+
+
+def _path_depth(path: Column | str) -> Column | int:
+    """Number of parts of a path, its scheme and authority left out."""
+    if isinstance(path, str):
+        return len([p for p in re.sub("^[A-Za-z0-9+.-]+:(//[^/]*)?", "", path).split("/") if p])
+    bare = F.regexp_replace(path, "^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
+    return F.size(F.filter(F.split(bare, "/"), lambda p: p != ""))
 
 
 def in_dataset_folder(scan: DataFrame, root: str) -> DataFrame:
-    """Rows of files that lie directly in a folder of ``root``.
+    """Rows of files that lie directly in a folder of ``root``, a :func:`qualified` path.
 
     A folder may carry a data suffix too; the files in it are one level deeper and no data.
     """
-    depth = len([p for p in root.split("://")[-1].rstrip("/").split("/") if p])
-    parts = F.size(F.filter(F.split(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9+.-]+:/+", "/"), "/"), lambda p: p != ""))
-    if "://" not in root and not root.startswith("/"):
-        return scan  # a relative root: its depth is not known here
-    return scan.where(parts == depth + 2)
+    return scan.where(_path_depth(F.col("_metadata.file_path")) == _path_depth(root) + 2)
+
+
+def _merged_schema(spark: SparkSession, paths: Sequence[str]) -> StructType | None:
+    """The columns of all the files, from their footers (one job); None where types differ."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(*paths).schema
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE" not in str(error):
+            raise
+        return None
+
+
+def files_by_schema(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], StructType]]:
+    """Parquet files in groups that agree in the type of every column.
+
+    One job reads all footers.  Only where they differ the list is halved, again and again.
+    """
+    schema = _merged_schema(spark, paths)
+    if schema is not None:
+        return [(list(paths), schema)]
+    half = len(paths) // 2
+    found: dict[str, tuple[list[str], StructType]] = {}
+    for part in (paths[:half], paths[half:]):
+        for group, own in files_by_schema(spark, part):
+            # groups of both halves that agree are scanned together
+            if own.json() in found:
+                found[own.json()][0].extend(group)
+            else:
+                found[own.json()] = (group, own)
+    return list(found.values())
+
+
+def _typed_scan(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
+    """The three columns; what is not text is null, names that are not text are written out."""
+    wanted = StructType.fromDDL(RAW_PAIR_SCHEMA).names
+    there = [f for f in schema.fields if f.name in wanted]
+    columns = {f.name: F.col(f.name) if isinstance(f.dataType, StringType) else None for f in there}
+    if any(f.name == "task_name" for f in there):
+        columns["task_name"] = F.col("task_name").cast("string")
+    raw = spark.read.schema(StructType(there)).parquet(*paths)
+    none = F.lit(None).cast("string")
+    values = [columns.get(n) if columns.get(n) is not None else none for n in wanted]
+    return raw.select(*(v.alias(n) for v, n in zip(values, wanted)), "_metadata")
 
 
 def scan_parquet(spark: SparkSession, root: str) -> DataFrame | None:
     """The three columns of every Parquet file, with folder, file and row number.
 
-    null columns stand in where a file lacks one; None when there is no such file.
+    null columns stand in where a file lacks one; None when there is no such file.  Files may
+    differ in their types: one scan for each kind, a ``code`` that is no text is null.
     """
-    raw = path_or_none(
-        lambda: spark.read.schema(RAW_PAIR_SCHEMA).parquet(file_glob(root, "parquet"))
-    )
-    if raw is None:
+    glob = file_glob(root, "parquet")
+    if path_or_none(lambda: spark.read.format("binaryFile").load(glob)) is None:
         return None
-    return in_dataset_folder(raw, root).select(
+    home = qualified(spark, root)
+    schema = _merged_schema(spark, [glob])
+    if schema is not None:
+        groups = [([glob], schema)]
+    else:
+        listing = in_dataset_folder(spark.read.format("binaryFile").load(glob).select("path", "_metadata"), home)
+        groups = files_by_schema(spark, [r["path"] for r in listing.select("path").orderBy("path").collect()])
+    scans = [in_dataset_folder(_typed_scan(spark, paths, own), home) for paths, own in groups]
+    return reduce(DataFrame.unionByName, scans).select(
         "task_name",
         "language_name",
         "code",
@@ -119,7 +196,7 @@ def scan_jsonl(spark: SparkSession, root: str) -> DataFrame | None:
     raw = path_or_none(lambda: spark.read.text(file_glob(root, "jsonl")))
     if raw is None:
         return None
-    return non_blank(with_text_order(in_dataset_folder(raw, root)), "value")
+    return non_blank(with_text_order(in_dataset_folder(raw, qualified(spark, root))), "value")
 
 
 def corpus_table_path(path: str) -> str:

@@ -1,6 +1,7 @@
 """The corpus build on a small folder tree with known answers."""
 
 import json
+import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -321,3 +322,39 @@ def test_folders_order_past_any_number_of_parts(spark, tmp_path):
     write_corpus(df.orderBy(F.desc("position")).coalesce(1), str(tmp_path / "c"))
     found = [json.loads(x)["task_name"] for p in sorted((tmp_path / "c").rglob("part-*")) for x in p.read_text().splitlines()]
     assert found == [r[5] for r in rows]
+
+
+def test_files_of_different_types(spark, tmp_path):
+    """A code column that is no text clears the slot; the other files are read as they are."""
+    folder = tmp_path / "r" / "d"
+    write_parquet(folder / "a.parquet", [("t", "C", "int a;"), ("t", "Rust", "fn a() {}")])
+    odd = {
+        "b": ([("t", "C", 5), ("t", "Rust", 6)], pa.int32()),
+        "c": ([("t", "C", 5), ("t", "Rust", None)], pa.int64()),
+        "e": ([("t", "C", b"int a;"), ("t", "Rust", b"x")], pa.binary()),
+    }
+    for name, (rows, kind) in odd.items():
+        names, langs, codes = zip(*rows)
+        pq.write_table(pa.table({"task_name": pa.array(names), "language_name": pa.array(langs), "code": pa.array(codes, kind)}), folder / f"{name}.parquet")
+    pq.write_table(pa.table({"task_name": pa.array(["t"]), "language_name": pa.array([1]), "code": pa.array(["x"])}), folder / "f.parquet")
+    pq.write_table(pa.table({"task_name": pa.array([7, 7]), "language_name": pa.array(["C", "Rust"]), "code": pa.array(["int g;", "fn g() {}"])}), folder / "g.parquet")
+    pq.write_table(pa.table({"task_name": pa.array(["u", "u"]), "language_name": pa.array(["Rust", "C"])}), folder / "h.parquet")
+    write_parquet(folder / "z.parquet", [("z", "C", "int z;"), ("z", "Rust", "fn z() {}")])
+    report = run_corpus_build(spark, str(tmp_path / "r"), str(tmp_path / "out"))
+    written = {r["file"]: r["written"] for r in report.parquet_files.collect()}
+    assert written == {"a.parquet": 1, "b.parquet": 0, "c.parquet": 0, "e.parquet": 0, "f.parquet": 0, "g.parquet": 1, "h.parquet": 0, "z.parquet": 1}
+    scan = files.scan_parquet(spark, str(tmp_path / "r"))
+    kinds = [r for r in scan.where("file IN ('b.parquet', 'c.parquet')").collect()]
+    assert len(kinds) == 4 and all(r["code"] is None and r["language_name"] for r in kinds)
+
+
+def test_relative_root(spark, tree, tmp_path, monkeypatch):
+    """Spark resolves relative paths in the folder it was started in."""
+    home = spark._jvm.java.lang.System.getProperty("user.dir")
+    root = os.path.relpath(tree, home)
+    write_lines(tree / "a_json" / "more.jsonl" / "inside.jsonl", ["not json"])
+    assert files.scan_jsonl(spark, root).count() == files.scan_jsonl(spark, str(tree)).count() == 11
+    assert files.scan_parquet(spark, root).count() == 24
+    listed = {(r["folder"], r["file"]) for r in files.listed_files(spark, root, "jsonl").collect()}
+    assert listed == {("a_json", "x.jsonl"), (ID_FOLDER, "y.JSONL")}
+    assert files.listed_files(spark, str(tmp_path / "nowhere"), "jsonl") is None
