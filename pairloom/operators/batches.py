@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import INFERENCE_BATCH_SIZE
 from pairloom.functions.tokens import left_padded, left_padded_mask
-from pairloom.operators.ranks import global_rank, with_ordinal_bucket
+from pairloom.operators.ranks import global_rank, tie_order, with_ordinal_bucket
+from pairloom.operators.shape import computed_once
+from pairloom.session import staged
 
 
 def batch_ids(
@@ -17,11 +19,16 @@ def batch_ids(
     ordinal: str,
     batch_size: int = INFERENCE_BATCH_SIZE,
     group: Sequence[str] = (),
+    tie: Sequence[str] = (),
     population: DataFrame | None = None,
 ) -> DataFrame:
-    """Number consecutive batches in ``ordinal`` order; the last one may be short."""
-    bucketed = with_ordinal_bucket(df, ordinal, "__range", population=population)
-    ranked = global_rank(bucketed, group, [ordinal], "__range", "__rank")
+    """Number consecutive batches in ``ordinal`` order; the last one may be short.
+
+    Rows of equal ordinals go by the hash of the ``tie`` columns.
+    """
+    bucketed = with_ordinal_bucket(df, ordinal, "__range", tie, population=population)
+    order = [F.col(ordinal), *tie_order(tie)]
+    ranked = global_rank(bucketed, group, order, "__range", "__rank")
     return ranked.withColumn("batch_id", F.floor(F.col("__rank") / batch_size)).drop(
         "__rank", "__range"
     )
@@ -47,15 +54,18 @@ def padded_batches(
 ) -> DataFrame:
     """Rows in batches by ``key`` (unique), with whole ``input_ids`` padded to the batch's longest.
 
-    Only (key, size) is ranked and gathered by batch; ``df`` meets its batch number and width
-    in one join, and the token arrays are made after it.
+    Every text is encoded once: rows are written with their ids and sizes.  Only (key, size) is
+    ranked and gathered by batch; the rows meet their batch number and width in one join.
     """
-    slim = batch_ids(df.select(key, F.size(ids).alias("__size")), key, batch_size)
+    encoded = staged(
+        computed_once(df, {"input_ids": ids}).withColumn("__size", F.size("input_ids")), "encoded"
+    )
+    slim = batch_ids(encoded.select(key, "__size"), key, batch_size)
     widths = slim.groupBy("batch_id").agg(F.max("__size").alias("__width"))
     placed = slim.join(widths, "batch_id").select(key, "batch_id", "__width")
     width = F.col("__width")
-    encoded = df.join(placed, key).withColumn("input_ids", ids)
-    return encoded.withColumn("attention_mask", left_padded_mask(F.col("input_ids"), width)).withColumn(
+    joined = encoded.drop("__size").join(placed, key)
+    return joined.withColumn("attention_mask", left_padded_mask(F.col("input_ids"), width)).withColumn(
         "input_ids", left_padded(F.col("input_ids"), width, pad)
     ).drop("__width")
 

@@ -10,15 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Leading hex digits of a digest used as bucket: 16 ** 3 = 4,096 buckets per group.
 HASH_BUCKET_DIGITS = 3
-# Ordinal buckets: quantile ranges, each cut evenly into parts.
-ORDINAL_RANGES = 512
-PARTS_PER_RANGE = 64
+# Ordinal buckets: ranges of equal width, the fuller ones cut again, level by level.
+ORDINAL_RANGES = 4096
+LEVELS = 3
 
 
 def hash_key(seed: Column, key: Column) -> Column:
@@ -30,43 +29,80 @@ def hash_bucket(digest: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def _constants(values: list[float]) -> Column:
-    """A constant array in one call; Spark folds it while planning."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
 def with_ordinal_bucket(
     df: DataFrame,
     ordinal: str,
     out: str,
+    tie: Sequence[str] = (),
     ranges: int = ORDINAL_RANGES,
-    parts: int = PARTS_PER_RANGE,
     population: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows' value ranges, in order, so that no bucket holds many rows.
 
-    Range bounds are approximate quantiles of ``population`` (the table itself unless a
-    cheaper one with the same rows is given), so ordinals may be spread unevenly; at most
-    ``ranges`` numbers reach the driver.  Every range is cut into ``parts`` of equal
-    width, which costs nothing and gives a large cluster enough buckets.  Bucketing only
-    has to be monotone: inexact bounds cost balance, not exactness.
+    The span between the least and the greatest ordinal is cut into ``ranges`` of equal width.
+    Each of them is cut again, into as many parts as its share of the rows asks for, between
+    its own least and greatest ordinal; and once more.  Where all ordinals of a range are equal
+    the ``tie`` columns cut it, by their hash: order such rows by :func:`tie_order`.
+
+    Bounds are exact aggregates, so every plan that uses them puts a row into the same
+    bucket, and nothing runs while the plan is made.  A level has at most ``LEVELS`` x ``ranges``
+    rows, whatever the table, which is what may be broadcast.  ``population`` stands for the
+    table in these aggregates: the same rows with nothing but the columns named here.
     """
-    shares = [i / ranges for i in range(ranges + 1)]
     source = df if population is None else population
-    bounds = sorted(set(source.approxQuantile(ordinal, shares, 0.25 / ranges)))
-    if len(bounds) < 2:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    splits = [float("-inf"), *bounds[1:-1], float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), bounds[0], float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=ordinal, outputCol="__quantile").transform(df)
-    at = F.col("__quantile").cast("int")
-    low = F.get(_constants([bounds[0], *splits[1:-1]]), at)
-    high = F.get(_constants([*splits[1:-1], bounds[-1]]), at)
-    width = F.greatest(high - low, F.lit(1e-9))
-    share = F.floor((F.col(ordinal).cast("double") - low) / width * parts)
-    part = F.least(F.greatest(share, F.lit(0).cast("bigint")), F.lit(parts - 1).cast("bigint"))
-    return ranged.withColumn(out, at * parts + part).drop("__quantile")
+    slim = source.select(*dict.fromkeys([ordinal, *tie]))
+    whole = slim.agg(_span(ordinal).alias("s"))
+    bounds: list[DataFrame] = []
+    for _ in range(LEVELS - 1):
+        placed = _placed(slim, ordinal, tie, whole, bounds, ranges)
+        bounds.append(placed.groupBy("__b").agg(_span(ordinal).alias("__s")))
+    return _placed(df, ordinal, tie, whole, bounds, ranges).withColumnRenamed("__b", out)
+
+
+def _span(ordinal: str) -> Column:
+    x = F.col(ordinal).cast("double")
+    return F.struct(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+
+
+def _placed(
+    df: DataFrame,
+    ordinal: str,
+    tie: Sequence[str],
+    whole: DataFrame,
+    bounds: Sequence[DataFrame],
+    ranges: int,
+) -> DataFrame:
+    """``__b``: the number of a row's bucket after as many levels as there are bounds, plus one."""
+    x = F.col(ordinal).cast("double")
+    all_rows = whole.scalar()
+
+    def part(span: Column, parts: Column) -> Column:
+        along = (x - span["low"]) / (span["high"] - span["low"])
+        share = F.when(span["high"] > span["low"], along).otherwise(_spread(tie))
+        at = F.least(F.floor(share * parts), parts - 1)
+        return F.coalesce(F.greatest(at, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+
+    # rows without an ordinal come first, in a bucket of their own
+    number = F.when(x.isNull(), F.lit(-1).cast("bigint"))
+    out = df.withColumn("__b", number.otherwise(part(all_rows, F.lit(ranges).cast("bigint"))))
+    for bound in bounds:
+        joined = out.join(F.broadcast(bound), "__b", "left")
+        share = F.ceil(F.col("__s.n") * ranges / all_rows["n"])
+        parts = F.coalesce(F.least(F.greatest(share, F.lit(1)), F.lit(ranges)), F.lit(1)).cast("bigint")
+        out = joined.withColumn("__b", F.col("__b") * (ranges + 1) + part(F.col("__s"), parts)).drop("__s")
+    return out
+
+
+def _spread(tie: Sequence[str]) -> Column:
+    """A number in [0, 1) that grows with :func:`tie_order`."""
+    if not tie:
+        return F.lit(0.0)
+    return F.shiftrightunsigned(F.xxhash64(*tie), 1).cast("double") / float(2**63)
+
+
+def tie_order(tie: Sequence[str]) -> list[Column]:
+    """Sort columns for rows of equal ordinals."""
+    return [F.shiftrightunsigned(F.xxhash64(*tie), 1), *map(F.col, tie)] if tie else []
 
 
 def _bucket_spans(df: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
@@ -150,7 +186,7 @@ def place_by_cuts(
 
 
 def global_rank(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], bucket: str, out: str
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], bucket: str, out: str
 ) -> DataFrame:
     """0-based rank of every row in its group, as ``row_number() - 1`` would give it."""
     group = list(group)

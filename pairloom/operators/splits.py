@@ -26,6 +26,7 @@ from pairloom.operators.ranks import (
     rank_cuts,
     with_ordinal_bucket,
 )
+from pairloom.session import staged
 
 
 def _seeded(df: DataFrame, key: str, seeds: Sequence[int]) -> DataFrame:
@@ -50,23 +51,34 @@ def _fold_starts(n: Column, k: int) -> Column:
     )
 
 
+def kfold_cuts(
+    rows: DataFrame, key: str, seeds: Sequence[int] = SEEDS, k: int = NUM_FOLDS
+) -> DataFrame:
+    """Where the folds of every seed begin: one row per seed.  Only the key is looked at."""
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    order = ["__hash", key]
+    source = _seeded(rows.select(key), key, seeds)
+    return rank_cuts(source, ["seed"], order, "__bucket", lambda n: _fold_starts(n, k))
+
+
 def kfold_split(
     df: DataFrame,
     key: str,
     seeds: Sequence[int] = SEEDS,
     k: int = NUM_FOLDS,
     population: DataFrame | None = None,
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """Every row once per seed, with the ``fold`` in which it is a test row.
 
     The cut points come from ``population``: the same rows with nothing but the key, where
-    ``df`` carries columns that are costly to compute.
+    ``df`` carries columns that are costly to compute.  ``cuts``: its :func:`kfold_cuts` where
+    they are there already.
     """
-    if k < 2:
-        raise ValueError("k must be at least 2")
-    source = _seeded(df if population is None else population, key, seeds)
     order = ["__hash", key]
-    cuts = rank_cuts(source, ["seed"], order, "__bucket", lambda n: _fold_starts(n, k))
+    if cuts is None:
+        cuts = kfold_cuts(df if population is None else population, key, seeds, k)
     placed = place_by_cuts(_seeded(df, key, seeds), cuts, ["seed"], order, "fold", k - 1)
     return placed.drop("__hash", "__bucket")
 
@@ -83,20 +95,23 @@ def kfold_train_val(
     """Train / validation / test membership for every (seed, fold).
 
     Validation is the tail of the non-test rows in corpus order (``ordinal``), not a
-    random share of them.  ``population``: see ``kfold_split``; it needs both columns.
+    random share of them.  ``population``: see ``kfold_split``; it needs both columns.  The cut
+    points of the folds are written once (:func:`pairloom.session.staged`).
     """
     rows = df if population is None else population
+    folds = staged(kfold_cuts(rows, key, seeds, k), "folds")
     order = [ordinal] if key == ordinal else [ordinal, key]
     run = ["seed", "fold"]
 
     def per_run(table: DataFrame) -> DataFrame:
-        members = kfold_split(table, key, seeds, k, population=rows)
+        members = kfold_split(table, key, seeds, k, cuts=folds)
         return members.withColumnRenamed("fold", "__test_fold").withColumn(
             "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
         )
 
     is_test = F.col("__test_fold") == F.col("fold")
-    ranged = with_ordinal_bucket(rows, ordinal, "__range")
+    bare = rows.select(*dict.fromkeys([key, ordinal]))
+    ranged = with_ordinal_bucket(bare, ordinal, "__range")
     cuts = rank_cuts(
         per_run(ranged).where(~is_test),
         run,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "pairloom", master: str | None = None) -> SparkSession.Builder:
@@ -37,3 +38,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder, and read from there.
+
+    Later steps read what is there instead of computing it again, and a lost executor costs
+    no more than that.  ``inputFiles()`` of the result tells where it lies.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,7 +67,7 @@ def test_splits_survive_skewed_ordinals(spark):
         F.col("id").alias("key"),
         F.when(F.col("id") < 990, F.col("id")).otherwise(F.col("id") * 10**12).alias("pos"),
     )
-    bucketed = ranks.with_ordinal_bucket(df, "pos", "b", 50, 4)
+    bucketed = ranks.with_ordinal_bucket(df, "pos", "b", ranges=50)
     assert max(r["count"] for r in bucketed.groupBy("b").count().collect()) < 60
     ranked = ranks.global_rank(bucketed, [], ["pos"], "b", "rank")
     assert all(r["rank"] == r["key"] for r in ranked.collect())
@@ -80,6 +80,46 @@ def test_global_rank_in_groups_with_equal_ordinals(spark):
     assert all(r["rank"] == r["key"] // 2 for r in ranked.collect())
 
 
+ORDINALS = {
+    "equal": "CASE WHEN id % 10 > 0 THEN 7 ELSE id END",
+    "task ids": "shiftleft(id % 8, 33) + id DIV 8",
+    "far apart": "CASE WHEN id < 5 THEN -1000000000000000000 WHEN id < 9 THEN 100000000000000000 ELSE id * 3 END",
+    "null": "CASE WHEN id % 50 > 0 THEN id END",
+}
+
+
+@pytest.mark.parametrize("name", ORDINALS)
+def test_ranks_of_any_ordinals_stay_balanced(spark, name):
+    """No job runs while the plan is made; ranks are those of one sort, buckets stay small."""
+    rows, tie = 20_000, ["key"]
+    df = spark.range(rows).select(F.col("id").alias("key"), F.expr(ORDINALS[name]).cast("bigint").alias("pos"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "ranks")
+    bucketed = ranks.with_ordinal_bucket(df, "pos", "b", tie, ranges=256)
+    ranked = ranks.global_rank(bucketed, [], [F.col("pos"), *ranks.tie_order(tie)], "b", "rank")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("running", "ranks")
+    sizes = [r["count"] for r in bucketed.groupBy("b").count().collect()]
+    assert max(sizes) <= 6 * rows / 256 or name == "null" and sorted(sizes)[-2] <= 6 * rows / 256
+    got = {r["key"]: r["rank"] for r in ranked.collect()}
+    order = df.select("key", "pos", *[c.alias(f"t{i}") for i, c in enumerate(ranks.tie_order(tie))]).collect()
+    order.sort(key=lambda r: (r["pos"] is not None, r["pos"] or 0, r["t0"], r["key"]))
+    assert [got[r["key"]] for r in order] == list(range(rows))
+
+
+def test_every_text_is_encoded_once(spark):
+    """The plan of padded batches reads the ids that were written; no text is cut again."""
+    df = spark.createDataFrame([(i, "a b " * (i % 5)) for i in range(30)], "key INT, text STRING")
+    padded = batches.padded_batches(df, "key", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), F.lit("_"))
+    plan = padded._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "[a-z]" not in plan
+    for r in padded.collect():
+        width = max(2 * (i % 5) for i in range(r["key"] // 4 * 4, min(30, r["key"] // 4 * 4 + 4)))
+        own = 2 * (r["key"] % 5)
+        assert r["input_ids"] == ["_"] * (width - own) + ["a", "b"] * (own // 2)
+        assert r["attention_mask"] == [0] * (width - own) + [1] * own
+
+
 def test_batches(spark):
     rows = batches.batch_ids(table(spark, 9), "key", 4).collect()
     assert {r["key"]: r["batch_id"] for r in rows} == {i: i // 4 for i in range(9)}
