@@ -150,12 +150,12 @@ def unique_records(cleaned: DataFrame) -> DataFrame:
     return dedup_keep_first(complete, PAIR_COLUMNS, ORDER_COLUMNS, F.col("digest")).drop("digest")
 
 
-def first_keys(cleaned: DataFrame) -> DataFrame:
+def first_keys(cleaned: DataFrame, *keep: str) -> DataFrame:
     """Where the first record of every distinct pair stands; one digest per pair is compared."""
     at = [*ORDER_COLUMNS, "task_order"]
     complete = cleaned.where(F.col("digest").isNotNull())
     first = complete.groupBy("digest").agg(F.min(F.struct(*at)).alias("at"))
-    return first.select("at.*")
+    return first.select(*keep, "at.*")
 
 
 def build_corpus(

@@ -6,7 +6,9 @@ place: no text is shuffled between reading the corpus and writing predictions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -35,6 +37,7 @@ from pairloom.operators.grid import RUN_KEYS, pending_runs, run_grid
 from pairloom.operators.scoring import Scorer, prediction_records, score, score_by_run
 from pairloom.operators.shape import computed_once
 from pairloom.operators.splits import kfold_split, kfold_train_val, split_by_shares
+from pairloom.session import checkpoint_dir
 from pairloom.sources.sinks import RUN_SCHEMA, commit_runs, finished_runs, stage_predictions
 
 SOURCE, TARGET = "c_code", "safe_rust_code"
@@ -140,6 +143,52 @@ def _is_run(run: Row, run_keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, same)
 
 
+@dataclass
+class TrainingTables:
+    """Encoded rows, each stored once, and which run trains or validates on which of them."""
+
+    encoded: DataFrame  # key, input_ids, attention_mask
+    members: DataFrame  # key, split, and the run as partition columns seed, fold
+    key: str
+
+    def rows(self, *keep: str) -> DataFrame:
+        """Training and validation rows of all runs; filters on the run reach the folders."""
+        joined = self.members.join(self.encoded, self.key)
+        return joined.select(*keep, "seed", "fold", "split", "input_ids", "attention_mask")
+
+    def run(self, seed: int, fold: int, split: str) -> DataFrame:
+        """Rows of one run and split."""
+        wanted = (F.col("seed") == seed) & (F.col("fold") == fold) & (F.col("split") == split)
+        return self.rows(self.key).where(wanted).select(self.key, "input_ids", "attention_mask")
+
+
+def write_training_tables(
+    corpus: DataFrame,
+    key: str,
+    ordinal: str,
+    destination: str,
+    seeds: Sequence[int] = SEEDS,
+    k: int = NUM_FOLDS,
+    encoder: Callable[[Column], Column] | None = None,
+) -> TrainingTables:
+    """Write ``<destination>/encoded`` and ``/members``: one encoding of every row, and a slim
+    table of (key, split) for every seed and fold.  Only keys are scanned for the second."""
+    spark, base = corpus.sparkSession, destination.rstrip("/")
+    encoded = training_examples(corpus, [key], encoder=encoder)
+    encoded.write.mode("overwrite").parquet(f"{base}/encoded")
+    bare = corpus.select(*dict.fromkeys([key, ordinal]))
+    members = kfold_train_val(bare, key, ordinal, seeds, k).where("split <> 'test'")
+    slim = members.select(key, "split", "seed", "fold")
+    slim.write.mode("overwrite").partitionBy("seed", "fold").parquet(f"{base}/members")
+    return training_tables(spark, destination, key)
+
+
+def training_tables(spark: SparkSession, destination: str, key: str) -> TrainingTables:
+    base = destination.rstrip("/")
+    read = spark.read.parquet
+    return TrainingTables(read(f"{base}/encoded"), read(f"{base}/members"), key)
+
+
 def cross_validation_training(
     corpus: DataFrame,
     key: str,
@@ -147,17 +196,12 @@ def cross_validation_training(
     seeds: Sequence[int] = SEEDS,
     k: int = NUM_FOLDS,
     encoder: Callable[[Column], Column] | None = None,
+    destination: str | None = None,
 ) -> DataFrame:
-    """Encoded train and validation rows of every (seed, fold).
-
-    A row is a training row of several runs: it is encoded once and then repeated.
-    """
-    encoded = training_examples(corpus, list(dict.fromkeys([key, ordinal])), encoder=encoder)
-    bare = corpus.select(*dict.fromkeys([key, ordinal]))
-    members = kfold_train_val(encoded, key, ordinal, seeds, k, population=bare)
-    return members.where("split <> 'test'").select(
-        "seed", "fold", "split", "input_ids", "attention_mask"
-    )
+    """Encoded train and validation rows of every (seed, fold), from the two tables of
+    :func:`write_training_tables` (by default below the shared folder of the session)."""
+    folder = destination or f"{checkpoint_dir(corpus.sparkSession)}/training-{uuid.uuid4().hex}"
+    return write_training_tables(corpus, key, ordinal, folder, seeds, k, encoder).rows()
 
 
 def single_run_splits(

@@ -1,15 +1,17 @@
 """Scoring, prediction tables, corpus loading, streaming."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.constants import BASELINE_PREFIX
+from pairloom.constants import BASELINE_PREFIX, CORPUS_NAME
 from pairloom.operators import grid, scoring
 from pairloom.plans import experiments
+from pairloom.plans.corpus_build import CorpusOptions, run_corpus_build
 from pairloom.sources import files, sinks
-from pairloom.streaming.incremental import start_corpus_stream
+from pairloom.streaming.incremental import append_batch, start_corpus_stream
 
 
 @pytest.fixture
@@ -167,7 +169,7 @@ def test_stream_keeps_pairs_of_earlier_files(spark, tmp_path):
         lines = [json.dumps({"C": c, "Rust": r, "name": n}) for c, r, n in pairs]
         (root / "d" / name).write_text("\n".join(lines))
         start_corpus_stream(spark, str(root), str(out), state).awaitTermination()
-        text = "".join(p.read_text() for p in sorted(out.glob("part-*")))
+        text = "".join(p.read_text() for p in sorted(out.rglob("part-*")))
         return sorted(json.loads(x)["task_name"] for x in text.splitlines())
 
     assert land("1.jsonl", ("int a;", "fn a(){}", "one"), ("// c", "x", "dropped")) == ["one"]
@@ -263,3 +265,43 @@ def test_dry_run_scores_the_first_batch_of_each_run(spark, corpus, tmp_path):
     experiments.run_cross_validation(spark, corpus, "key", echo_model, out, seeds=[42], batch_size=2, dry_run=True)
     rows = sinks.read_predictions(spark, out).collect()
     assert len(rows) == 8 and len({(r["fold"], r["position"]) for r in rows}) == 4
+
+
+def test_training_tables_store_every_row_once(spark, corpus, tmp_path):
+    tables = experiments.write_training_tables(corpus, "key", "key", str(tmp_path / "t"), seeds=[42, 7])
+    assert tables.encoded.count() == 11 and tables.members.count() == 22
+    again = experiments.training_tables(spark, str(tmp_path / "t"), "key")
+    one = again.run(42, 1, "train")
+    assert one.count() + again.run(42, 1, "val").count() + again.run(42, 0, "train").count() + again.run(42, 0, "val").count() == 11
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(seed" in plan and plan.count("FileScan") == 2
+    direct = experiments.training_examples(corpus, ["key"]).collect()
+    stored = {r["key"]: tuple(r["input_ids"]) for r in tables.encoded.collect()}
+    assert stored == {r["key"]: tuple(r["input_ids"]) for r in direct}
+
+
+def test_stream_keeps_no_state_and_equals_the_batch_job(spark, tmp_path):
+    """Many micro-batches of files in name order: the corpus of the batch job, no state in memory."""
+    root, out, state = tmp_path / "in", tmp_path / "out", str(tmp_path / "state")
+    (root / "d").mkdir(parents=True)
+    for f in range(12):
+        lines = [json.dumps({"C": f"int a{(7 * f + i) % 40};", "Rust": "fn a() {}", "name": f"{f:02}-{i}"}) for i in range(9)]
+        (root / "d" / f"{f:02}.jsonl").write_text("\n".join([*lines, lines[0]]))
+        os.utime(root / "d" / f"{f:02}.jsonl", (1_000_000 + f, 1_000_000 + f))
+    query = start_corpus_stream(spark, str(root), str(out), state, max_files_per_batch=1)
+    query.awaitTermination()
+    assert len(list(out.glob("batch=*"))) == 12
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    streamed = [json.loads(x)["task_name"] for p in sorted(out.rglob("part-*")) for x in p.read_text().splitlines()]
+    run_corpus_build(spark, str(root), str(tmp_path / "batch"))
+    corpus = files.load_corpus_with_position(spark, str(tmp_path / "batch" / CORPUS_NAME))
+    assert streamed == [r["task_name"] for r in corpus.orderBy("position").collect()]
+
+
+def test_a_batch_that_runs_again_gives_the_same(spark, tmp_path):
+    rows = [(json.dumps({"C": f"int a{i % 5};", "Rust": "fn a() {}", "name": str(i)}), "d", "f", 0) for i in range(9)]
+    batch = spark.createDataFrame(rows, "value STRING, folder STRING, file STRING, block BIGINT").coalesce(1)
+    for number in (0, 1, 0):
+        append_batch(batch, number, str(tmp_path / "o"), str(tmp_path / "s"), CorpusOptions())
+    lines = [sorted(json.loads(x)["task_name"] for p in (tmp_path / "o").glob(f"batch=*{n}/part-*") for x in p.read_text().splitlines()) for n in (0, 1)]
+    assert lines == [["0", "1", "2", "3", "4"], []]
