@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain, compress
 from math import ceil, log2
 
 import numpy as np
@@ -73,7 +72,7 @@ def _from_ascending(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unplanes(data, n), dtype=np.uint64)
 
 
-def _packs(text_at: int) -> Callable:
+def _packs(text_at: int, most: int = PACK_BYTES) -> Callable:
     """Rows into packs: ``n_rows`` and ``data``, the rows as an Arrow stream."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +94,7 @@ def _packs(text_at: int) -> Callable:
             at = 0
             while at < batch.num_rows:
                 upto = np.cumsum(sizes[at:])
-                many = max(int(np.searchsorted(upto, PACK_BYTES - size, "right")), 0 if held else 1)
+                many = max(int(np.searchsorted(upto, most - size, "right")), 0 if held else 1)
                 if many:
                     held.append(batch.slice(at, many))
                     size += int(upto[many - 1])
@@ -109,26 +108,24 @@ def _packs(text_at: int) -> Callable:
     return pack
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = found = len(self)
-        return found
-
-
 class _Pack:
     """The words of a pack's texts in document order, and its candidate windows level by level."""
 
     def __init__(self, data: bytes, id_at: int, text_at: int, lengths: list[int]):
         self.rows = pa.ipc.open_stream(data).read_all().combine_chunks()
         self.lengths, self.window = lengths, lengths[-1]
-        texts = self.rows.column(text_at).cast(pa.binary()).to_pylist()
+        texts = pc.fill_null(self.rows.column(text_at), "").combine_chunks()
+        split = pc.ascii_split_whitespace(texts)
+        parts, cuts = split.flatten(), np.asarray(split.offsets)
+        real = np.asarray(pc.binary_length(parts)) > 0  # white space at an end leaves an empty part
+        self.words = parts.filter(pa.array(real))
+        self.cuts = np.r_[0, np.cumsum(real)][cuts]
+        self.counts = np.diff(self.cuts)
         ids = self.rows.column(id_at).cast(pa.int64())
         known = np.asarray(ids.is_valid())
         ids = np.asarray(pc.fill_null(ids, 0), np.int64)
-        self.words = [t.split() if t else [] for t in texts]  # bytes: white space is ASCII's
-        self.counts = np.array([len(w) for w in self.words], np.int64)
         # a document is an id and a text: rows that repeat both are one; null ids come first
-        tie = np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], np.uint64)
+        tie = np.array(list(map(xxhash.xxh64_intdigest, texts.cast(pa.binary()).to_pylist())), np.uint64)
         long = np.flatnonzero(self.counts >= self.window)
         order = long[np.lexsort((tie[long], ids[long], known[long]))]
         same = lambda x: x[order][1:] == x[order][:-1]
@@ -137,15 +134,14 @@ class _Pack:
         self.of_row[order] = np.cumsum(~again) - 1
         self.ids = np.where(known, ids, np.iinfo(np.int64).min)[self.docs]
         self.ties = tie[self.docs]
-        number = _Numbers()
         counts = self.counts[self.docs]
         self.ends = np.cumsum(counts)
-        total = int(counts.sum())
-        of = np.fromiter(map(number.__getitem__, chain.from_iterable(self.words[i] for i in self.docs.tolist())), np.int64, total)
-        digests = b"".join(map(xxhash.xxh3_128_digest, number))
-        lanes = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        first, second = lanes[of, 0], lanes[of, 1]
-        self.room = np.repeat(self.ends, counts) - np.arange(total)
+        place = np.arange(int(counts.sum()))
+        self.room = np.repeat(self.ends, counts) - place
+        number = self.words.dictionary_encode()
+        of = np.asarray(number.indices)[place + np.repeat(self.cuts[self.docs] - self.ends + counts, counts)]
+        digests = b"".join(map(xxhash.xxh3_128_digest, number.dictionary.cast(pa.binary()).to_pylist()))
+        first, second = (np.ascontiguousarray(lane)[of] for lane in np.frombuffer(digests, "<u8").reshape(-1, 2).T)
         short = lengths[0]
         a, b = first.copy(), second.copy()
         for lag in range(1, short):
@@ -160,7 +156,10 @@ class _Pack:
     def extend(self, bits: int, alive: np.ndarray) -> None:
         """Go on to windows of the next length; ``alive`` tells for each distinct key if it repeats."""
         stays = np.zeros(len(self.a), bool)
-        stays[self.at] = alive[np.unique(self.keys(bits), return_inverse=True)[1]]
+        keys = self.keys(bits)
+        order = np.argsort(keys)
+        keys = keys[order]
+        stays[self.at[order]] = alive[np.cumsum(np.r_[True, keys[1:] != keys[:-1]][: len(keys)]) - 1]
         now, then = self.lengths[self.level : self.level + 2]
         step = then - now
         at = self.at[stays[self.at] & (self.room[self.at] >= then)]
@@ -315,22 +314,25 @@ def _cleaned(opened: Callable, low_bits: int, level: int) -> Callable:
     def clean(batches):
         for _, pack, replies in opened(batches):
             gone = pack.covered(low_bits, replies.get(level, none))
-            ends = pack.ends
-            starts = np.r_[0, ends][:-1]
-            spans, lost, kept = [], [], []
-            for words, doc in zip(pack.words, pack.of_row.tolist()):
-                own = gone[starts[doc] : ends[doc]] if doc >= 0 else none
+            stays = np.ones(len(pack.words), bool)
+            for row in np.flatnonzero(pack.of_row >= 0).tolist():
+                end = int(pack.ends[pack.of_row[row]])
+                stays[pack.cuts[row] : pack.cuts[row + 1]] = ~gone[end - pack.counts[row] : end]
+            before = np.r_[0, np.cumsum(stays)][pack.cuts]
+            lost = pack.counts - np.diff(before)
+            spans: list[list] = [[] for _ in lost]
+            for row in np.flatnonzero(lost).tolist():
+                own = ~stays[pack.cuts[row] : pack.cuts[row + 1]]
                 edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist()
-                spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2])])
-                lost.append(sum(y - x for x, y in zip(edges[::2], edges[1::2])))
-                kept.append(b" ".join(compress(words, (~own).tolist()) if edges else words))
-            more = [pa.array(pack.counts), pa.array(lost, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+                spans[row] = [{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2])]
+            left = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pack.words.filter(pa.array(stays)))
+            more = [pa.array(pack.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, span), pc.binary_join(left, " ")]
             yield from pa.Table.from_arrays([*pack.rows.columns, *more], [*pack.rows.column_names, *_MADE]).to_batches()
 
     return clean
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
     """``docs`` and four columns: ``n_words``, ``n_removed``, ``removed`` (stretches of words, from
     ``start`` up to ``end``) and ``kept_text``, the words that are left, joined by one space.
 
@@ -351,10 +353,10 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_column: str = "doc_i
     text = flat[f"_{text_at}"].cast("string")
     flat = flat.withColumns({f"_{id_at}": F.col(f"_{id_at}").cast("long"), f"_{text_at}": text})
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    kinds = [T.LongType(), T.LongType(), spans, T.BinaryType()]
+    kinds = [T.LongType(), T.LongType(), spans, T.StringType()]
     made = T.StructType([*flat.schema.fields, *(T.StructField(n, k) for n, k in zip(_MADE, kinds))])
 
-    packs = _bucketed(flat, text_at)
+    packs = _bucketed(flat, text_at, pack_bytes)
     lengths = lengths_of(window)
     make = lambda data: _Pack(data, id_at, text_at, lengths)
     last = len(lengths) - 1
@@ -381,21 +383,21 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_column: str = "doc_i
         while name.lower() in taken:
             name += "_1"
         new.append(name)
-    return cleaned.withColumn(_MADE[-1], F.col(_MADE[-1]).cast("string")).toDF(*names, *new)
+    return cleaned.toDF(*names, *new)
 
 
-def _bucketed(flat: DataFrame, text_at: int) -> DataFrame:
+def _bucketed(flat: DataFrame, text_at: int, pack_bytes: int) -> DataFrame:
     """``pack, n_rows, data``: the rows in packs, written once below the shared folder as a table
     bucketed by pack, so that replies join it without moving it. The catalogue does not keep it."""
     spark = flat.sparkSession
     size = int(flat.agg(F.sum(F.octet_length(f"_{text_at}"))).first()[0] or 0)
-    buckets = max(1, ceil(size / PACK_BYTES / PACKS_IN_BUCKET))
-    packed = flat.mapInArrow(_packs(text_at), "n_rows int, data binary").withColumn("pack", F.monotonically_increasing_id())
+    # Spark would rather move the packs than go below its number of shuffle partitions
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / pack_bytes / PACKS_IN_BUCKET))
+    packed = flat.mapInArrow(_packs(text_at, pack_bytes), "n_rows int, data binary").withColumn("pack", F.monotonically_increasing_id())
     name = f"pairloom_packs_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     packed.write.format("parquet").bucketBy(buckets, "pack").option("path", path).option("compression", "none").saveAsTable(name)
     table = spark.table(name)
-    table.schema
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
     return table
 
