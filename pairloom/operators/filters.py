@@ -43,7 +43,3 @@ def both_present(df: DataFrame, first: str, second: str) -> DataFrame:
     """Both sides neither null nor empty."""
     return df.where((F.length(first) > 0) & (F.length(second) > 0))
 
-
-def text_or_null(value: Column, is_text: Column) -> Column:
-    """The value where it is text; null keeps the row but clears the slot."""
-    return F.when(is_text, value)
