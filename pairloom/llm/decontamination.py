@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import bound
 from pairloom.llm.common import pick, renamed_back, staged, text_or_empty, with_columns_of
 
 # Units of measure that follow a number.
@@ -23,7 +24,8 @@ UNIT = r"(?<=\p{N} ?)(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?
 NAME = r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)(?!\p{L})"
 #: Marked units and names, numbers, words.
 TOKEN = r"[%@]\p{L}[\p{L}\p{M}']*|\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{M}']*"
-#: Template tokens of a window; share of an item's tokens that must be matched.
+#: Template tokens of a window (fewer for an item that has fewer); share of an item's tokens
+#: that must be matched.
 WINDOW, COVERAGE = 5, 0.7
 #: Windows of a benchmark that are broadcast at most (about 40 bytes each).
 BROADCAST_ROWS = 500_000
@@ -41,13 +43,17 @@ def template(found: Column) -> Column:
     return F.transform(found, lambda t: F.when(first(t).isin("%", "@"), first(t)).when(first(t).rlike(r"\p{N}"), "#").otherwise(F.lower(t)))
 
 
-def _hash(words: Column, start: Column, window: int) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, start + 1, window), " "))
+def windows_at(words: Column, window: int) -> Column:
+    """``at`` and ``h``, a hash of place and words, of the ``window`` words from every token on.
+    Each word is hashed once."""
+    none = F.array().cast("array<int>")
 
+    def windows(h: Column) -> Column:
+        starts = F.when(F.size(h) >= window, F.sequence(F.lit(0), F.size(h) - window)).otherwise(none)
+        own = lambda at: F.xxhash64(F.lit(window), *(F.get(h, at + i) for i in range(window)))
+        return F.transform(starts, lambda at: F.struct(at.alias("at"), own(at).alias("h")))
 
-def _starts(words: Column, window: int, stride: int) -> Column:
-    none = F.array().cast("array<int>")
-    return F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window, F.lit(stride))).otherwise(none)
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
 def _text_key(text: Column) -> Column:
@@ -62,10 +68,21 @@ def items_of(benchmark: DataFrame, item_column: str = "item_id", text_column: st
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
-    """Every window of every item that holds at least two plain words."""
-    start = items.select("item", "item_words", F.explode(_starts(F.col("item_words"), window, 1)).alias("item_at"))
-    plain = F.size(F.filter(F.slice("item_words", F.col("item_at") + 1, window), lambda w: ~w.isin("#", "@", "%")))
-    return start.where(plain >= 2).select(_hash(F.col("item_words"), F.col("item_at"), window).alias("h"), "item", "item_at").distinct()
+    """Windows of every item, ``size`` tokens each: ``window``, or all of an item that has no more.
+
+    Those with two plain words or more; where an item has none, all of its windows.
+    """
+    parts: list[DataFrame] = []
+    for size in range(1, window + 1):
+        long = F.size("item_words") >= size if size == window else F.size("item_words") == size
+        own = items.where(long).select("item", "item_words", F.inline(windows_at(F.col("item_words"), size)))
+        plain = F.size(F.filter(F.slice("item_words", F.col("at") + 1, size), lambda w: ~w.isin("#", "@", "%")))
+        parts.append(own.select(F.lit(size).alias("size"), "h", "item", F.col("at").alias("item_at"), (plain >= 2).alias("telling")))
+    windows = parts[0]
+    for more in parts[1:]:
+        windows = windows.union(more)
+    some = windows.groupBy("item").agg(F.max("telling").alias("some"))
+    return windows.join(some, "item").where(F.col("telling") | ~F.col("some")).select("size", "h", "item", "item_at").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -73,11 +90,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     text and item, ``key, item_id, covered, changed_slots``. See :func:`contamination`."""
     items = staged(items_of(benchmark), "items")
     sought = staged(windows_of(items, window), "windows")
-    if sought.count() <= BROADCAST_ROWS:
+    sizes = sorted((r["size"], r["count"]) for r in sought.groupBy("size").count().collect())  # no more than `window`
+    small = sum(n for _, n in sizes) <= BROADCAST_ROWS
+    sought = sought.drop("size")
+    if small:
         sought = F.broadcast(sought)
     words = docs.select(_text_key(F.col("text")).alias("key"), template(tokens(F.col("text"))).alias("words"))
-    tiles = F.transform(_starts(F.col("words"), window, window), lambda at: F.struct(at.alias("at"), _hash(F.col("words"), at, window).alias("h")))
-    seen = words.select("key", F.explode(tiles).alias("tile")).select("key", F.col("tile.at").alias("at"), F.col("tile.h").alias("h"))
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    seen = words.select("key", F.inline(bound(F.col("words"), lambda w: F.concat(none, *(windows_at(w, size) for size, _ in sizes)))))
     seeds = staged(seen.join(sought, "h").select("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seeds")
 
     hit = docs.select(_text_key(F.col("text")).alias("key"), "text").join(seeds.select("key").distinct(), "key")
@@ -104,15 +124,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """One row per row of ``docs``: ``doc_id, contaminated, n_items, item_ids, covered, changed_slots``.
 
     Numbers, capitalised words inside a sentence, and units after a number become typed
-    placeholders; the rest goes to lower-case words. A document's template is tiled by windows
-    of ``window`` tokens, an item has a window at every token, so any shared run of
-    2 * window - 1 tokens shares a hash. Each hit lays the item over the document; tokens that
+    placeholders; the rest goes to lower-case words. Documents and items have a window of
+    ``window`` tokens at every token, so any shared run of that length shares a hash; an item
+    that is shorter is a window by itself. Windows of an item with fewer than two plain words do
+    not seek documents, unless the item has no others. Each hit lays the item over the document; tokens that
     are equal there count, placeholders only where the values map one to one, so a question
     with other numbers or names is caught and a chance pattern of placeholders is not. A
     document is contaminated by an item if ``coverage`` of the item's tokens are matched, over
     all places where it is laid. changed_slots is the most values that a match has changed.
 
-    Null and empty texts are clean. Items that are null or shorter than a window match nothing.
+    Null and empty texts are clean. Items that are null or have no token match nothing.
     Repeated rows of either table change nothing; null ids are kept (null item ids count as an
     item, and are not listed). Empty tables: no documents, an empty result; no items, all clean.
     """
