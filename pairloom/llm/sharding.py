@@ -7,20 +7,45 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import pick, staged, text_or_empty
 
-#: Orders under which a text's lowest line hash links it to others, and the shortest line taken.
-LINKS, SHORTEST_LINE = 2, 20
+#: Characters of the shortest passage that links texts, and what ends a passage: a line or a sentence.
+SHORTEST, ENDS = 20, r"[.!?。！？\n]+\s*"
+#: Passages that more texts share than one in so many of all links have their tallies broadcast.
+HOT = 2000
 #: Rounds of moves, and how far a shard may grow over its even share while they run.
 ROUNDS, SLACK = 6, 1.02
 #: A class of equal texts is cut where it is larger than this part of a shard.
 PART_OF_SHARD = 4
 
 
-def link_keys(text: Column, links: int = LINKS) -> Column:
-    """Keys that linked texts share: the lowest hash of all lines, under each of several orders.
-    Two texts agree in one with a chance of the share of lines they have in common."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(line) >= SHORTEST_LINE)
-    lowest = lambda k: F.array_min(F.transform(lines, lambda line: F.xxhash64(line, F.lit(k))))
-    return F.filter(F.array(*map(lowest, range(links))), lambda k: k.isNotNull())
+def link_keys(text: Column) -> Column:
+    """Hashes of all distinct passages of a text; two texts are linked once for each they share."""
+    passages = F.filter(F.split(text, ENDS), lambda p: F.length(p) >= SHORTEST)
+    return F.array_distinct(F.transform(passages, lambda p: F.xxhash64(p)))
+
+
+def shared_links(members: DataFrame, of: str) -> DataFrame:
+    """``members(<of>, hub)`` of hubs that two or more have, with ``hot``: whether so many have the
+    hub that its tally is broadcast. There are no more than ``HOT`` such hubs; all others have so
+    few members that they fit in a task."""
+    linked = members.where("hub is not null").select(of, "hub")
+    counts = staged(linked.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "hubs")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.select("hub", (F.col("n") > max(100, total // HOT)).alias("hot"))
+    hot = F.broadcast(counts.where("hot"))
+    few = linked.join(hot.select("hub"), "hub", "left_anti").join(counts.where("not hot"), "hub")
+    return linked.join(hot, "hub").unionByName(few)
+
+
+def cut_edges(members: DataFrame, placed: DataFrame, of: str = "doc_id") -> DataFrame:
+    """One row: ``links``, the pairs of ``members(<of>, hub)`` that share a hub, counted once for
+    each, and ``cut``, those of them whose two ends are in different shards of ``placed(<of>, shard)``.
+    Pairs are counted from the sizes of groups, never listed."""
+    pairs = lambda n: n * (n - 1) / 2
+    at = members.where("hub is not null").select(of, "hub").distinct().join(placed.select(of, "shard"), of)
+    there = at.groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    hubs = there.groupBy("hub").agg(F.sum("n").alias("all"), F.sum(pairs(F.col("n"))).alias("together"))
+    links, together = F.coalesce(F.sum(pairs(F.col("all"))), F.lit(0)), F.coalesce(F.sum("together"), F.lit(0))
+    return hubs.agg(links.cast("long").alias("links"), (links - together).cast("long").alias("cut"))
 
 
 def _quotas(demand: list, load: list[float], capacity: float) -> dict[tuple[int, int], float]:
@@ -48,21 +73,22 @@ def propagate(members: DataFrame, shards: int, rounds: int = ROUNDS, slack: floa
     that is more than where it is. A hashed half of the units may move in a round, so that two
     that wish for each other do not trade places for ever, and a hashed share of them is
     granted, by quotas between each two shards. Tallies and wishes are partial aggregates of
-    ``shards`` numbers; at most ``shards`` squared of them reach the driver.
+    ``shards`` numbers; at most ``shards`` squared of them reach the driver. Tallies of hot
+    hubs come to their members by broadcast.
     """
     base = staged(members.groupBy("unit").agg(F.first("weight").alias("weight")).withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int")), "start")
-    linked = members.where("hub is not null").select("unit", "hub")
-    shared = linked.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    linked = staged(linked.join(shared, "hub"), "linked")
+    linked = staged(shared_links(members, "unit"), "linked")
     total = base.agg(F.sum("weight")).first()[0]
     if not total or linked.isEmpty():
         return base
     names = [f"t{s}" for s in range(shards)]
+    hot = F.broadcast(linked.where("hot").select("hub").distinct())
     for turn in range(rounds):
         placed = linked.join(base, "unit")
         tally = placed.groupBy("hub").agg(*(F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(n) for s, n in enumerate(names)), F.sum("weight").alias("all"))
         share = lambda s, n: F.sum((F.col(n) - F.when(F.col("shard") == s, F.col("weight")).otherwise(0)) / F.col("all")).alias(n)
-        pull = placed.join(tally, "hub").groupBy("unit", "weight", "shard").agg(*(share(s, n) for s, n in enumerate(names)))
+        with_tally = placed.where("not hot").join(tally, "hub").unionByName(placed.where("hot").join(F.broadcast(tally.join(hot, "hub", "left_semi")), "hub"))
+        pull = with_tally.groupBy("unit", "weight", "shard").agg(*(share(s, n) for s, n in enumerate(names)))
         best = F.array_max(F.array(*(F.struct(F.col(n).alias("pull"), F.lit(-s).alias("s")) for s, n in enumerate(names))))
         own = F.element_at(F.array(*names), F.col("shard") + 1)
         active = F.pmod(F.xxhash64("unit", F.lit(1000 + turn)), F.lit(2)) == 0
@@ -103,7 +129,7 @@ def ranked(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
 def shards(docs: DataFrame, count: int = 16, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
-    Texts are linked by lowest line hashes; equal texts are one unit, cut in parts where they
+    Texts are linked by every passage (line or sentence) they share; equal texts are one unit, cut in parts where they
     are over a quarter of a shard. Label propagation (:func:`propagate`) moves units to the
     shards of those they are linked with while row counts stay near even. Then the rows are
     ranked by shard, link and text, and the ranking is cut into ``count`` equal runs, so that
@@ -119,13 +145,17 @@ def shards(docs: DataFrame, count: int = 16, rounds: int = ROUNDS, id_column: st
     rows = staged(slim, "rows")
     total = rows.count()
     most = max(1, total // (count * PART_OF_SHARD))
-    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("links").alias("links"))
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.first("links").alias("links"))
     classes = staged(classes.withColumn("parts", F.ceil(F.col("n") / most).cast("int")), "texts")
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     units = classes.select("k", part, (F.col("n") / F.col("parts")).alias("weight"), F.when(F.col("parts") > 1, F.concat("links", F.array("k"))).otherwise(F.col("links")).alias("links"))
     unit = F.xxhash64("k", "part").alias("unit")
-    placed = propagate(units.select(unit, "weight", F.explode_outer(F.array_distinct("links")).alias("hub")), count, rounds)
-    chosen = units.select(unit, "k", "part", F.coalesce(F.get("links", F.lit(0)), F.col("k")).alias("near")).join(placed.select("unit", "shard"), "unit")
+    members = units.select(unit, "weight", F.explode_outer("links").alias("hub"))
+    placed = propagate(members, count, rounds)
+    # rows of a shard that share a passage lie side by side, so that a cut parts few of them
+    near = shared_links(members, "unit").groupBy("unit").agg(F.min("hub").alias("near"))
+    named = units.select(unit, "k", "part").join(placed.select("unit", "shard"), "unit").join(near, "unit", "left")
+    chosen = named.withColumn("near", F.coalesce("near", "k"))
     # rows of a cut class are dealt to its parts by hash; the class side has one row per part
     with_part = rows.join(classes.select("k", "parts"), "k").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     laid = with_part.join(chosen.select("k", "part", "near", F.col("shard").alias("wanted")), ["k", "part"])
