@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.arrays import bound, running_total
 from pairloom.llm.common import pick, renamed_back, staged, text_or_empty, with_columns_of
 
 # Fixed values of the base scan: kind, pattern, and the shortest match that counts.
@@ -38,12 +39,10 @@ def _pieces(text: Column, pattern: str) -> Column:
     between = F.transform(F.split(text, pattern, -1), F.length)
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     pair = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["b"] + p["m"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["b"]).alias("start"), (acc["at"] + p["b"] + p["m"]).alias("end")))).alias("out"),
+    placed = lambda own: F.zip_with(
+        own, running_total(F.transform(own, lambda p: p["b"] + p["m"])), lambda p, end: F.struct((end - p["m"]).alias("start"), end.alias("end"))
     )
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.aggregate(pair, start, step)["out"])
+    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(bound(pair, placed))
 
 
 def _kind(spans: Column, number: int) -> Column:
@@ -116,10 +115,10 @@ def markov_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD
 
 
 def with_spans(docs: DataFrame, text: str, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``base``, and ``found``: base spans and those the models add, clear of every base span."""
+    """Adds ``base``, and ``found``: base spans and those the models add, unless one lies in a base span."""
     marked = docs.withColumn("base", base_spans(F.col(text))).withColumn("added", markov_spans(F.col(text), ratios, threshold))
-    clear = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return marked.withColumn("found", F.array_sort(F.concat("base", _kind(clear, 3)))).drop("added")
+    more = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return marked.withColumn("found", F.array_sort(F.concat("base", _kind(more, 3)))).drop("added")
 
 
 def joined(found: Column) -> Column:
@@ -147,8 +146,8 @@ def secrets(docs: DataFrame, ratios: list[float] | None = None, threshold: float
 
     ratios: a trained model (:func:`train`); by default one trained on what the base patterns
     mark in ``docs`` against ordinary words. Spans count code points, ends are exclusive,
-    order is by start, then kind as in KINDS. A span of the models that meets a base span is
-    left out, base spans always stay.
+    order is by start, then kind as in KINDS. A span of the models that lies in a base span is
+    left out; one that goes beyond it stays as a whole beside it. Base spans always stay.
 
     Null and empty texts have no spans. Repeated rows get equal rows, null ids are kept, an
     empty table gives an empty result. Without training strings nothing is added to the base.
@@ -158,12 +157,12 @@ def secrets(docs: DataFrame, ratios: list[float] | None = None, threshold: float
     return with_spans(own, "text", ratios, threshold).select("doc_id", "base", "found")
 
 
-def without_secrets(docs: DataFrame, ratios: list[float] | None = None, mark: str = "<SECRET>", text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
+def without_secrets(docs: DataFrame, ratios: list[float] | None = None, mark: str = "<SECRET>", text_column: str = "text", size_column: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span replaced by a mark; ``size_column``, where there is one, follows.
     No row goes; a null text stays null; columns and their order stay."""
     ratios = ratios if ratios is not None else model_of(docs, text_column)
     flat, own = with_columns_of(docs, text=text_column)
-    marked = with_spans(flat.withColumn("plain", text_or_empty()), "plain", ratios)
+    marked = with_spans(flat.withColumn("plain", text_or_empty()), "plain", ratios, threshold)
     clean = marked.withColumn("clean", F.when(F.size("found") == 0, F.col("text")).otherwise(redacted(F.col("plain"), F.col("found"), mark)))
     changed = {own[docs.columns.index(text_column)]: F.col("clean")}
     if size_column in docs.columns:
