@@ -144,24 +144,38 @@ def near_duplicates(
     blocks by hash; a group is a pair of blocks, so none grows with its cell, and it returns
     a count and one star edge per row, never its pairs.
 
-    Vectors that are null, zero, of another length than ``dimension`` (default: the most
-    frequent length, the longer of equally frequent ones), or with null, NaN or infinite
+    Vectors of different lengths are spaces of their own, searched one after the other
+    (``dimension``: this one only). Vectors that are null, zero, or with null, NaN or infinite
     components link with nothing: n_links 0, component_id their own id. Repeated rows are
     rows of their own and link. A null id gets null component_id and kept unless its
     component has an id that is not null. An empty table gives an empty result.
     """
-    rows = pick(vectors, vec_id=id_column, v=vector_column)
+    rows = pick(vectors, vec_id=id_column, v=vector_column).withColumn("v", F.col("v").cast("array<double>"))
     if dimension is None:
-        sizes = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d"))
-        first = sizes.first()
-        dimension = first["d"] if first else 1
-    rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+        lengths = sorted(r["d"] for r in rows.where("size(v) > 0").select(F.size("v").alias("d")).distinct().collect())
+    else:
+        lengths = [dimension]
+    usable = F.lit(False)
+    linked: list[DataFrame] = []
+    for length in lengths:
+        good = _linked(rows, length, least, fit_rows, most_cells, block)
+        usable = usable | F.coalesce(_valid(length), F.lit(False))
+        if good is not None:
+            linked.append(good)
+    found = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    for good in linked:
+        found = found.unionByName(good)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(rows: DataFrame, dimension: int, least: float, fit_rows: int, most_cells: int, block: int) -> DataFrame | None:
+    """``vec_id, n_links, component_id`` of all usable vectors of one length; None where there is none."""
     valid = _valid(dimension)
     folded = rows.where(valid).groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     classes = staged(folded.withColumn("id", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     if n == 0:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+        return None
     chosen = classes.orderBy(F.xxhash64("v")).limit(fit_rows).select("v").collect()
     sample = unit_rows(np.array([r["v"] for r in chosen]))
     centroids = spherical_kmeans(sample, min(most_cells, max(1, math.ceil(math.sqrt(n) / 2))))
@@ -181,9 +195,7 @@ def near_duplicates(
     named = staged(joined, "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     final = named.join(lowest, "root").select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    good = rows.where(valid).join(final, "v").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~F.coalesce(valid, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return rows.where(valid).join(final, "v").select("vec_id", "n_links", "component_id")
 
 
 def _block_pairs(placed: DataFrame, block: int, least: float) -> DataFrame:
