@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import pick, staged, text_or_empty
@@ -20,16 +20,56 @@ REACH, POSITIONS_AT_ONCE = 2, 8192
 _PAD = 0
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
+def words_of(text: Column) -> Column:
+    """The words of a text, one row each."""
+    return F.explode(F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``w, count`` of every word of ``docs(text)``: a table that grows with the corpus."""
+    return staged(docs.select(words_of(F.col("text")).alias("w")).groupBy("w").count(), "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
     """The most frequent words, by counts over all of ``docs(text)``; as many as SIDE allows reach the driver."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("w")).where("w != ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(SIDE * SIDE - 1 - SUFFIXES).collect()
+    counts = word_counts(docs) if counts is None else counts
+    top = counts.orderBy(F.desc("count"), "w").limit(SIDE * SIDE - 1 - SUFFIXES).collect()
     # neighbours in frequency are spread over the groups, so that groups weigh about the same
     size = SIDE * SIDE
     places = [i for i in (((k * SIDE) % size) + (k * SIDE) // size for k in range(size)) if i > SUFFIXES]
     return {r["w"].encode(): places[i] for i, r in enumerate(top)}
 
 
+def class_of(word: Column) -> Column:
+    """What :meth:`Ids.__missing__` gives."""
+    data = F.encode(word, "UTF-8")
+    byte = lambda at: F.conv(F.hex(F.substr(data, at, F.lit(1))), 16, 10).cast("int")
+    size = F.octet_length(word)
+    return 1 + (byte(F.lit(-1)) * 31 + byte(-F.least(size, F.lit(2))) * 7 + F.least(size, F.lit(12))) % SUFFIXES
+
+
+def rare_words(counts: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """``w, log_p`` of the words outside the vocabulary: the probability of a word within its class,
+    by counts over the whole corpus plus one, one more for all words never seen."""
+    known = counts.sparkSession.createDataFrame([(w.decode("utf-8", "surrogatepass"),) for w in words], "w string")
+    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("class", class_of(F.col("w")))
+    classes = rare.groupBy("class").agg((F.sum("count") + F.count("*") + 1).alias("all"))  # SUFFIXES rows at most
+    each = rare.join(F.broadcast(classes), "class")
+    return each.select("w", (F.log(F.col("count") + 1) - F.log("all")).alias("log_p"))
+
+
+def within_classes(docs: DataFrame, rare: DataFrame, words: dict[bytes, int], id_column: str = "doc_id") -> DataFrame:
+    """``doc_id, k, inside``: the sum of ``log_p`` over all rare words of a text. ``k`` is a hash of the
+    text; rows that share id and text share a row."""
+    known = docs.sparkSession.createDataFrame([(w.decode("utf-8", "surrogatepass"),) for w in words], "w string")
+    keyed = docs.select(id_column, F.xxhash64("text").alias("k"), "text")
+    tokens = keyed.select(id_column, "k", words_of(F.col("text")).alias("w")).join(F.broadcast(known), "w", "left_anti")
+    sums = tokens.join(rare, "w").groupBy(id_column, "k").agg(F.sum("log_p").alias("total"))
+    copies = keyed.groupBy(id_column, "k").agg(F.count("*").alias("copies"))
+    same = sums[id_column].eqNullSafe(copies[id_column]) & (sums["k"] == copies["k"])
+    return sums.join(copies, same).select(sums[id_column], sums["k"], (F.col("total") / F.col("copies")).alias("inside"))
+
+
 class Ids(dict):
     """Ids of words; a word outside the vocabulary has the class of its end, remembered once found."""
 
@@ -189,7 +229,8 @@ def fit(docs: DataFrame, words: dict[bytes, int], passes: int = 1, rate: float =
 
 
 def scores(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, id_column: str = "doc_id") -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood`` of ``docs(doc_id, text)`` under trained weights."""
+    """``doc_id, n_tokens, log_likelihood`` of ``docs(doc_id, text)`` under trained weights, where a
+    word outside the vocabulary counts as its class."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((words, weights.astype(np.float32)))
 
@@ -205,21 +246,29 @@ def scores(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, id_col
             ends = np.cumsum(sizes)
             yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": sums[ends] - sums[ends - sizes]})
 
-    return docs.select(id_column, of("text").alias("s")).select(id_column, "s.n_tokens", "s.log_likelihood")
+    more = [c for c in docs.columns if c not in (id_column, "text")]
+    return docs.select(id_column, *more, of("text").alias("s")).select(id_column, *more, "s.n_tokens", "s.log_likelihood")
 
 
 def pseudo_likelihood(docs: DataFrame, passes: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``.
 
     Every word of a whole text is masked in turn and predicted from two words on each side by
-    a network trained on all of ``docs``; log_likelihood is the sum of the log-probabilities.
+    a network trained on all of ``docs``; log_likelihood is the sum of the log-probabilities. A
+    word outside the network's vocabulary has the probability of its class times that of the
+    word within the class, by counts of all words of ``docs`` (:func:`rare_words`).
 
     Null and empty texts have no tokens, log_likelihood 0 and a null mean. Repeated rows get
     equal scores up to rounding, null ids are kept, an empty table gives an empty result.
     """
     own = pick(docs, doc_id=id_column, text=text_column).withColumn("text", text_or_empty())
-    words = vocabulary(own)
+    counts = word_counts(own)
+    words = vocabulary(own, counts)
     weights = fit(own, words, passes)
-    scored = scores(own, words, weights)
+    scored = scores(own.withColumn("k", F.xxhash64("text")), words, weights).alias("s")
+    inside = within_classes(own, rare_words(counts, words), words).alias("i")
+    same = F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.k") == F.col("i.k"))
+    both = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
+    scored = scored.join(inside, same, "left").select("s.doc_id", "n_tokens", both.alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.withColumn("mean_log_likelihood", mean)
