@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm import shingles
 from pairloom.llm.common import pick, renamed_back, staged, text_or_empty, with_columns_of
 from pairloom.llm.components import components, local_roots
 
@@ -303,22 +302,15 @@ def with_components(marked: DataFrame, most: int, blocks: int = 6, most_second:
     return marked.join(named, ["fp", "second"])
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (null ids last, and
-    any one of rows that repeat an id). Columns and their order stay.
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, most: int = 4) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`: the one with the
+    smallest id (null ids last, and any one of rows that repeat an id). Columns and their order stay.
 
-    Two texts are linked where the sets of their ``words``-word shingles have a Jaccard similarity
-    of ``least`` or more, which :mod:`pairloom.llm.shingles` verifies on the texts. Null and empty
-    texts are equal texts, of which one stays. No rows: no rows.
+    Null and empty texts have equal fingerprints, so one of them stays. No rows: no rows.
     """
     all_rows, own = with_columns_of(docs, doc_id=id_column, text=text_column)
-    made = shingles.sketches("text", words).alias("made")
-    numbered = all_rows.withColumn("text", text_or_empty()).select(*own, "doc_id", "text", made, F.monotonically_increasing_id().alias("row"))
-    marked = staged(numbered.select(*own, "doc_id", "text", "made.*", "row"), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
-    known = staged(marked.groupBy("digest").agg(F.min("row").alias("id"), first), "known")
-    sketched = marked.select(F.col("row").alias("id"), "text", "bands", "bits").join(known.select("id"), "id", "left_semi")
-    found = shingles.linked(sketched, words, least)
-    rooted = known.join(found.withColumnRenamed("node", "id"), "id", "left")
-    kept = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return renamed_back(marked.join(kept, "row", "left_semi"), own, docs.columns)
+    numbered = all_rows.select(*own, "doc_id", fingerprints("text", words).alias("fp"), F.lit(0).cast("long").alias("second"))
+    marked = staged(numbered.withColumn("row", F.monotonically_increasing_id()), "marked")
+    rooted = with_components(marked.select("doc_id", "row", "fp", "second"), most)
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first"))
+    return renamed_back(marked.join(kept.select("first.row"), "row", "left_semi"), own, docs.columns)
