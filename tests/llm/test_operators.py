@@ -126,66 +126,50 @@ def test_near_duplicates_edge_cases(spark, odd):
     assert sum(r["doc_id"] == 4 for r in rows_of(kept)) == 1
 
 
-def test_one_of_each_catches_light_edits(spark):
-    rng = random.Random(4)
-    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
-    data = []
-    for d in range(30):
-        text = rng.sample(words, 300)
-        data.append((2 * d, " ".join(text)))
-        for at in rng.sample(range(300), 4):
-            text[at] = "changed"
-        data.append((2 * d + 1, " ".join(text)))
-    kept = simhash.one_of_each(spark.createDataFrame(data, DOCS)).count()
-    assert 30 <= kept <= 34  # fingerprints estimate: a pair in ten at this similarity is out of reach
-
-
-def plain_shingles(text):
-    parts = text.lower().split()
-    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
-
-
-def test_one_of_each_equals_brute_force_similarity(spark):
+def fingerprint_classes(rows):
+    """Smallest id over links of 4-word fingerprints at 4 bits, by comparing all pairs."""
+    prints = [(i, simhash.fingerprint(t or "") & (1 << 64) - 1) for i, t in sorted(rows)]
+    low = {i: i for i, _ in prints}
+    for n, (i, x) in enumerate(prints):
+        for j, y in prints[:n]:
+            if (x ^ y).bit_count() <= 4 and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = {k: a if v == b else v for k, v in low.items()}
+    return low
+
+
+def test_one_of_each_keeps_the_first_of_every_class(spark):
     rng = random.Random(14)
     words = [f"w{i}" for i in range(3000)]
-    line = " ".join(words[:12])
     texts = []
     for d in range(24):
         text = rng.sample(words, rng.choice((30, 120, 400)))
         if d % 4 == 0:  # one repeated line takes most of the text
-            text = (line.split() * 40) + text
+            text = words[:12] * 40 + text
         texts.append(" ".join(text))
-        for share in (0.01, 0.02, 0.035, 0.045, 0.06):
-            other = [w if rng.random() > share else "changed" for w in text]
-            texts.append(" ".join(other))
-    texts += ["", " ", "one two", "One two", "one three", None, None]
-    sets = [plain_shingles(t or "") for t in texts]
-    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if near(sets[i], sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), DOCS))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
-
-
-def test_near_copies_stage_on_the_table(spark):
+        for share in (0.001, 0.005, 0.01, 0.02, 0.06):
+            texts.append(" ".join(w if rng.random() > share else "changed" for w in text))
+    rows = list(enumerate(texts + ["", " ", "one two", "One two", "one three", None, None]))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS))
+    want = set(fingerprint_classes(rows).values())
+    assert 24 < len(want) < len(rows) and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_one_of_each_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = sorted((r["doc_id"], plain_shingles(r["text"] or "")) for r in docs.collect())
-    low = {i: i for i, _ in rows}
-    for i, x in rows:
-        for j, y in rows:
-            if j < i and 5 * len(x & y) >= 4 * len(x | y) and low[i] != low[j]:
-                a, b = sorted((low[i], low[j]))
-                low = {k: a if v == b else v for k, v in low.items()}
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(low.values()))
+    want = fingerprint_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
 # --- embeddings
 
 
+def test_vectors_of_several_lengths_link_among_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [0.0]), (7, [3.0]), (8, [4.0]), (9, None), (10, [float("nan"), 1.0]), (None, [5.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (2, 3, True), 4: (2, 3, False), 5: (2, 3, False), 6: (0, 6, True), 7: (2, 7, True), 8: (2, 7, False), 9: (0, 9, True), 10: (0, 10, True), None: (2, 7, None)}
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
@@ -237,6 +221,43 @@ def test_linked_texts_meet(spark):
     assert together > 100  # by chance it would be 12
 
 
+def plain_cut(docs, shard):
+    """Pairs that share a passage, once for each, and those in different shards."""
+    import itertools
+
+    holders = {}
+    for d, text in docs:
+        for p in {p for p in re.split(sharding.ENDS, text or "") if len(p) >= sharding.SHORTEST}:
+            holders.setdefault(p, []).append(d)
+    pairs = [p for own in holders.values() for p in itertools.combinations(own, 2)]
+    return len(pairs), sum(shard[a] != shard[b] for a, b in pairs)
+
+
+def test_cut_edges_equal_a_plain_count_and_are_few(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    found = sharding.shards(docs, 16)
+    links = docs.select("doc_id", F.explode(sharding.link_keys(F.col("text"))).alias("hub"))
+    got = sharding.cut_edges(links, found).first()
+    rows = [tuple(r) for r in docs.collect()]
+    shard = {r["doc_id"]: r["shard"] for r in found.collect()}
+    assert tuple(got) == plain_cut(rows, shard)
+    # texts that share a passage which few others have: by chance 15 of 16 links would be cut
+    few = links.join(links.groupBy("hub").count().where("count < 30"), "hub")
+    cut = sharding.cut_edges(few, found).first()
+    assert cut["links"] > 100 and cut["cut"] < 0.5 * cut["links"]
+
+
+def test_hot_passages_are_tallied_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 3)
+    data = [(i, f"a line that every text has in common\nthe own line of group {i % 30} is this") for i in range(600)]
+    docs = spark.createDataFrame([(i, f"{t} {i}" if i % 2 else t) for i, t in data], DOCS)
+    found = rows_of(sharding.shards(docs, 4, rounds=8))
+    sizes = [sum(r["shard"] == s for r in found) for s in range(4)]
+    assert sizes == [150] * 4
+    hot = sharding.shared_links(docs.select("doc_id", F.explode(sharding.link_keys(F.col("text"))).alias("hub")), "doc_id")
+    assert hot.where("hot").select("hub").distinct().count() == 1
+
+
 def test_shards_edge_cases(spark, odd):
     got = rows_of(sharding.shards(odd, 3))
     assert sorted(r["size"] for r in got)[:2] == [1, 1] and len(got) == 8
@@ -307,6 +328,62 @@ def test_slots_must_map_one_to_one(spark):
     assert got[1]["changed_slots"] == 0 and got[2]["changed_slots"] == 3
 
 
+def plain_template(text):
+    """Template words and raw words by the patterns of the operator, in Python's notation."""
+    import regex
+
+    marked = regex.sub(decontamination.UNIT, r"%\1", text)
+    marked = regex.sub(decontamination.NAME, r"@\1", marked)
+    raw = regex.findall(decontamination.TOKEN, marked)
+    return [w[0] if w[0] in "%@" else "#" if w[0].isnumeric() else w.lower() for w in raw], raw
+
+
+def plain_matches(text, item, window=5, coverage=0.7):
+    """Lay the item over the text at every shift that a telling window seeds."""
+    (words, raw), (own, own_raw) = plain_template(text), plain_template(item)
+    size = min(window, len(own))
+    spans = [(i, own[i : i + size]) for i in range(len(own) - size + 1)] if own else []
+    telling = [s for s in spans if sum(w not in "#@%" for w in s[1]) >= 2] or spans
+    shifts = {j - i for i, w in telling for j in range(len(words) - size + 1) if words[j : j + size] == w}
+    hit = set()
+    for shift in shifts:
+        equal = [p for p in range(len(own)) if 0 <= p + shift < len(words) and words[p + shift] == own[p]]
+        slots = {(own[p], own_raw[p], raw[p + shift]) for p in equal if own[p] in "#@%"}
+        consistent = len({s[:2] for s in slots}) == len({(s[0], s[2]) for s in slots}) == len(slots)
+        hit.update(p for p in equal if consistent or own[p] not in "#@%")
+    return bool(own) and len(hit) / len(own) >= coverage
+
+
+def test_items_of_any_length_at_every_token(spark):
+    """1 to 9 and more tokens at every alignment; edits, insertions, deletions; rows of numbers."""
+    rng = random.Random(8)
+    fill = [f"f{c}{d}".translate(str.maketrans("0123456789", "abcdefghij")) for c in "abc" for d in range(100)]
+    items = [" ".join(f"q{chr(97 + n)}{chr(97 + i)}" for i in range(n)) for n in range(1, 10)]
+    items += ["12 + 30 = 42 and 7", "3 kg 4 kg 5 kg 6 kg", "so far Ann gave 5 pears to Bob and kept 7 plums for Ann today", ""]
+    texts, rows = [], []
+    for item in items:
+        words = item.split()
+        for at in range(6):
+            before, after = rng.sample(fill, at), rng.sample(fill, rng.randint(0, 6))
+            put = lambda w: texts.append(" ".join([*before, *w, *after]))  # noqa: B023, E731
+            put(words)
+            if len(words) > 2:
+                k = rng.randrange(len(words))
+                put([*words[:k], "xyz", *words[k:]])
+                put([*words[:k], *words[k + 1 :]])
+                put([*words[:k], "xyz", *words[k + 1 :]])
+                put([str(int(w) + 3) if w.isdigit() else w for w in words])
+    rows = list(enumerate(texts))
+    asked = list(enumerate(items))
+    got = by_id(decontamination.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(asked, "item_id long, text string")))
+    caught = 0
+    for i, text in rows:
+        want = [n for n, item in asked if plain_matches(text, item)]
+        assert got[i]["item_ids"] == want, text
+        caught += bool(want)
+    assert caught > len(rows) / 2
+
+
 def test_decontamination_edge_cases(spark, odd):
     items = spark.createDataFrame([(1, "same text of a few words"), (1, "same text of a few words"), (None, "some words here that repeat")], "item_id long, text string")
     got = rows_of(decontamination.contamination(odd, items))
@@ -404,6 +481,23 @@ def test_base_secrets_equal_brute_force(spark):
         assert all(s in got[i]["found"] for s in got[i]["base"])
 
 
+def test_a_longer_secret_around_a_base_span_is_taken_whole(spark):
+    """The rest of a key whose beginning is a base span goes too; many matches take no longer."""
+    rng = random.Random(3)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789ghijklmnopqrstuvwxyz"
+    samples = [(draw(mixed, 30), 1) for _ in range(500)] + [("the_ordinary_identifier_name", 0)] * 50
+    ratios = secrets.train(spark.createDataFrame(samples, "value string, label int"))
+    key = draw("0123456789abcdef", 24) + "Z" + draw(mixed, 19)
+    many = " ".join(draw("0123456789abcdef", 24) for _ in range(20_000))
+    docs = spark.createDataFrame([(1, f"x {key} y"), (2, many)], DOCS)
+    got = by_id(secrets.secrets(docs, ratios, threshold=0.0))
+    assert [(s["start"], s["kind"], s["end"]) for s in got[1]["found"]] == [(2, 2, 26), (2, 3, 46)]
+    assert len(got[2]["base"]) == 20_000 and got[2]["base"][-1]["end"] == len(many)
+    clean = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs, ratios, threshold=0.0).collect()}
+    assert clean[1] == "x <SECRET> y"
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -453,8 +547,12 @@ def test_dropout_is_seeded_varied_and_lossless():
         for s in range(3):
             assert own.decode(own.encode(t, s, 0, 1 << 30)) == t
     chunks = [c for t in PIECE_TEXTS + [text] for c in own.chunks(pieces.SPACE + t.replace(" ", pieces.SPACE))]
-    many = own.segment_many(chunks, 5, 1 << 29)
-    assert all(np.frombuffer(many[c], np.int32).tolist() == own.segment(c, 5, 1 << 29) for c in chunks)
+    of = np.arange(3 * len(chunks)) % len(chunks)
+    base = np.array([xxhash.xxh64_intdigest(c.encode(), n) for n in range(3) for c in chunks], np.uint64)
+    ids, start, many = own._drawn(chunks, np.array([k[2] for k in own._segments(chunks)]), of, base, 1 << 29)
+    flat = np.concatenate(ids).tolist()
+    for c, b, x, n in zip(of.tolist(), base.tolist(), start.tolist(), many.tolist()):
+        assert flat[x : x + n] == own._ids(own._merged(chunks[c], b, 1 << 29, []))
 
 
 def test_equal_words_are_cut_anew_at_each_place(spark):
@@ -488,6 +586,60 @@ def test_pieces_edge_cases(spark, odd):
 # --- language model
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Class and word within the class by a plain count; the words of a class leave room for one unseen."""
+    import math
+
+    rng = random.Random(12)
+    frequent = [f"f{i}" for i in range(1000)]
+    texts = [" ".join(rng.choices(frequent, k=400) + [f"rare{rng.randrange(300)}É" for _ in range(rng.randrange(9))] + ["z"]) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (50, None), (51, " "), (None, "rare1É nowhere")]
+    docs = spark.createDataFrame(rows, DOCS)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = language_model.word_counts(own)
+    words = language_model.vocabulary(own, counts)
+    rare = {r["w"]: r["log_p"] for r in language_model.rare_words(counts, words).collect()}
+    plain = {}
+    for _, t in rows:
+        for w in (t or "").lower().split():
+            plain[w] = plain.get(w, 0) + 1
+    ids = language_model.Ids()
+    outside = {w: n for w, n in plain.items() if w.encode() not in words}
+    totals = {}
+    for w, n in outside.items():
+        totals[ids[w.encode()]] = totals.get(ids[w.encode()], 1) + n + 1
+    assert set(rare) == set(outside) and len(rare) > 100
+    for w, n in outside.items():
+        assert math.isclose(rare[w], math.log((n + 1) / totals[ids[w.encode()]]))
+    weights = language_model.fit(own, words)
+    plain_scores = [(r["doc_id"], r["log_likelihood"]) for r in rows_of(language_model.scores(own, words, weights))]
+    inside = {(d, sum(rare.get(w, 0.0) for w in (t or "").lower().split())) for d, t in rows}
+    got = sorted(((r["doc_id"], r["log_likelihood"]) for r in rows_of(language_model.pseudo_likelihood(docs))), key=str)
+    want = sorted(((d, s + dict(inside)[d]) for d, s in plain_scores), key=str)
+    assert [d for d, _ in got] == [d for d, _ in want] and len(got) == len(rows)
+    assert all(abs(a - b) < 1e-3 * (1 + abs(b)) for (_, a), (_, b) in zip(got, want))
+
+
+def test_steps_follow_the_numeric_gradient():
+    rng = np.random.default_rng(5)
+    ids = np.r_[[0] * language_model.REACH, rng.integers(1, 1024, 40), [0] * language_model.REACH].astype(np.int16)
+    at = np.arange(language_model.REACH, language_model.REACH + 40)
+    model = language_model.Network.fresh()
+    loss = lambda m: -m.log_probabilities(ids, at).mean()
+    seen = language_model.Network.of(np.zeros(len(model.flat())))
+    moved = language_model.Network.of(model.flat())
+    moved.step(ids, at, seen, 0.0)  # only the squared gradients are gathered
+    squares, flat = seen.flat(), model.flat()
+    for place in np.argsort(-squares)[:: len(at) * 5][:25]:
+        ends = []
+        for side in (1, -1):
+            other = flat.copy()
+            other[place] += side * 5e-3
+            ends.append(loss(language_model.Network.of(other)))
+        slope = (ends[0] - ends[1]) / 1e-2
+        assert abs(slope * slope - squares[place]) < 0.05 * squares[place] + 1e-9
+
+
 def test_natural_order_scores_above_shuffled_words(spark):
     rng = random.Random(6)
     nouns, verbs = ["cat", "dog", "bird", "fox"], ["sees", "hears", "meets", "likes"]

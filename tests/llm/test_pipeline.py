@@ -24,13 +24,12 @@ def test_stages(spark, tmp_path):
             scored = toxicity.toxicity(docs, labels).collect()
             assert set(after) == {r["doc_id"] for r in scored if r["predicted"] == 0}
         elif name == "near_copies":
-            of = lambda r, w: simhash.fingerprint(r["text"], w) & (1 << 64) - 1
-            rows = [(i, of(r, 2), of(r, 5)) for i, r in sorted(before.items())]
-            low = {i: i for i, _, _ in rows}
+            rows = [(i, simhash.fingerprint(r["text"], 4) & (1 << 64) - 1) for i, r in sorted(before.items())]
+            low = {i: i for i, _ in rows}
             for _ in rows:
                 changed = False
-                for i, a, x in rows:
-                    least = min(low[j] for j, b, y in rows if (a ^ b).bit_count() <= 8 and (x ^ y).bit_count() <= 13)
+                for i, a in rows:
+                    least = min(low[j] for j, b in rows if (a ^ b).bit_count() <= 4)
                     changed |= least != low[i]
                     low[i] = least
                 if not changed:
@@ -55,5 +54,5 @@ def test_queries_are_registered(spark):
 
     found = queries()
     assert set(QUERIES) < set(found) and "pipeline" in found
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(oracle_sql())
