@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.filters import non_blank
 from pairloom.plans.corpus_build import CorpusOptions, cleaned_lines, first_keys
-from pairloom.sources.files import ORDER_COLUMNS, file_glob, path_or_none, path_part
+from pairloom.sources.files import ORDER_COLUMNS, file_glob, file_system, path_or_none, path_part
 from pairloom.sources.sinks import record_line
 
 BATCH_DIGITS = 12
@@ -83,6 +83,8 @@ def append_batch(
     lines = record_line(cleaned.join(fresh, list(ORDER_COLUMNS), "left_semi"), *ORDER_COLUMNS)
     lines = lines.sortWithinPartitions(*ORDER_COLUMNS).select("value")
     lines.write.mode("overwrite").text(f"{output}/{_part(number)}")
+    folder, files = file_system(spark, stage)
+    files.delete(folder, True)
 
 
 def start_corpus_stream(

@@ -219,6 +219,12 @@ def test_all_runs_share_one_scan_of_the_corpus(spark, corpus, tmp_path):
     assert len([x for x in scans if "c_code" in x]) == 1
 
 
+def test_no_rows_no_runs(spark, corpus, tmp_path):
+    out = str(tmp_path / "out")
+    experiments.run_cross_validation(spark, corpus.limit(0), "key", echo_model, out, seeds=[5])
+    assert sinks.finished_runs(spark, out).count() == 0
+
+
 def test_only_failed_runs_are_left_out(spark, corpus, tmp_path):
     out, args = str(tmp_path / "out"), {"seeds": [5, 6, 7]}
     failing = local(lambda ps: [p[len("x") - 1 :] if "int a3;" not in p else p + 1 for p in ps])
@@ -305,3 +311,4 @@ def test_a_batch_that_runs_again_gives_the_same(spark, tmp_path):
         append_batch(batch, number, str(tmp_path / "o"), str(tmp_path / "s"), CorpusOptions())
     lines = [sorted(json.loads(x)["task_name"] for p in (tmp_path / "o").glob(f"batch=*{n}/part-*") for x in p.read_text().splitlines()) for n in (0, 1)]
     assert lines == [["0", "1", "2", "3", "4"], []]
+    assert [p.name for p in (tmp_path / "s").iterdir()] == ["seen"]

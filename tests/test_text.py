@@ -210,6 +210,13 @@ def test_many_comments_and_open_literals_take_time_in_proportion(spark):
     assert time.monotonic() - start < 60
 
 
+def test_long_comments_do_not_exhaust_the_stack(evaluate):
+    inside = "* a / b ** " * 200_000
+    texts = [f"x /*{inside}*/ y", f"x /* /*{inside}*/ */ y", f'r#"{inside}"# /*{inside}', f"/// {inside}\ny"]
+    want = ["x  y", "x  y", f'r#"{inside}"# /*{inside}', "\ny"]
+    assert evaluate(texts, T.strip_rust_comments) == want
+
+
 def test_running_total(spark):
     sizes = [(list(range(n)),) for n in (0, 1, 2, 511, 512, 513, 1024, 3000)]
     df = spark.createDataFrame([*sizes, (None,)], "v ARRAY<INT>")
