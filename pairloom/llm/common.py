@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set and executors
+    run in the driver (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="pairloom-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -66,6 +73,17 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast(T.StringType()), F.lit(""))
 
 
+def give_back_memory() -> None:
+    """Return what this Python process has freed to the system. Workers stay idle beside the
+    tasks of later stages, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
 def kept_in_worker(name: str, make):
     """What ``make()`` gives, made once per Python process, so that it outlives a task."""
     kept = sys.modules.setdefault("_pairloom_kept", types.ModuleType("_pairloom_kept"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import kept_in_worker, pick, text_or_empty, with_columns_of
+from pairloom.llm.common import give_back_memory, kept_in_worker, pick, text_or_empty, with_columns_of
 
 SPACE = "▁"
 #: A run of spaces with the word after it: no piece holds a line feed, or a space after a letter.
@@ -464,6 +464,9 @@ def encode_checked(rows: DataFrame, key: Column, path: str, dropout: float = 0.1
                 more = [lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())]
                 kept = [n for n in part.schema.names if n != "key"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *more], [*kept, "ids", "n_bytes", "lossless"])
+        # the model stays with the worker, the chunks go with the task
+        own.known.clear()
+        give_back_memory()
 
     keyed = rows.withColumn("key", F.xxhash64(key))
     made = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_bytes", T.LongType()), T.StructField("lossless", T.BooleanType())])
