@@ -19,8 +19,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group whose 4-word fingerprints link at 4 bits or fewer stays."""
+    return simhash.one_of_each(docs, words=4, most=4)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
