@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import LANG_C, LANG_RUST, NBSP, WHITESPACE
 from pairloom.functions.arrays import bound, running_total
-from pairloom.functions.scanner import scanned_pieces
+from pairloom.functions.scanner import scanned_code, scanned_pieces
 
 # Patterns have the form ``(kept)|comment``.  The kept part takes a whole stretch of code
 # and literals at once, so a text has about two matches per comment; a character no
@@ -140,9 +140,17 @@ def _for_scanner(code: Column) -> Column:
     return F.rlike(code, F.lit(_RUST_NESTED)) | (raw & F.exists(hashes, open_to_the_end))
 
 
+def _to_scanner(code: Column) -> Column:
+    """Texts that go to the scanner, null for all others."""
+    return F.when(_for_scanner(code), code)
+
+
 def _scanned(code: Column, doc_newline: bool) -> Column:
-    """Pieces of the texts that go to the scanner, null for all others."""
-    return scanned_pieces(F.when(_for_scanner(code), code), doc_newline)
+    """Pieces of the texts that go to the scanner, null for all others.
+
+    To be referred to once: each reference may become a call of the scanner.
+    """
+    return scanned_pieces(_to_scanner(code), doc_newline)
 
 
 def _is_comment(_: Column, place: Column) -> Column:
@@ -151,10 +159,8 @@ def _is_comment(_: Column, place: Column) -> Column:
 
 def strip_rust_comments(code: Column, doc_newline: bool = False) -> Column:
     """Delete Rust line, doc and block comments, nested to any depth."""
-    scanned = _scanned(code, doc_newline)
-    kept = F.array_join(F.filter(scanned, lambda p, i: ~_is_comment(p, i)), "")
     usual = F.regexp_replace(code, _rust_pattern(doc_newline), "$1")
-    return F.when(scanned.isNotNull(), kept).otherwise(usual)
+    return F.coalesce(scanned_code(_to_scanner(code), doc_newline), usual)
 
 
 def strip_comments(code: Column, lang: Column | str, grammar_habits: bool = False) -> Column:
@@ -205,7 +211,7 @@ def extract_comments(code: Column, lang: str, grammar_habits: bool = False) -> C
     if lang != LANG_RUST:
         return usual
     scanned = _scanned(code, grammar_habits)
-    return F.when(scanned.isNotNull(), F.filter(scanned, _is_comment)).otherwise(usual)
+    return F.coalesce(F.filter(scanned, _is_comment), usual)
 
 
 def comment_ranges(code: Column, lang: str, grammar_habits: bool = False) -> Column:
@@ -228,7 +234,7 @@ def comment_ranges(code: Column, lang: str, grammar_habits: bool = False) -> Col
     if lang == LANG_RUST:
         scanned = _scanned(code, grammar_habits)
         own = F.transform(scanned, lambda p, i: piece(p, _is_comment(p, i)))
-        pieces = F.when(scanned.isNotNull(), own).otherwise(pieces)
+        pieces = F.coalesce(own, pieces)
 
     def ranges(cut: Column) -> Column:
         ends = running_total(F.transform(cut, lambda p: p["size"]))

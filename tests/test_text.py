@@ -183,6 +183,40 @@ def test_rust_comments_nest_to_any_depth(spark, depth):
     assert [tuple(x) for x in got[0]["ranges"]] == [(2, 2 + len(nested)), (len(nested) + 5, len(nested) + 9)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("form", ["left", "ranges", "comments"])
+def test_scanner_gets_few_texts_at_a_time(spark, form):
+    """An Arrow batch of 10,000 texts, with the pieces of all of them, filled a worker's memory."""
+    df = spark.createDataFrame([(i, f"a{i} /* b /* c */ */ d // e") for i in range(300)], "i INT, c STRING")
+    code = F.col("c")
+    forms = {
+        "left": T.strip_rust_comments(code),
+        "ranges": T.comment_ranges(code, "Rust"),
+        "comments": T.extract_comments(code, "Rust"),
+    }
+    out = df.select("i", forms[form].alias("out"))
+    assert "BatchEvalPython" in _plan(out) and "ArrowEvalPython" not in _plan(out)
+    got = {r["i"]: r["out"] for r in out.collect()}
+    for i, found in got.items():
+        at = len(f"a{i} ")
+        assert len(got) == 300 and found == {
+            "left": f"a{i}  d ",
+            "ranges": [(at, at + 15), (at + 18, at + 22)],
+            "comments": ["/* b /* c */ */", "// e"],
+        }[form]
+
+
+def test_scanner_runs_once_for_a_cleaned_snippet(spark):
+    """Trimming gives each mention of the text its own name, so two mentions were two scans."""
+    df = spark.createDataFrame([(" x /* a /* b */ */ y ",), ("/* /* */ */",), (" ",), (None,)], "c STRING")
+    out = df.select(T.finalize_snippet(F.col("c"), "Rust").alias("out"))
+    assert "pythonUDF0" in _plan(out) and "pythonUDF1" not in _plan(out)
+    assert [r["out"] for r in out.collect()] == ["x  y", "", None, None]
+
+
 def test_many_comments_and_open_literals_take_time_in_proportion(spark):
     """Each of these took minutes or more when a text was searched or copied again per mark."""
     many = "/* é */ x // y\n" * 50_000
