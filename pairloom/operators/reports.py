@@ -24,20 +24,20 @@ def clean_report(
         .groupBy(*file, "__digest")
         .agg(F.count("*").alias("__rows"))
     )
+    # incomplete lines have no digest: each file's row is a group of its own, as the number of
+    # files is not bounded.  The lines are read once for both kinds.
+    both = F.col("__digest").isNotNull()
+    alone = F.when(~both, F.struct(*file))
     place = F.row_number().over(
-        Window.partitionBy("__digest").orderBy(*(file_order or file))
+        Window.partitionBy("__digest", alone).orderBy(*(file_order or file))
     )
-    # incomplete lines have no digest and stay out of the window: their number is not bounded
-    pairs = per_pair.where(F.col("__digest").isNotNull()).withColumn("__place", place)
-    others = per_pair.where(F.col("__digest").isNull()).withColumn("__place", F.lit(0))
-    both = F.col("__place") > 0
     report = (
-        pairs.unionByName(others)
+        per_pair.withColumn("__place", place)
         .groupBy(*file)
         .agg(
             F.sum("__rows").alias("lines_read"),
             F.sum(F.when(both, F.col("__rows")).otherwise(0)).alias("with_both"),
-            F.count_if(F.col("__place") == 1).alias("written"),
+            F.count_if(both & (F.col("__place") == 1)).alias("written"),
         )
     )
     return report.withColumn("duplicates", F.col("with_both") - F.col("written"))

@@ -21,6 +21,7 @@ from pairloom.plans.corpus_build import (
     unique_records,
 )
 from pairloom.operators.placing import in_order
+from pairloom.operators.reports import clean_report
 from pairloom.sources import files
 from pairloom.sources.sinks import write_corpus
 
@@ -358,3 +359,14 @@ def test_relative_root(spark, tree, tmp_path, monkeypatch):
     listed = {(r["folder"], r["file"]) for r in files.listed_files(spark, root, "jsonl").collect()}
     assert listed == {("a_json", "x.jsonl"), (ID_FOLDER, "y.JSONL")}
     assert files.listed_files(spark, str(tmp_path / "nowhere"), "jsonl") is None
+
+
+def test_report_reads_its_lines_once(spark, tmp_path):
+    """Complete and incomplete lines were two branches, and each cleaned every line again."""
+    rows = [("a", "1"), ("a", "1"), ("a", None), ("b", "1"), ("b", "2"), ("c", None), ("c", None), (None, None), (None, "2")]
+    spark.createDataFrame(rows, "file STRING, digest STRING").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    report = clean_report(lines, ["file"], F.col("digest"))
+    assert report._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["file"]: tuple(r)[1:] for r in report.collect()}
+    assert got == {"a": (3, 2, 1, 1), "b": (2, 2, 0, 2), "c": (2, 0, 0, 0), None: (2, 1, 1, 0)}
