@@ -18,16 +18,20 @@ SIDE, SUFFIXES, WIDTH = 32, 96, 16
 #: Neighbours on each side, and positions that are worked on at a time.
 REACH, POSITIONS_AT_ONCE = 2, 8192
 _PAD = 0
+#: Rare words, the most frequent ones, whose probabilities travel with the network; all others meet
+#: theirs in a join.
+NEAR = 1 << 17
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, one row each."""
-    return F.explode(F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    """The words of a text, one row each; an empty one where it begins or ends with space."""
+    return F.explode(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``w, count`` of every word of ``docs(text)``: a table that grows with the corpus."""
-    return staged(docs.select(words_of(F.col("text")).alias("w")).groupBy("w").count(), "words")
+    """``w, count, class`` of every word of ``docs(text)``: a table that grows with the corpus."""
+    counts = docs.select(words_of(F.col("text")).alias("w")).where("w <> ''").groupBy("w").count()
+    return staged(counts.withColumn("class", class_of(F.col("w"))), "words")
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
@@ -41,7 +45,7 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes,
 
 
 def class_of(word: Column) -> Column:
-    """What :meth:`Ids.__missing__` gives."""
+    """What :meth:`Ids.class_of` gives."""
     data = F.encode(word, "UTF-8")
     byte = lambda at: F.conv(F.hex(F.substr(data, at, F.lit(1))), 16, 10).cast("int")
     size = F.octet_length(word)
@@ -49,25 +53,30 @@ def class_of(word: Column) -> Column:
 
 
 def rare_words(counts: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """``w, log_p`` of the words outside the vocabulary: the probability of a word within its class,
-    by counts over the whole corpus plus one, one more for all words never seen."""
+    """``w, count, log_p`` of the words outside the vocabulary: the probability of a word within its
+    class, by counts over the whole corpus plus one, one more for all words never seen."""
     known = counts.sparkSession.createDataFrame([(w.decode("utf-8", "surrogatepass"),) for w in words], "w string")
-    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("class", class_of(F.col("w")))
+    rare = counts.join(F.broadcast(known), "w", "left_anti")
     classes = rare.groupBy("class").agg((F.sum("count") + F.count("*") + 1).alias("all"))  # SUFFIXES rows at most
     each = rare.join(F.broadcast(classes), "class")
-    return each.select("w", (F.log(F.col("count") + 1) - F.log("all")).alias("log_p"))
+    return each.select("w", "count", (F.log(F.col("count") + 1) - F.log("all")).alias("log_p"))
 
 
-def within_classes(docs: DataFrame, rare: DataFrame, words: dict[bytes, int], id_column: str = "doc_id") -> DataFrame:
-    """``doc_id, k, inside``: the sum of ``log_p`` over all rare words of a text. ``k`` is a hash of the
-    text; rows that share id and text share a row."""
-    known = docs.sparkSession.createDataFrame([(w.decode("utf-8", "surrogatepass"),) for w in words], "w string")
-    keyed = docs.select(id_column, F.xxhash64("text").alias("k"), "text")
-    tokens = keyed.select(id_column, "k", words_of(F.col("text")).alias("w")).join(F.broadcast(known), "w", "left_anti")
-    sums = tokens.join(rare, "w").groupBy(id_column, "k").agg(F.sum("log_p").alias("total"))
-    copies = keyed.groupBy(id_column, "k").agg(F.count("*").alias("copies"))
-    same = sums[id_column].eqNullSafe(copies[id_column]) & (sums["k"] == copies["k"])
-    return sums.join(copies, same).select(sums[id_column], sums["k"], (F.col("total") / F.col("copies")).alias("inside"))
+def near_words(rare: DataFrame, most: int = NEAR) -> dict[bytes, float]:
+    """``log_p`` of the most frequent rare words: all from the least count that no more than ``most``
+    of them reach. One row for each count, ``most`` at most, comes to the driver for it."""
+    tally = rare.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(most).collect()
+    within = int(np.searchsorted(np.cumsum([r["n"] for r in tally]), most, "right"))
+    if not within:
+        return {}
+    found = rare.where(F.col("count") >= tally[within - 1]["count"]).select("w", "log_p").collect()
+    return {r["w"].encode(): r["log_p"] for r in found}
+
+
+def far_words(scored: DataFrame, rare: DataFrame) -> DataFrame:
+    """``row, far``: the sum of ``log_p`` over the words in ``scored(row, rest)``."""
+    tokens = scored.where("rest <> ''").select("row", F.explode(F.split("rest", " ")).alias("w"))
+    return tokens.join(rare.select("w", "log_p"), "w").groupBy("row").agg(F.sum("log_p").alias("far"))
 
 
 class Ids(dict):
@@ -76,11 +85,15 @@ class Ids(dict):
     REMEMBERED = 400_000
 
     def __missing__(self, word: bytes) -> int:
-        found = 1 + (word[-1] * 31 + word[-2:][0] * 7 + min(len(word), 12)) % SUFFIXES
+        found = self.class_of(word)
         if len(self) < self.REMEMBERED:
             self[word] = found
         return found
 
+    @staticmethod
+    def class_of(word: bytes) -> int:
+        return 1 + (word[-1] * 31 + word[-2:][0] * 7 + min(len(word), 12)) % SUFFIXES
+
 
 def token_ids(text: str, words: Ids) -> np.ndarray:
     """Ids of the words of a whole text."""
@@ -228,6 +241,16 @@ def fit(docs: DataFrame, words: dict[bytes, int], passes: int = 1, rate: float =
     return flat
 
 
+def _sums(model: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the sum of their log-probabilities."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ids, at = stream(texts)
+    logs = [model.log_probabilities(ids, at[i : i + POSITIONS_AT_ONCE]) for i in range(0, len(at), POSITIONS_AT_ONCE)]
+    sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) if logs else [])])
+    ends = np.cumsum(sizes)
+    return sizes, sums[ends] - sums[ends - sizes]
+
+
 def scores(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, log_likelihood`` of ``docs(doc_id, text)`` under trained weights, where a
     word outside the vocabulary counts as its class."""
@@ -238,18 +261,44 @@ def scores(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, id_col
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, model = Ids(shared.value[0]), Network.of(shared.value[1])
         for texts in batches:
-            each = [token_ids(t, known) for t in texts]
-            sizes = np.array([len(t) for t in each], np.int64)
-            ids, at = stream(each)
-            logs = [model.log_probabilities(ids, at[i : i + POSITIONS_AT_ONCE]) for i in range(0, len(at), POSITIONS_AT_ONCE)]
-            sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs) if logs else [])])
-            ends = np.cumsum(sizes)
-            yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": sums[ends] - sums[ends - sizes]})
+            sizes, sums = _sums(model, [token_ids(t, known) for t in texts])
+            yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": sums})
 
     more = [c for c in docs.columns if c not in (id_column, "text")]
     return docs.select(id_column, *more, of("text").alias("s")).select(id_column, *more, "s.n_tokens", "s.log_likelihood")
 
 
+def scores_within(docs: DataFrame, words: dict[bytes, int], weights: np.ndarray, near: dict[bytes, float]) -> DataFrame:
+    """``row, doc_id, n_tokens, log_likelihood, rest`` of ``docs(doc_id, text)``, one row each, staged.
+
+    A word in ``near`` counts with its probability within its class, any other word outside the
+    vocabulary as its class only; these are in ``rest``, with a space between.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words, weights.astype(np.float32), list(near), np.array(list(near.values()), float)))
+
+    @F.pandas_udf("n_tokens long, log_likelihood double, rest string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary, flat, near_to, log_p = shared.value
+        # codes: ids of the vocabulary, with classes for the rest, then the near words
+        known, model, first = Ids(vocabulary), Network.of(flat), SIDE * SIDE
+        known.update(zip(near_to, range(first, first + len(near_to))))
+        id_of = np.concatenate([np.arange(first), [Ids.class_of(w) for w in near_to]]).astype(np.int16)
+        log_of = np.concatenate([np.zeros(first), log_p])
+        for texts in batches:
+            each, inside, rest = [], [], []
+            for text in texts:
+                parts = text.encode("utf-8", "surrogatepass").split()
+                codes = np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
+                each.append(id_of[codes])
+                inside.append(log_of[codes].sum())
+                rest.append(b" ".join([parts[i] for i in np.flatnonzero(codes <= SUFFIXES)]).decode("utf-8", "surrogatepass"))
+            sizes, sums = _sums(model, each)
+            yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": sums + np.array(inside, float), "rest": rest})
+
+    scored = docs.select("doc_id", of(F.lower("text")).alias("s"))
+    return staged(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"), "scored")
+
+
 def pseudo_likelihood(docs: DataFrame, passes: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, log_likelihood, mean_log_likelihood``.
 
@@ -265,10 +314,9 @@ def pseudo_likelihood(docs: DataFrame, passes: int = 1, id_column: str = "doc_id
     counts = word_counts(own)
     words = vocabulary(own, counts)
     weights = fit(own, words, passes)
-    scored = scores(own.withColumn("k", F.xxhash64("text")), words, weights).alias("s")
-    inside = within_classes(own, rare_words(counts, words), words).alias("i")
-    same = F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.k") == F.col("i.k"))
-    both = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
-    scored = scored.join(inside, same, "left").select("s.doc_id", "n_tokens", both.alias("log_likelihood"))
+    rare = rare_words(counts, words)
+    scored = scores_within(own, words, weights, near_words(rare))
+    both = F.col("log_likelihood") + F.coalesce("far", F.lit(0.0))
+    scored = scored.join(far_words(scored, rare), "row", "left").select("doc_id", "n_tokens", both.alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.withColumn("mean_log_likelihood", mean)

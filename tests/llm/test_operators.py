@@ -620,6 +620,34 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert all(abs(a - b) < 1e-3 * (1 + abs(b)) for (_, a), (_, b) in zip(got, want))
 
 
+@pytest.mark.parametrize("most", [0, 1, 40, 10_000])
+def test_rare_words_count_alike_near_and_far(spark, most):
+    """Only words beyond the most frequent rare ones are shuffled; the sum is that of all of them."""
+    rng = random.Random(3)
+    rare_ones = [f"rare{i}é" for i in range(200)]
+    texts = [" ".join([f"f{i % 1000}" for i in range(k, k + 700)] + [rng.choice(rare_ones[: 2 << rng.randrange(7)]) for _ in range(k % 17)]) for k in range(60)]
+    texts[5] = " " + texts[5].upper() + "\n"
+    own = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, "RARE1É nowhere"), (99, "")], DOCS).select("doc_id", "text")
+    counts = language_model.word_counts(own)
+    words = language_model.vocabulary(own, counts)
+    rare = language_model.rare_words(counts, words)
+    log_p = {r["w"]: r["log_p"] for r in rare.collect()}
+    near = language_model.near_words(rare, most)
+    assert len(near) <= most and all(near[w] == log_p[w.decode()] for w in near)
+    assert len(near) == (len(log_p) if most == 10_000 else len(near))
+    weights = language_model.Network.fresh().flat()
+    scored = language_model.scores_within(own, words, weights, near)
+    far = {r["row"]: r["far"] for r in language_model.far_words(scored, rare).collect()}
+    rows = scored.collect()
+    assert sum(len(r["rest"].split()) for r in rows) == sum(w in log_p and w.encode() not in near for _, t in own.collect() for w in t.lower().split())
+    plain = {r["doc_id"]: r["log_likelihood"] for r in language_model.scores(own, words, weights).collect()}
+    text_of = {r["doc_id"]: r["text"] for r in own.collect()}
+    assert len(rows) == 63
+    for r in rows:
+        want = plain[r["doc_id"]] + sum(log_p.get(w, 0.0) for w in text_of[r["doc_id"]].lower().split())
+        assert abs(r["log_likelihood"] + far.get(r["row"], 0.0) - want) < 1e-6 * (1 + abs(want))
+
+
 def test_steps_follow_the_numeric_gradient():
     rng = np.random.default_rng(5)
     ids = np.r_[[0] * language_model.REACH, rng.integers(1, 1024, 40), [0] * language_model.REACH].astype(np.int16)
