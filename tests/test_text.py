@@ -217,6 +217,24 @@ def test_scanner_runs_once_for_a_cleaned_snippet(spark):
     assert [r["out"] for r in out.collect()] == ["x  y", "", None, None]
 
 
+def test_corpus_build_scans_by_row_and_once(spark, tmp_path):
+    from table_queries import QUERIES
+
+    body = "One, two. Three\nfour. " * 20
+    rows = [(1, f"a {body}", "s", 500), (2, f"a {body}", "t", 500), (3, f"b {body}", "t", 500), (4, "c", "t", 1), (5, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING, n_chars LONG")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    built = QUERIES["corpus_build"](spark, str(tmp_path))
+    plan = _plan(built)
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and "pythonUDF1" not in plan
+    got = {r["doc_id"]: r for r in built.collect()}
+    assert set(got) == {1, 3} and got[1]["task_name"] == "s"
+    assert got[3]["safe_rust_code"] == python_strip_rust(
+        "//! top\n" + rows[2][1].replace(". ", ". /* a /* b // */ c */ ")
+        .replace(", ", ', r#"keep // " /* this */"# ').replace("\n", " /// tail\n") + "\n/* last */"
+    ).strip()
+
+
 def test_many_comments_and_open_literals_take_time_in_proportion(spark):
     """Each of these took minutes or more when a text was searched or copied again per mark."""
     many = "/* é */ x // y\n" * 50_000
