@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from pairloom.llm import components as C
 from pairloom.llm import decontamination, embeddings, language_model, licenses, pieces, secrets, sharding, simhash, token_counts, toxicity
-from pairloom.llm.common import pick
+from pairloom.llm.common import pick, shared_folder
 from pairloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string"
@@ -196,6 +197,54 @@ def test_embeddings_edge_cases(spark):
     assert embeddings.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_embeddings_are_written_a_few_times_only(spark, tmp_path):
+    """Each vector was shuffled again for every block it was compared with, which made 5.3 times the vectors here."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4000, 64)).astype(np.float32)
+    vectors[2000:2100] = vectors[:100] + rng.normal(0, 0.01, (100, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    shuffled = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    places = [*(d.getPath() for d in shuffled), shared_folder(spark).removeprefix("file:")]
+
+    def files():
+        return {f: f.stat().st_size for place in places for f in Path(place).rglob("*") if f.is_file() and f.suffix in (".data", ".parquet")}
+
+    before = files()
+    got = by_id(embeddings.near_duplicates(table), "vec_id")
+    assert sum(size for f, size in files().items() if f not in before) < 3 * vectors.nbytes
+    assert [i for i in range(4000) if got[i]["n_links"]] == [*range(100), *range(2000, 2100)]
+    assert all(got[2000 + i]["component_id"] == i for i in range(100))
+
+
+def test_embeddings_of_a_spread_cell_and_low_cosines_equal_brute_force(spark):
+    """A cell dealt to several packs, copies in several batches, minus zero, both kinds of products, links of many steps."""
+    rng = np.random.default_rng(6)
+    steps = np.stack([np.cos(np.arange(60) / 4), np.sin(np.arange(60) / 4), np.full(60, 9.0), *np.zeros((5, 60))], axis=1)
+    base = rng.normal(size=(60, 8))
+    near = base[:1] + rng.normal(0, 0.2, (120, 8))
+    data = np.concatenate([base, near, steps, np.repeat(base[:2], 40, 0), 1e-3 * base[5:9], [[0.0, 1, 0, 0, 0, 0, 0, 0]], [[-0.0, 1, 0, 0, 0, 0, 0, 0]]])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(5)
+    for least, options in ((0.99, {"block": 40}), (0.6, {"block": 60, "fit_rows": 3})):
+        linked = unit @ unit.T >= least
+        np.fill_diagonal(linked, False)
+        got = by_id(embeddings.near_duplicates(rows, least=least, **options), "vec_id")
+        assert [got[i]["n_links"] for i in range(len(unit))] == linked.sum(axis=1).tolist()
+        assert [got[i]["component_id"] for i in range(len(unit))] == C.local_roots(len(unit), *np.nonzero(linked)).tolist()
+
+
+def test_links_of_a_tile_are_spanned():
+    rng = np.random.default_rng(7)
+    for share in (0.02, 0.3, 0.9):
+        for _ in range(20):
+            linked = rng.random((40, 90)) < share
+            linked[:20, 45:] = linked[20:, :45] = False
+            whole, some = (C.local_roots(130, i, j + 40) for i, j in (np.nonzero(linked), embeddings._spanning(linked)))
+            assert whole.tolist() == some.tolist()
+
+
 # --- sharding
 
 
