@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import pick, staged
+from pairloom.llm.common import give_back_memory, pick, staged
 from pairloom.llm.components import components, local_roots
 
 #: Most rows and bytes of a pack. A table that makes fewer than PACKS of these gets smaller ones, of SMALL_BLOCK rows or more.
-BLOCK, PACK_BYTES, SMALL_BLOCK, PACKS = 32768, 8 << 20, 1024, 24
+BLOCK, PACK_BYTES, SMALL_BLOCK, PACKS = 32768, 4 << 20, 1024, 24
 #: Vectors the centroids are fitted on (a bounded sample, by hash), and most cells.
 FIT_ROWS, MOST_CELLS = 8192, 1024
 #: Rows and columns of a product, opened packs that a task remembers, and links it holds before it folds them.
-TILE_ROWS, TILE_COLUMNS, OPEN_PACKS, MOST_EDGES = 512, 4096, 6, 1 << 20
+TILE_ROWS, TILE_COLUMNS, OPEN_PACKS, MOST_EDGES = 512, 4096, 5, 1 << 20
 _PACK = "start long, n int, cells binary, first binary, second binary, copies binary, data binary"
 
 
@@ -118,6 +118,7 @@ def _dealt(centroids: np.ndarray, base: np.ndarray, parts: np.ndarray):
             pack = base[cell] + np.mod(first, parts[cell])
             columns = [pa.array(pack.astype(np.int32)), pa.array(cell.astype(np.int32)), *map(pa.array, (first, second, copies)), _blob(vectors)]
             yield pa.RecordBatch.from_arrays(columns, ["pack", "cell", "first", "second", "copies", "data"])
+        give_back_memory()
 
     return deal
 
@@ -310,11 +311,14 @@ def _compared(centroids: np.ndarray, sketch: np.ndarray | None, kind: str, least
         for batch in batches:
             for i in range(batch.num_rows):
                 found.compare(pack(batch, i, "a"), pack(batch, i, "b"))
+            del batch  # or the next one is read beside it
+        opened.clear()
         if found.edges:
             nodes, to = found.fold()
             links = np.concatenate([counts[start][counts[start] > 0] for start in sorted(counts)])
             table = pa.Table.from_arrays([pa.array(nodes), pa.array(links), pa.array(to)], ["id", "links", "to"])
             yield from table.to_batches(max_chunksize=1 << 16)
+        give_back_memory()
 
     return compare
 
